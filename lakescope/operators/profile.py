@@ -1,9 +1,11 @@
 """Column profiling: rows, nulls, distinct, min, max for every column of a table in one job.
 
-Exact mode builds one branch per column: ``groupBy(value).count()`` (partial aggregation on the
-map side, so a hot value costs one row per task, not a third of the shuffle), then a global
-aggregate over the grouped values gives rows, nulls, distinct, min and max. Branches are unioned
-into one plan; on columnar sources each branch reads only its own column. Approximate mode is one
+Exact mode (default ``hybrid``) builds one branch per column: ``groupBy(value).count()`` (partial
+aggregation on the map side, so a hot value costs one row per task, not a third of the shuffle).
+The per-value rows of all columns are put in typed slots (one slot per type family, so min and max
+stay typed), unioned, and reduced once per column: rows, nulls, distinct, min and max. On columnar
+sources each branch reads only its own column. ``stacked`` reads the table once instead (best for
+row sources), ``branches`` keeps a separate global aggregate per column. Approximate mode is one
 scan with ``approx_count_distinct`` for very wide or very high-cardinality tables.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescope.functions.render import profile_class, value_text
+from lakescope.functions.render import NUMERIC_FRACTIONAL, NUMERIC_INTEGRAL, profile_class, value_text
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -76,21 +78,137 @@ def _exact_branch(df: DataFrame, table_name: str, field: T.StructField, ordinal:
     return _finish(agg, table_name, field.name, ordinal, field.dataType)
 
 
-def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns: list[str] | None = None,
+                    method: str = "hybrid") -> DataFrame:
     """Profile every column (or the named ones) of ``df``.
 
     Output: table_name, column_name, ordinal, data_type, total_count, null_count, distinct_count,
     min_value, max_value, null_percentage. Numeric, string, date and timestamp columns get min/max;
     booleans get distinct but no min/max; binary and complex columns get the null count only.
-    If ``df`` is not a plain columnar scan, persist it first: every branch reads it.
+
+    ``method='hybrid'`` (default): per-column ``groupBy(value)`` branches, one shared reduce.
+    ``method='stacked'`` reads the table once: every row is turned into one record per
+    column holding the value in a slot of its type family, pre-aggregated per (column, value) on the
+    map side, shuffled once, then reduced per column. ``method='branches'`` builds one
+    ``groupBy(value)`` branch per column (each branch reads the table; persist non-columnar inputs).
     """
     fields = [(i, f) for i, f in enumerate(df.schema.fields, start=1) if columns is None or f.name in columns]
     if not exact:
         return _approx_profile(df, table_name, fields)
+    if method == "stacked":
+        return _stacked_profile(df, table_name, fields)
+    if method == "hybrid":
+        return _hybrid_profile(df, table_name, fields)
     branches = [_exact_branch(df, table_name, f, i) for i, f in fields]
     return reduce(DataFrame.unionByName, branches)
 
 
+_SLOTS = [
+    ("s_long", NUMERIC_INTEGRAL, "bigint"),
+    ("s_double", NUMERIC_FRACTIONAL, "double"),
+    ("s_string", (T.StringType,), "string"),
+    ("s_ts", (T.TimestampType,), "timestamp"),
+    ("s_tsntz", (T.TimestampNTZType,), "timestamp_ntz"),
+    ("s_date", (T.DateType,), "date"),
+    ("s_bool", (T.BooleanType,), "boolean"),
+]
+
+
+def _slot_of(dt: T.DataType):
+    for name, types, cast in _SLOTS:
+        if isinstance(dt, types):
+            return name, cast
+    if isinstance(dt, T.DecimalType):
+        return f"s_dec_{dt.precision}_{dt.scale}", dt.simpleString()
+    return None, None
+
+
+def _slot_layout(fields):
+    slot_cols: dict[str, str] = {}
+    by_idx = {}
+    for i, f in fields:
+        slot, cast = _slot_of(f.dataType) if profile_class(f.dataType) != "nulls" else (None, None)
+        if slot:
+            slot_cols[slot] = cast
+        by_idx[i] = slot
+    return sorted(slot_cols), slot_cols, by_idx
+
+
+def _slot_record(i, f, slot, slot_names, slot_cols, v):
+    members = [F.lit(i).alias("ci")]
+    for s in slot_names:
+        members.append((v.cast(slot_cols[s]) if s == slot else F.lit(None).cast(slot_cols[s])).alias(s))
+    # columns without a slot (binary, complex) only carry their null flag
+    members.append((v.isNull() if slot is None else F.lit(None).cast("boolean")).alias("is_null_other"))
+    return members
+
+
+def _reduce_per_column(per_value: DataFrame, table_name: str, fields, slot_names, by_idx) -> DataFrame:
+    """(ci, value slots, n) -> one profile row per column."""
+    slot_case = None
+    for i, f in fields:
+        slot = by_idx[i]
+        cond = F.col(slot).isNull() if slot else F.col("is_null_other")
+        slot_case = F.when(F.col("ci") == i, cond) if slot_case is None else slot_case.when(F.col("ci") == i, cond)
+    per_value = per_value.withColumn("_null", slot_case)
+    aggs = [F.sum("n").alias("total_count"),
+            F.sum(F.when(F.col("_null"), F.col("n"))).alias("null_count"),
+            # columns without a slot (is_null_other set) get no distinct count
+            F.count_if(~F.col("_null") & F.col("is_null_other").isNull()).alias("distinct_count")]
+    for s in slot_names:
+        aggs += [F.min(s).alias(f"min_{s}"), F.max(s).alias(f"max_{s}")]
+    per_col = per_value.groupBy("ci").agg(*aggs)
+    meta = per_value.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString()) for i, f in fields],
+        "ci int, column_name string, data_type string")
+    out = meta.join(F.broadcast(per_col), "ci", "left")
+    mn = mx = None
+    for i, f in fields:
+        slot = by_idx[i]
+        if slot and profile_class(f.dataType) == "full":
+            a = value_text(F.col(f"min_{slot}"), f.dataType)
+            b = value_text(F.col(f"max_{slot}"), f.dataType)
+        else:
+            a = b = F.lit(None).cast("string")
+        mn = F.when(F.col("ci") == i, a) if mn is None else mn.when(F.col("ci") == i, a)
+        mx = F.when(F.col("ci") == i, b) if mx is None else mx.when(F.col("ci") == i, b)
+    return out.select(
+        F.lit(table_name).alias("table_name"), "column_name", F.col("ci").cast("int").alias("ordinal"), "data_type",
+        F.coalesce(F.col("total_count"), F.lit(0)).cast("long").alias("total_count"),
+        F.coalesce(F.col("null_count"), F.lit(0)).cast("long").alias("null_count"),
+        F.coalesce(F.col("distinct_count"), F.lit(0)).cast("long").alias("distinct_count"),
+        mn.alias("min_value"), mx.alias("max_value"),
+    ).withColumn("null_percentage", null_percentage(F.col("null_count"), F.col("total_count")))
+
+
+def _stacked_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
+    """One scan, one shuffle of distinct (column, value) pairs, one small reduce per column."""
+    slot_names, slot_cols, by_idx = _slot_layout(fields)
+    structs = [F.struct(*_slot_record(i, f, by_idx[i], slot_names, slot_cols, F.col(_q(f.name)))) for i, f in fields]
+    stacked = df.select(F.inline(F.array(*structs)))
+    per_value = stacked.groupBy("ci", *slot_names, "is_null_other").agg(F.count(F.lit(1)).alias("n"))
+    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx)
+
+
+def _hybrid_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
+    """Per column ``groupBy(value).count()`` (parallel, each reads one column), then one shared reduce."""
+    slot_names, slot_cols, by_idx = _slot_layout(fields)
+    parts = []
+    for i, f in fields:
+        slot = by_idx[i]
+        v = F.col(_q(f.name))
+        if slot is None:
+            g = df.groupBy(v.isNull().alias("_isnull")).agg(F.count(F.lit(1)).alias("n"))
+            rec = _slot_record(i, f, None, slot_names, slot_cols, F.lit(None))
+            rec[-1] = F.col("_isnull").alias("is_null_other")
+            parts.append(g.select(*rec, "n"))
+        else:
+            g = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(g.select(*_slot_record(i, f, slot, slot_names, slot_cols, F.col("_v")), "n"))
+    per_value = reduce(DataFrame.unionByName, parts)
+    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx)
+
+
 def _approx_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
     """One scan: count, non-null count, approximate distinct, min and max for all columns."""
     aggs = [F.count(F.lit(1)).alias("__rows")]

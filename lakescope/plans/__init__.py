@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["profiling"]
+FAMILIES = ["profiling", "relations"]
 
 
 def _load():
