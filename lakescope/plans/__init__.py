@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["profiling", "relations"]
+FAMILIES = ["profiling", "relations", "graphs"]
 
 
 def _load():
