@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["profiling", "relations", "graphs"]
+FAMILIES = ["profiling", "relations", "graphs", "texts"]
 
 
 def _load():
