@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["profiling", "relations", "graphs", "texts", "usage_access"]
+FAMILIES = ["profiling", "relations", "graphs", "texts", "usage_access", "estate"]
 
 
 def _load():
