@@ -59,3 +59,20 @@ def value_text_sql(expr: str, dt: T.DataType) -> str:
     if isinstance(dt, T.StringType):
         return f"substring({expr}, 1, {TEXT_LIMIT})"
     return f"CAST({expr} AS VARCHAR)"
+
+
+def value_text_spark_sql(expr: str, dt: T.DataType) -> str:
+    """``value_text`` written as Spark SQL text (for plans built in one ``spark.sql`` call)."""
+    if isinstance(dt, NUMERIC_INTEGRAL + (T.DecimalType,)):
+        return f"CAST({expr} AS STRING)"
+    if isinstance(dt, NUMERIC_FRACTIONAL):
+        d = f"CAST({expr} AS DOUBLE)"
+        return (f"CASE WHEN abs({d}) < {FLOAT_DECIMAL_BOUND:.0e} THEN CAST(CAST({d} AS DECIMAL(38,{FLOAT_SCALE})) "
+                f"AS STRING) ELSE CAST({d} AS STRING) END")
+    if isinstance(dt, T.DateType):
+        return f"date_format({expr}, 'yyyy-MM-dd')"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return f"date_format({expr}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    if isinstance(dt, T.StringType):
+        return f"substring({expr}, 1, {TEXT_LIMIT})"
+    return f"CAST({expr} AS STRING)"

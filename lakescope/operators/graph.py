@@ -44,7 +44,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "dependents", max_d
     themselves are returned at depth 0 and are never revisited (lineage rule). Each round's new pairs
     are checkpointed once and never rewritten; the visited set is the union of those rounds.
     """
-    e = _directed(edges, direction)
+    e = cut_lineage(_directed(edges, direction))
     frontier = cut_lineage(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     parts = [frontier] if include_seed_level else []
     depth = 0

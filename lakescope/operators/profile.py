@@ -1,6 +1,6 @@
 """Column profiling: rows, nulls, distinct, min, max for every column of a table in one job.
 
-Exact mode (default ``hybrid``) builds one branch per column: ``groupBy(value).count()`` (partial
+Exact mode (default ``branches``) builds one branch per column: ``groupBy(value).count()`` (partial
 aggregation on the map side, so a hot value costs one row per task, not a third of the shuffle).
 The per-value rows of all columns are put in typed slots (one slot per type family, so min and max
 stay typed), unioned, and reduced once per column: rows, nulls, distinct, min and max. On columnar
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescope.functions.render import NUMERIC_FRACTIONAL, NUMERIC_INTEGRAL, profile_class, value_text
+from lakescope.functions.render import (NUMERIC_FRACTIONAL, NUMERIC_INTEGRAL, profile_class, value_text,
+                                        value_text_spark_sql)
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -79,14 +80,16 @@ def _exact_branch(df: DataFrame, table_name: str, field: T.StructField, ordinal:
 
 
 def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns: list[str] | None = None,
-                    method: str = "hybrid") -> DataFrame:
+                    method: str = "sql") -> DataFrame:
     """Profile every column (or the named ones) of ``df``.
 
     Output: table_name, column_name, ordinal, data_type, total_count, null_count, distinct_count,
     min_value, max_value, null_percentage. Numeric, string, date and timestamp columns get min/max;
     booleans get distinct but no min/max; binary and complex columns get the null count only.
 
-    ``method='hybrid'`` (default): per-column ``groupBy(value)`` branches, one shared reduce.
+    ``method='sql'`` (default): the branches plan written as one Spark SQL statement (fast to plan).
+    ``method='branches'``: per-column ``groupBy(value)`` then a global aggregate per column.
+    ``method='hybrid'``: the same branches feeding one shared reduce over typed value slots.
     ``method='stacked'`` reads the table once: every row is turned into one record per
     column holding the value in a slot of its type family, pre-aggregated per (column, value) on the
     map side, shuffled once, then reduced per column. ``method='branches'`` builds one
@@ -95,6 +98,15 @@ def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns:
     fields = [(i, f) for i, f in enumerate(df.schema.fields, start=1) if columns is None or f.name in columns]
     if not exact:
         return _approx_profile(df, table_name, fields)
+    if method == "sql":
+        sub = df.select(*[F.col(_q(f.name)) for _, f in fields]) if columns is not None else df
+        out = profile_tables_sql({table_name: sub})
+        if columns is not None:  # keep the ordinals of the full schema
+            pos = {f.name: i for i, f in fields}
+            out = out.withColumn("ordinal", F.element_at(F.create_map(*[x for k, v in pos.items()
+                                                                       for x in (F.lit(k), F.lit(v))]),
+                                                         F.col("column_name")))
+        return out
     if method == "stacked":
         return _stacked_profile(df, table_name, fields)
     if method == "hybrid":
@@ -143,41 +155,61 @@ def _slot_record(i, f, slot, slot_names, slot_cols, v):
     return members
 
 
-def _reduce_per_column(per_value: DataFrame, table_name: str, fields, slot_names, by_idx) -> DataFrame:
-    """(ci, value slots, n) -> one profile row per column."""
-    slot_case = None
+def _sentinels(spark, fields, slot_names, slot_cols, by_idx) -> DataFrame:
+    """One zero-weight record per column, generated on the JVM side, so every column (also of an
+    empty table) reaches the reduce; it adds nothing to rows, nulls or distinct."""
+    recs = []
+    for i, f in fields:
+        members = [F.lit(i).alias("ci")] + [F.lit(None).cast(slot_cols[s]).alias(s) for s in slot_names]
+        members += [F.lit(True).alias("is_null_other"), F.lit(0).cast("long").alias("n")]
+        recs.append(F.struct(*members))
+    return spark.range(1).select(F.inline(F.array(*recs)))
+
+
+def _case_on_ci(fields, value_of):
+    expr = None
     for i, f in fields:
+        v = value_of(i, f)
+        expr = F.when(F.col("ci") == i, v) if expr is None else expr.when(F.col("ci") == i, v)
+    return expr
+
+
+def _reduce_per_column(per_value: DataFrame, table_name: str, fields, slot_names, by_idx, slot_cols=None) -> DataFrame:
+    """(ci, value slots, n) -> one profile row per column."""
+    if slot_cols is not None:
+        per_value = per_value.unionByName(_sentinels(per_value.sparkSession, fields, slot_names, slot_cols, by_idx))
+
+    def null_cond(i, f):
         slot = by_idx[i]
-        cond = F.col(slot).isNull() if slot else F.col("is_null_other")
-        slot_case = F.when(F.col("ci") == i, cond) if slot_case is None else slot_case.when(F.col("ci") == i, cond)
-    per_value = per_value.withColumn("_null", slot_case)
+        return F.col(slot).isNull() if slot else F.col("is_null_other")
+
+    per_value = per_value.withColumn("_null", F.coalesce(F.col("is_null_other"), _case_on_ci(fields, null_cond)))
     aggs = [F.sum("n").alias("total_count"),
             F.sum(F.when(F.col("_null"), F.col("n"))).alias("null_count"),
             # columns without a slot (is_null_other set) get no distinct count
             F.count_if(~F.col("_null") & F.col("is_null_other").isNull()).alias("distinct_count")]
     for s in slot_names:
         aggs += [F.min(s).alias(f"min_{s}"), F.max(s).alias(f"max_{s}")]
-    per_col = per_value.groupBy("ci").agg(*aggs)
-    meta = per_value.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in fields],
-        "ci int, column_name string, data_type string")
-    out = meta.join(F.broadcast(per_col), "ci", "left")
-    mn = mx = None
-    for i, f in fields:
-        slot = by_idx[i]
-        if slot and profile_class(f.dataType) == "full":
-            a = value_text(F.col(f"min_{slot}"), f.dataType)
-            b = value_text(F.col(f"max_{slot}"), f.dataType)
-        else:
-            a = b = F.lit(None).cast("string")
-        mn = F.when(F.col("ci") == i, a) if mn is None else mn.when(F.col("ci") == i, a)
-        mx = F.when(F.col("ci") == i, b) if mx is None else mx.when(F.col("ci") == i, b)
+    out = per_value.groupBy("ci").agg(*aggs)
+
+    def render(which):
+        def value_of(i, f):
+            slot = by_idx[i]
+            if slot and profile_class(f.dataType) == "full":
+                return value_text(F.col(f"{which}_{slot}"), f.dataType)
+            return F.lit(None).cast("string")
+        return value_of
+
     return out.select(
-        F.lit(table_name).alias("table_name"), "column_name", F.col("ci").cast("int").alias("ordinal"), "data_type",
+        F.lit(table_name).alias("table_name"),
+        _case_on_ci(fields, lambda i, f: F.lit(f.name)).alias("column_name"),
+        F.col("ci").cast("int").alias("ordinal"),
+        _case_on_ci(fields, lambda i, f: F.lit(f.dataType.simpleString())).alias("data_type"),
         F.coalesce(F.col("total_count"), F.lit(0)).cast("long").alias("total_count"),
         F.coalesce(F.col("null_count"), F.lit(0)).cast("long").alias("null_count"),
         F.coalesce(F.col("distinct_count"), F.lit(0)).cast("long").alias("distinct_count"),
-        mn.alias("min_value"), mx.alias("max_value"),
+        _case_on_ci(fields, render("min")).alias("min_value"),
+        _case_on_ci(fields, render("max")).alias("max_value"),
     ).withColumn("null_percentage", null_percentage(F.col("null_count"), F.col("total_count")))
 
 
@@ -187,7 +219,7 @@ def _stacked_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
     structs = [F.struct(*_slot_record(i, f, by_idx[i], slot_names, slot_cols, F.col(_q(f.name)))) for i, f in fields]
     stacked = df.select(F.inline(F.array(*structs)))
     per_value = stacked.groupBy("ci", *slot_names, "is_null_other").agg(F.count(F.lit(1)).alias("n"))
-    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx)
+    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx, slot_cols)
 
 
 def _hybrid_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
@@ -206,7 +238,7 @@ def _hybrid_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
             g = df.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("n"))
             parts.append(g.select(*_slot_record(i, f, slot, slot_names, slot_cols, F.col("_v")), "n"))
     per_value = reduce(DataFrame.unionByName, parts)
-    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx)
+    return _reduce_per_column(per_value, table_name, fields, slot_names, by_idx, slot_cols)
 
 
 def _approx_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
@@ -242,9 +274,62 @@ def _approx_profile(df: DataFrame, table_name: str, fields) -> DataFrame:
     ).withColumn("null_percentage", null_percentage(F.col("null_count"), F.col("total_count")))
 
 
-def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """Estate profile: every column of every table, one plan."""
-    return reduce(DataFrame.unionByName, [profile_columns(df, name, exact) for name, df in tables.items()])
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
+    cls = profile_class(f.dataType)
+    head = (f"SELECT {_sql_lit(table_name)} AS table_name, {_sql_lit(f.name)} AS column_name, CAST({i} AS INT) AS "
+            f"ordinal, {_sql_lit(f.dataType.simpleString())} AS data_type")
+    if cls == "nulls":
+        return (f"{head}, count(1) AS total_count, count_if({_q(f.name)} IS NULL) AS null_count, "
+                f"CAST(0 AS BIGINT) AS distinct_count, CAST(NULL AS STRING) AS min_value, "
+                f"CAST(NULL AS STRING) AS max_value FROM {{{view}}}")
+    mn = value_text_spark_sql("min(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
+    mx = value_text_spark_sql("max(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
+    return (f"{head}, coalesce(sum(n), 0) AS total_count, coalesce(sum(CASE WHEN v IS NULL THEN n END), 0) "
+            f"AS null_count, count(v) AS distinct_count, {mn} AS min_value, {mx} AS max_value "
+            f"FROM (SELECT {_q(f.name)} AS v, count(1) AS n FROM {{{view}}} GROUP BY {_q(f.name)})")
+
+
+def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False) -> DataFrame:
+    """Exact estate profile as one Spark SQL statement: a UNION ALL of per-column ``GROUP BY`` branches
+    (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator."""
+    spark = next(iter(tables.values())).sparkSession
+    branches, args = [], {}
+    for k, (name, df) in enumerate(tables.items()):
+        view = f"t{k}"
+        args[view] = df
+        for i, f in enumerate(df.schema.fields, start=1):
+            if key_types_only and f.dataType.simpleString() not in KEY_TYPES:
+                continue
+            branches.append(_branch_sql(view, name, i, f))
+    body = "\nUNION ALL\n".join(branches)
+    sql = (f"SELECT *, CASE WHEN total_count = 0 THEN 0.0D ELSE CAST(null_count AS DOUBLE) / total_count * 100.0D "
+           f"END AS null_percentage FROM (\n{body}\n)")
+    out = spark.sql(sql, **args)
+    return out.select(*[F.col(c).cast(PROFILE_SCHEMA[c].dataType) for c in PROFILE_SCHEMA.fieldNames()])
+
+
+def profile_tables(tables: dict[str, DataFrame], exact: bool = True, key_types_only: bool = False,
+                   method: str = "sql") -> DataFrame:
+    """Estate profile: every column of every table, one plan (``key_types_only``: integer and text columns).
+
+    The default exact plan is built as one SQL statement (``profile_tables_sql``); other methods build
+    it operator by operator.
+    """
+    if exact and method == "sql":
+        return profile_tables_sql(tables, key_types_only)
+    parts = []
+    for name, df in tables.items():
+        cols = None
+        if key_types_only:
+            cols = [f.name for f in df.schema.fields if f.dataType.simpleString() in KEY_TYPES]
+            if not cols:
+                continue
+        parts.append(profile_columns(df, name, exact, columns=cols, method=method if method != "sql" else "branches"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -35,7 +35,7 @@ def tpch_frames(spark, sf_dir):
     raw = read_tables(spark, sf_dir, TPCH_TABLES)
     tables = {t: df.toDF(*[strip_prefix(c) for c in df.columns]) for t, df in raw.items()}
     cols = C.columns_from_dataframes(spark, tables, DB, SCHEMA)
-    pk = P.primary_keys(P.profile_tables(tables)).withColumnRenamed("table_name", "_t")
+    pk = P.primary_keys(P.profile_tables(tables, key_types_only=True)).withColumnRenamed("table_name", "_t")
     cols = cols.join(pk, cols.table_name == pk._t, "left").withColumn(
         "is_primary_key", F.coalesce(F.col("column_name") == F.col("pk_column"), F.lit(False))
     ).drop("_t", "pk_column")
