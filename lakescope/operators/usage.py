@@ -169,3 +169,44 @@ def rollup_counters(log: DataFrame, keys: list[str], ts_col: str) -> DataFrame:
     """Executions, first and last time per object from an execution log."""
     return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_executions"),
                                   F.min(ts_col).alias("first_execution"), F.max(ts_col).alias("last_execution"))
+
+
+def ordered_usage(scores: DataFrame) -> DataFrame:
+    """O3: Unused first, then Low, Unknown, Active; lower score first inside a level; then name."""
+    return scores.orderBy("level_rank", "score", "object_name")
+
+
+def filter_level(scores: DataFrame, levels: list[str]) -> DataFrame:
+    """objects of the given usage levels."""
+    return scores.filter(F.col("usage_level").isin(levels))
+
+
+def execution_counters(objects: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Every procedure or function with its execution counters (null -> 0), stats
+    pre-aggregated per object before the join."""
+    agg = stats.groupBy(*keys).agg(F.sum("execution_count").alias("execution_count"),
+                                   F.max("last_execution").alias("last_execution"))
+    return objects.join(agg, keys, "left").withColumn(
+        "execution_count", F.coalesce(F.col("execution_count"), F.lit(0)).cast("long"))
+
+
+def table_counters(tables: DataFrame, index_stats: DataFrame) -> DataFrame:
+    """Reads (seeks + scans + lookups) and writes per table, summed over its access paths, and the
+    latest seek / scan / lookup time; tables without statistics get zeros."""
+    k = ["database_name", "schema_name", "table_name"]
+    agg = index_stats.groupBy(*k).agg(
+        F.sum(F.col("user_seeks") + F.col("user_scans") + F.col("user_lookups")).alias("total_reads"),
+        F.sum("user_updates").alias("total_writes"), F.max("last_seek").alias("last_seek"),
+        F.max("last_scan").alias("last_scan"), F.max("last_lookup").alias("last_lookup"))
+    return tables.select(*k).distinct().join(agg, k, "left").fillna(0, ["total_reads", "total_writes"])
+
+
+def uptime_days(start_time, now=None) -> F.Column:
+    """Whole days since the counters started (null when the start is unknown)."""
+    now = now if now is not None else F.current_timestamp()
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(start_time)) / 86400).cast("int")
+
+
+def log_is_enabled(spark, table_name: str) -> bool:
+    """The query log counts as on when its table exists in the catalog."""
+    return spark.catalog.tableExists(table_name)
