@@ -51,8 +51,9 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "dependents", max_d
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(e, frontier.node == e.frm).select("root", F.col("to").alias("node")).distinct()
-        for p in parts:
-            step = step.join(p.select("root", "node"), ["root", "node"], "left_anti")
+        if parts:
+            seen = reduce(DataFrame.unionByName, [p.select("root", "node") for p in parts])
+            step = step.join(seen, ["root", "node"], "left_anti")
         step = cut_lineage(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
@@ -112,6 +113,7 @@ def lineage(edges: DataFrame, start: DataFrame | str, shared_visited: bool = Fal
     """
     if isinstance(start, str):
         start = edges.sparkSession.createDataFrame([(start,)], "node string")
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     seeds = start.select(F.col("node").alias("root"), F.col("node"))
     up = bfs(edges, seeds, "dependencies", max_depth, include_seed_level=True)
     down = bfs(edges, seeds, "dependents", max_depth, include_seed_level=True)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakescope.operators import graph as G
+from lakescope.session import cut_lineage
 from lakescope.sources.tables import read_table
 
 START_NODE = "n:0"
@@ -74,13 +75,13 @@ def membership_edges(spark, sf_dir):
 
 def record_impact(spark, sf_dir):
     """D-4 / D-5 / U3: impact closure and importance of every record node."""
-    e = record_edges(spark, sf_dir)
+    e = cut_lineage(record_edges(spark, sf_dir))
     return G.importance(e, G.reachable(e), record_nodes(spark, sf_dir))
 
 
 def core_records(spark, sf_dir):
     """D-6 / O6 / W1: the ten most important record nodes with their rank."""
-    e = record_edges(spark, sf_dir)
+    e = cut_lineage(record_edges(spark, sf_dir))
     return G.core_objects(G.importance(e, G.reachable(e), record_nodes(spark, sf_dir)), 10)
 
 
@@ -91,13 +92,13 @@ def lineage_layers(spark, sf_dir):
 
 def lineage_subgraph(spark, sf_dir):
     """L-3: edges among the nodes of the lineage of nation 0."""
-    e = record_edges(spark, sf_dir)
+    e = cut_lineage(record_edges(spark, sf_dir))
     return G.induced_edges(e, G.lineage(e, START_NODE).select("node"))
 
 
 def trade_impact(spark, sf_dir):
     """D-4 / D-5 on a cyclic graph: nodes on a cycle are in their own impact."""
-    e = trade_edges(spark, sf_dir)
+    e = cut_lineage(trade_edges(spark, sf_dir))
     return G.importance(e, G.reachable(e))
 
 
@@ -108,7 +109,7 @@ def trade_cycles(spark, sf_dir):
 
 def trade_cycle_edges(spark, sf_dir):
     """K-2: trade edges inside a cycle."""
-    e = trade_edges(spark, sf_dir)
+    e = cut_lineage(trade_edges(spark, sf_dir))
     return G.cycle_edges(e, G.strongly_connected(e)).select("src", "dst", "scc_id")
 
 

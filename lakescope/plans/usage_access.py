@@ -4,7 +4,8 @@
   count is its row count, lines reference it (FK target), its name feeds the naming rule; customers
   are query-log objects executed once per order. Uptime = days between first and last ship date.
 * each (user, day) of ``events`` is an access path on the user's "table": views are seeks, clicks
-  scans, purchases lookups, errors updates; its key list is the day's event types in time order.
+  scans, purchases lookups, errors updates; its key list is the day's event types in order of first
+  occurrence.
 * each (part, supplier) pair is a missing-path suggestion; impact = sum of price x discount.
 """
 
@@ -85,21 +86,27 @@ def top_texts(spark, sf_dir):
 
 
 def path_inventory(spark, sf_dir):
+    """Each (user, day) as an access path. Its key list is the day's event types in order of first
+    occurrence: events are pre-aggregated to one row per (user, day, type) before the list is built,
+    so a hot user-day never gathers its raw events in one task."""
     ev = read_table(spark, sf_dir, "events")
     day = F.date_format("ts", "yyyy-MM-dd")
-    g = ev.groupBy("user_id", day.alias("day")).agg(
-        F.count_if(F.col("event_type") == "view").alias("user_seeks"),
-        F.count_if(F.col("event_type") == "click").alias("user_scans"),
-        F.count_if(F.col("event_type") == "purchase").alias("user_lookups"),
-        F.count_if(F.col("event_type") == "error").alias("user_updates"),
-        F.count(F.lit(1)).alias("size_kb"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))),
+    per_type = ev.groupBy("user_id", day.alias("day"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "event_id")).alias("first"))
+    g = per_type.groupBy("user_id", "day").agg(
+        F.sum(F.when(F.col("event_type") == "view", F.col("n")).otherwise(0)).alias("user_seeks"),
+        F.sum(F.when(F.col("event_type") == "click", F.col("n")).otherwise(0)).alias("user_scans"),
+        F.sum(F.when(F.col("event_type") == "purchase", F.col("n")).otherwise(0)).alias("user_lookups"),
+        F.sum(F.when(F.col("event_type") == "error", F.col("n")).otherwise(0)).alias("user_updates"),
+        F.sum("n").alias("size_kb"),
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))),
                     lambda s: s["event_type"]).alias("columns"))
     return g.select(F.lit(DB).alias("database_name"), F.lit("user").alias("schema_name"),
                     F.col("user_id").cast("string").alias("table_name"), F.col("day").alias("index_name"),
                     F.lit("NONCLUSTERED").alias("index_type"), F.lit(False).alias("is_unique"),
-                    F.lit(False).alias("is_clustered"), "columns", "user_seeks", "user_scans", "user_lookups",
-                    "user_updates", F.col("size_kb").cast("long"))
+                    F.lit(False).alias("is_clustered"), "columns", F.col("user_seeks").cast("long"),
+                    F.col("user_scans").cast("long"), F.col("user_lookups").cast("long"),
+                    F.col("user_updates").cast("long"), F.col("size_kb").cast("long"))
 
 
 def unused_paths(spark, sf_dir):
@@ -211,15 +218,18 @@ SELECT substring(query_text, 1, 4000) AS query_text, CAST(total_executions AS BI
 FROM (SELECT * FROM g ORDER BY total_executions DESC, query_text LIMIT 200)"""
 
 INVENTORY_SQL = """
-  inv AS (
+  inv0 AS (
     SELECT 'user' AS schema_name, CAST(user_id AS VARCHAR) AS table_name, strftime(ts, '%Y-%m-%d') AS index_name,
            count(*) FILTER (WHERE event_type = 'view') AS user_seeks,
            count(*) FILTER (WHERE event_type = 'click') AS user_scans,
            count(*) FILTER (WHERE event_type = 'purchase') AS user_lookups,
            count(*) FILTER (WHERE event_type = 'error') AS user_updates,
            count(*) AS size_kb,
-           list(event_type ORDER BY ts, event_id) AS cols
-    FROM events GROUP BY 1, 2, 3)"""
+           list(event_type ORDER BY ts, event_id) AS _seq
+    FROM events GROUP BY 1, 2, 3),
+  inv AS (
+    SELECT * EXCLUDE (_seq), list_filter(_seq, lambda x, i: list_position(_seq, x) = i) AS cols
+    FROM inv0)"""
 
 UNUSED_SQL = f"""WITH {INVENTORY_SQL}
 SELECT 'Unused' AS category, 'warning' AS severity, 1 AS severity_rank, schema_name, table_name, index_name,
