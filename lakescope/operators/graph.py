@@ -26,8 +26,9 @@ def node_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges as (frm, to) in the walking direction: 'dependents' walks dst -> src, 'dependencies' src -> dst."""
-    e = edges.select("src", "dst").distinct()
+    """Edges as (frm, to) in the walking direction: 'dependents' walks dst -> src, 'dependencies' src -> dst.
+    Duplicate edges are harmless: every BFS step is deduplicated."""
+    e = edges.select("src", "dst")
     if direction == "dependents":
         return e.select(F.col("dst").alias("frm"), F.col("src").alias("to"))
     if direction == "dependencies":
@@ -42,9 +43,13 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "dependents", max_d
     ``seeds`` has (root, node). The root is not pre-marked as visited, so a root on a cycle (or with
     a self edge) reaches itself, as the impact rule requires. With ``include_seed_level`` the seeds
     themselves are returned at depth 0 and are never revisited (lineage rule). Each round's new pairs
-    are checkpointed once and never rewritten; the visited set is the union of those rounds.
+    are written once to the shared folder and never rewritten; the visited set is their union.
     """
-    e = cut_lineage(_directed(edges, direction))
+    return _bfs(cut_lineage(_directed(edges, direction)), seeds, max_depth, include_seed_level)
+
+
+def _bfs(e: DataFrame, seeds: DataFrame, max_depth: int | None, include_seed_level: bool) -> DataFrame:
+    """BFS over materialised (frm, to) edges."""
     frontier = cut_lineage(seeds.select("root", "node").distinct().withColumn("depth", F.lit(0)))
     parts = [frontier] if include_seed_level else []
     depth = 0
@@ -113,10 +118,11 @@ def lineage(edges: DataFrame, start: DataFrame | str, shared_visited: bool = Fal
     """
     if isinstance(start, str):
         start = edges.sparkSession.createDataFrame([(start,)], "node string")
-    edges = cut_lineage(edges.select("src", "dst").distinct())
+    up_e = cut_lineage(_directed(edges, "dependencies"))
+    down_e = up_e.select(F.col("to").alias("frm"), F.col("frm").alias("to"))
     seeds = start.select(F.col("node").alias("root"), F.col("node"))
-    up = bfs(edges, seeds, "dependencies", max_depth, include_seed_level=True)
-    down = bfs(edges, seeds, "dependents", max_depth, include_seed_level=True)
+    up = _bfs(up_e, seeds, max_depth, include_seed_level=True)
+    down = _bfs(down_e, seeds, max_depth, include_seed_level=True)
     up = up.filter(F.col("depth") > 0).select("root", "node", F.lit("upstream").alias("direction"),
                                              (-F.col("depth")).alias("layer"))
     down = down.filter(F.col("depth") > 0)

@@ -69,4 +69,4 @@ def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
         return df.checkpoint(eager=True)
     path = scratch_path(spark, "round")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
