@@ -133,3 +133,53 @@ def jobs_touching(jobs: DataFrame, job_steps: DataFrame, database: str) -> DataF
     hit = job_steps.filter((F.lower("step_database") == database.lower())
                            | F.lower("command").contains(database.lower())).select("job_name").distinct()
     return jobs.join(hit, "job_name", "left_semi")
+
+
+def assemble_indexes(index_columns: DataFrame) -> DataFrame:
+    """One row per index with its key columns in key order (included columns left out).
+
+    ``index_columns``: database_name, schema_name, table_name, index_name, index_type, is_unique,
+    is_clustered, column_name, key_ordinal, is_included.
+    """
+    k = ["database_name", "schema_name", "table_name", "index_name"]
+    keys = index_columns.filter(~F.coalesce(F.col("is_included"), F.lit(False)))
+    return keys.groupBy(*k).agg(
+        F.first("index_type").alias("index_type"), F.bool_or("is_unique").alias("is_unique"),
+        F.bool_or("is_clustered").alias("is_clustered"),
+        F.transform(F.array_sort(F.collect_list(F.struct("key_ordinal", "column_name"))),
+                    lambda s: s["column_name"]).alias("columns"))
+
+
+def indexes_from_positions(indexes: DataFrame, columns: DataFrame) -> DataFrame:
+    """Indexes whose keys are an array of column positions (``key_positions``) joined to the column
+    catalog (``ordinal_position``) keeping the array order: posexplode, then an equi-join."""
+    k = ["database_name", "schema_name", "table_name"]
+    ex = indexes.select(*k, "index_name", "index_type", "is_unique", "is_clustered",
+                        F.posexplode("key_positions").alias("key_ordinal", "ordinal_position"))
+    j = ex.join(columns.select(*k, "ordinal_position", "column_name"), k + ["ordinal_position"])
+    return assemble_indexes(j.withColumn("is_included", F.lit(False)))
+
+
+def assemble_triggers(trigger_events: DataFrame) -> DataFrame:
+    """One row per trigger with its events joined by ', ' in a fixed order (INSERT, UPDATE, DELETE)."""
+    order = F.when(F.upper("event") == "INSERT", 1).when(F.upper("event") == "UPDATE", 2) \
+        .when(F.upper("event") == "DELETE", 3).otherwise(4)
+    k = ["database_name", "schema_name", "trigger_name"]
+    return trigger_events.groupBy(*k).agg(
+        F.first("parent_table").alias("parent_table"), F.first("trigger_type").alias("trigger_type"),
+        F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(order.alias("o"), F.upper("event").alias("e")))),
+                                 lambda s: s["e"]), ", ").alias("trigger_events"),
+        F.coalesce(F.bool_and("is_enabled"), F.lit(True)).alias("is_enabled"),
+        F.first("definition").alias("definition"))
+
+
+def standalone_types(user_types: DataFrame, relation_types: DataFrame) -> DataFrame:
+    """User types that do not back a relation (NOT EXISTS as a left anti join on the type name)."""
+    r = relation_types.select("database_name", "schema_name", F.col("type_name"))
+    return user_types.join(r, ["database_name", "schema_name", "type_name"], "left_anti")
+
+
+def job_last_run(job_history: DataFrame) -> DataFrame:
+    """Latest run per job from history rows with integer ``run_date`` (yyyyMMdd)."""
+    d = F.to_date(F.col("run_date").cast("string"), "yyyyMMdd")
+    return job_history.groupBy("database_name", "job_name").agg(F.max(d).alias("last_run_date"))

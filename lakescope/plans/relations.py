@@ -77,6 +77,14 @@ def quality_issues(spark, sf_dir):
     return Q.quality_issues(cols, idx, fks, rel).drop("database_name")
 
 
+def diagram_columns(spark, sf_dir):
+    """V-1: every TPC-H column with its key flags: primary (inferred), declared FK, suggested FK."""
+    from lakescope.operators import diagram as V
+    _, cols, fks, idx = tpch_frames(spark, sf_dir)
+    rel = R.implicit_fks(cols, idx, fks)
+    return V.column_flags(cols, fks, rel).drop("database_name")
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 def _catalog_sql():
@@ -223,7 +231,19 @@ QUALITY_SQL = f"""WITH {_catalog_sql()},{IMPLICIT_SQL_BODY},
     SELECT category, severity, CAST(severity_rank AS INTEGER) AS severity_rank, object_name, description,
            recommendation FROM issues"""
 
+DIAGRAM_COLUMNS_SQL = f"""WITH {_catalog_sql()},{IMPLICIT_SQL_BODY}
+SELECT 'dbo.' || c.table_name AS "table", c.column_name, c.ordinal AS ordinal_position,
+       coalesce(c.column_name = pk.pk_column, false) AS pk,
+       EXISTS (SELECT 1 FROM declared d WHERE d.from_table = c.table_name AND d.from_column = c.column_name) AS fk,
+       coalesce(c.column_name = pk.pk_column, false) = false
+         AND NOT EXISTS (SELECT 1 FROM declared d WHERE d.from_table = c.table_name AND d.from_column = c.column_name)
+         AND EXISTS (SELECT 1 FROM implicit i WHERE i.from_table = c.table_name AND i.from_column = c.column_name)
+         AS sfk,
+       true AS is_nullable
+FROM cat c LEFT JOIN pk ON pk.table_name = c.table_name"""
+
 QUERIES = {
+    "diagram_columns": diagram_columns,
     "inferred_primary_keys": inferred_primary_keys,
     "implicit_fk": implicit_fk,
     "fk_orphans": fk_orphans,
@@ -231,6 +251,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "diagram_columns": DIAGRAM_COLUMNS_SQL,
     "inferred_primary_keys": PK_SQL,
     "implicit_fk": IMPLICIT_SQL,
     "fk_orphans": ORPHANS_SQL,

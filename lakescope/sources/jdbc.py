@@ -83,8 +83,10 @@ def read_catalog(spark: SparkSession, url: str, database_name: str, properties:
     db = F.lit(database_name).alias("database_name")
     cols = read_query(spark, url, COLUMNS_SQL, properties)
     pks = read_query(spark, url, PRIMARY_KEYS_SQL, properties).withColumn("is_primary_key", F.lit(True))
+    # a sequence-backed default marks an identity column
     cols = cols.join(pks, ["schema_name", "table_name", "column_name"], "left").select(
-        db, "*", F.lit(False).alias("is_identity"), F.lit(False).alias("is_computed"))
+        db, "*", F.coalesce(F.col("default_value").startswith("nextval("), F.lit(False)).alias("is_identity"),
+        F.lit(False).alias("is_computed"))
     cols = cols.withColumn("is_primary_key", F.coalesce(F.col("is_primary_key"), F.lit(False))) \
         .withColumn("is_nullable", F.col("is_nullable") == 1)
     fks = read_query(spark, url, FOREIGN_KEYS_SQL, properties).select(db, "*")

@@ -97,3 +97,31 @@ def test_session_catalog_reader(spark):
     cat = read_session_catalog(spark, ["default"], include_temporary=True)
     got = rows(cat["columns"].filter("table_name = 'tmp_people'"), "column_name", "data_type", "ordinal_position")
     assert got == [("Id", "bigint", 1), ("Name", "string", 2)]
+
+
+def test_index_trigger_type_job_assembly(spark):
+    ic = spark.createDataFrame([
+        ("d", "s", "T", "IX_a", "NONCLUSTERED", False, False, "B", 2, False),
+        ("d", "s", "T", "IX_a", "NONCLUSTERED", False, False, "A", 1, False),
+        ("d", "s", "T", "IX_a", "NONCLUSTERED", False, False, "C", 0, True)],
+        "database_name string, schema_name string, table_name string, index_name string, index_type string, "
+        "is_unique boolean, is_clustered boolean, column_name string, key_ordinal int, is_included boolean")
+    assert CO.assemble_indexes(ic).first().columns == ["A", "B"]
+    cols = spark.createDataFrame([("d", "s", "T", 1, "x"), ("d", "s", "T", 2, "y"), ("d", "s", "T", 3, "z")],
+                                 "database_name string, schema_name string, table_name string, ordinal_position int, "
+                                 "column_name string")
+    ix = spark.createDataFrame([("d", "s", "T", "IX", "btree", True, False, [3, 1])],
+                               "database_name string, schema_name string, table_name string, index_name string, "
+                               "index_type string, is_unique boolean, is_clustered boolean, key_positions array<int>")
+    assert CO.indexes_from_positions(ix, cols).first().columns == ["z", "x"]
+    te = spark.createDataFrame([("d", "s", "tr", "T", "AFTER", "delete", True, "x"),
+                                ("d", "s", "tr", "T", "AFTER", "insert", True, "x")],
+                               "database_name string, schema_name string, trigger_name string, parent_table string, "
+                               "trigger_type string, event string, is_enabled boolean, definition string")
+    assert CO.assemble_triggers(te).first().trigger_events == "INSERT, DELETE"
+    ut = spark.createDataFrame([("d", "s", "money_t"), ("d", "s", "row_t")],
+                               "database_name string, schema_name string, type_name string")
+    assert rows(CO.standalone_types(ut, ut.filter("type_name = 'row_t'")), "type_name") == [("money_t",)]
+    jh = spark.createDataFrame([("d", "J", 20240105), ("d", "J", 20240301)],
+                               "database_name string, job_name string, run_date int")
+    assert str(CO.job_last_run(jh).first().last_run_date) == "2024-03-01"
