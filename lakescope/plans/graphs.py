@@ -79,6 +79,11 @@ def record_impact(spark, sf_dir):
     return G.importance(e, G.reachable(e), record_nodes(spark, sf_dir))
 
 
+def record_impact_approx(spark, sf_dir):
+    """D-4 at scale: approximate impact size of every record node (HLL sketches, no closure table)."""
+    return G.approx_impact(cut_lineage(record_edges(spark, sf_dir)))
+
+
 def core_records(spark, sf_dir):
     """D-6 / O6 / W1: the ten most important record nodes with their rank."""
     e = cut_lineage(record_edges(spark, sf_dir))
@@ -228,6 +233,7 @@ UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2"""
 
 QUERIES = {
     "record_impact": record_impact,
+    "record_impact_approx": record_impact_approx,
     "core_records": core_records,
     "lineage_layers": lineage_layers,
     "lineage_subgraph": lineage_subgraph,

@@ -105,3 +105,14 @@ def test_lineage_layers_and_shared_visited(spark):
     assert ("x", "downstream", 1) not in shared  # x is already upstream
     sub = rows(G.induced_edges(e, spark.createDataFrame([("v",), ("t",)], "node string")), "src", "dst")
     assert sub == [("v", "t")]
+
+
+def test_approx_impact_matches_exact_on_small_graphs(spark):
+    rnd = random.Random(3)
+    nodes = [f"n{i:02d}" for i in range(30)]
+    pairs = list({(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(45)})
+    exact = {k: len(v) for k, v in _impact(spark, pairs).items()}
+    approx = {r.node: r.approx_impact for r in G.approx_impact(_edges(spark, pairs)).collect()}
+    assert set(approx) == set(exact)
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(1, 0.05 * v)
