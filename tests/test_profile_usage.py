@@ -79,3 +79,21 @@ def test_naming_signal_first_prefix(spark):
                                                                       "simple_name string")
     got = rows(U.naming_signal(objs), "object_name", "evidence")
     assert got == [("dbo.Orders_Archive", "name contains 'archive'"), ("dbo.tmp_x", "name starts with 'tmp'")]
+
+
+def test_execution_log_and_orphan_signals(spark):
+    procs = spark.createDataFrame([("dbo", "usp_a", 3, None), ("dbo", "usp_b", 0, None)],
+                                  "schema_name string, name string, execution_count long, last_execution timestamp")
+    got = rows(U.execution_signal(procs, "Procedure", 45), "object_name", "weight")
+    assert [(n, str(w)) for n, w in got] == [("dbo.usp_a", "1.0"), ("dbo.usp_b", "-0.8")]
+    assert U.execution_signal(procs, "Procedure", 10).count() == 1  # no negative evidence before 30 days
+    mentions = spark.createDataFrame([("dbo", "Orders", 12), ("dbo", "Lines", 0)],
+                                     "schema_name string, table_name string, executions long")
+    assert rows(U.log_text_signal(mentions), "object_name") == [("dbo.Orders",)]
+    objs = spark.createDataFrame([("dbo.v1", "View"), ("dbo.v2", "View"), ("dbo.p1", "Procedure"),
+                                  ("dbo.T", "Table"), ("dbo.U", "Table")], "object_name string, object_type string")
+    fk = spark.createDataFrame([("dbo.U", "dbo.T")], "src string, dst string")
+    dep = spark.createDataFrame([("dbo.v2", "dbo.v1"), ("dbo.v1", "dbo.T")], "src string, dst string")
+    got = {r.object_name: str(r.weight) for r in U.orphan_signal(objs, fk, dep).collect()}
+    # T: FK target + dependency target = 2 kinds -> +0.3; U: FK source only -> no row
+    assert got == {"dbo.v1": "0.3", "dbo.v2": "-0.5", "dbo.p1": "-0.5", "dbo.T": "0.3"}
