@@ -123,6 +123,16 @@ def membership_components(spark, sf_dir):
     return G.connected_components(membership_edges(spark, sf_dir))
 
 
+def record_subgraph(spark, sf_dir):
+    """Customers, nations and regions of the record graph, with the edges among them."""
+    from lakescope.operators import diagram as V
+    e = cut_lineage(record_edges(spark, sf_dir))
+    nodes = G.node_table(e, record_nodes(spark, sf_dir)).select(
+        "node", F.split(F.col("node"), ":")[0].alias("node_type"), F.lit("testdata").alias("database_name"))
+    _, sub = V.filter_graph(nodes, e.withColumnRenamed("kind", "edge_type"), node_types=["c", "n", "r"])
+    return sub
+
+
 def graph_counts(spark, sf_dir):
     """V-3 / G10: record-graph nodes by type and edges by kind."""
     e = record_edges(spark, sf_dir)
@@ -231,7 +241,12 @@ GRAPH_COUNTS_SQL = f"""WITH {RECORD_EDGES_SQL}
 SELECT 'node' AS what, split_part(node, ':', 1) AS kind, count(*) AS n FROM nodes GROUP BY 2
 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2"""
 
+RECORD_SUBGRAPH_SQL = f"""WITH {RECORD_EDGES_SQL}
+SELECT dst, src, kind AS edge_type FROM edges
+WHERE split_part(src, ':', 1) IN ('c', 'n', 'r') AND split_part(dst, ':', 1) IN ('c', 'n', 'r')"""
+
 QUERIES = {
+    "record_subgraph": record_subgraph,
     "record_impact": record_impact,
     "record_impact_approx": record_impact_approx,
     "core_records": core_records,
@@ -245,6 +260,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "record_subgraph": RECORD_SUBGRAPH_SQL,
     "record_impact": RECORD_IMPACT_SQL,
     "core_records": CORE_RECORDS_SQL,
     "lineage_layers": LINEAGE_LAYERS_SQL,

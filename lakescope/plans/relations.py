@@ -85,6 +85,23 @@ def diagram_columns(spark, sf_dir):
     return V.column_flags(cols, fks, rel).drop("database_name")
 
 
+def missing_key_banner(spark, sf_dir):
+    """H5: suggested keys with their confidence band (high from 0.8, medium from 0.7, else low)."""
+    from lakescope.operators import search as H
+    _, cols, fks, idx = tpch_frames(spark, sf_dir)
+    rel = R.implicit_fks(cols, idx, fks)
+    return H.missing_key_banner(rel).select("from_table", "from_column", "to_table",
+                                            F.col("confidence").cast("double").alias("confidence"), "band")
+
+
+def diagram_edges(spark, sf_dir):
+    """V-2: diagram edges of the TPC-H catalog: declared keys, then suggested keys from 0.7."""
+    from lakescope.operators import diagram as V
+    _, cols, fks, idx = tpch_frames(spark, sf_dir)
+    rel = R.implicit_fks(cols, idx, fks)
+    return V.diagram_edges(fks, None, rel).drop("database_name")
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 def _catalog_sql():
@@ -242,7 +259,26 @@ SELECT 'dbo.' || c.table_name AS "table", c.column_name, c.ordinal AS ordinal_po
        true AS is_nullable
 FROM cat c LEFT JOIN pk ON pk.table_name = c.table_name"""
 
+BANNER_SQL = f"""WITH {_catalog_sql()},{IMPLICIT_SQL_BODY}
+SELECT from_table, from_column, to_table, confidence,
+       CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS band
+FROM implicit"""
+
+DIAGRAM_EDGES_SQL = f"""WITH {_catalog_sql()},{IMPLICIT_SQL_BODY},
+  e AS (
+    SELECT 'dbo.' || from_table AS src, 'dbo.' || to_table AS dst, 'fk' AS edge_type, 0 AS o,
+           'FK: FK_' || from_table || '_' || to_table AS label FROM declared
+    UNION ALL
+    SELECT 'dbo.' || from_table, 'dbo.' || to_table, 'implicit', 2,
+           printf('Suggested FK: dbo.%s.%s -> dbo.%s.%s (%d%%)', from_table, from_column, to_table, to_column,
+                  CAST(round(confidence * 100) AS INTEGER))
+    FROM implicit WHERE confidence >= 0.7)
+SELECT src, dst, edge_type, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY lower(src), lower(dst) ORDER BY o) AS rn FROM e) WHERE rn = 1"""
+
 QUERIES = {
+    "missing_key_banner": missing_key_banner,
+    "diagram_edges": diagram_edges,
     "diagram_columns": diagram_columns,
     "inferred_primary_keys": inferred_primary_keys,
     "implicit_fk": implicit_fk,
@@ -251,6 +287,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "missing_key_banner": BANNER_SQL,
+    "diagram_edges": DIAGRAM_EDGES_SQL,
     "diagram_columns": DIAGRAM_COLUMNS_SQL,
     "inferred_primary_keys": PK_SQL,
     "implicit_fk": IMPLICIT_SQL,
