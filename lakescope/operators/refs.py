@@ -296,9 +296,12 @@ def table_mentions(log_texts: DataFrame, columns: DataFrame) -> DataFrame:
                           F.lower("table_name").alias("token")).unionByName(
         tables.select("database_name", "schema_name", "table_name",
                       F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("token")))
-    t = log_texts.withColumn("_tid", F.monotonically_increasing_id())
-    toks = t.select("database_name", "_tid", "total_executions", "last_execution",
-                    F.explode(word_tokens(F.col("query_text"))).alias("token"))
+    # one row per distinct text (deterministic under retries; identical texts are tokenised once)
+    t = log_texts.groupBy("database_name", "query_text").agg(
+        F.sum("total_executions").alias("total_executions"), F.max("last_execution").alias("last_execution"))
+    t = t.withColumn("_tid", F.sha2("query_text", 256))
+    toks = t.select("database_name", "_tid", "query_text", "total_executions", "last_execution",
+                    F.explode(word_tokens(F.col("query_text"))).alias("token")).drop("query_text")
     hits = toks.join(names, ["database_name", "token"]).select(
         "database_name", "schema_name", "table_name", "_tid", "total_executions", "last_execution").distinct()
     return hits.groupBy("database_name", "schema_name", "table_name").agg(
