@@ -167,19 +167,24 @@ def induced_edges(edges: DataFrame, node_set: DataFrame) -> DataFrame:
 
 
 def _propagate_min(edges_ft: DataFrame, labels: DataFrame, same_color: bool = False) -> DataFrame:
-    """Min-label propagation along (frm, to) to a fixpoint: label(to) = min(label(to), label(frm))."""
+    """Min-label propagation along (frm, to) to a fixpoint: label(to) = min(label(to), label(frm)).
+
+    Delta propagation: only nodes whose label changed in the last round send their label on, so late
+    rounds touch a small frontier instead of every edge.
+    """
     labels = cut_lineage(labels)
+    changed = labels
     while True:
-        cand = labels.join(edges_ft, labels.node == edges_ft.frm).select(
-            F.col("to").alias("node"), F.col("label").alias("cand"))
-        best = cand.groupBy("node").agg(F.min("cand").alias("cand"))
-        new = labels.join(best, "node", "left").select(
+        cand = changed.join(edges_ft, changed.node == edges_ft.frm).groupBy(F.col("to").alias("node")).agg(
+            F.min("label").alias("cand"))
+        new = labels.join(cand, "node", "left").select(
             "node", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label"),
-            (F.col("cand") < F.col("label")).alias("_changed"))
+            F.coalesce(F.col("cand") < F.col("label"), F.lit(False)).alias("_changed"))
         new = cut_lineage(new)
-        if new.filter(F.col("_changed")).isEmpty():
-            return new.drop("_changed")
+        changed = new.filter(F.col("_changed")).select("node", "label")
         labels = new.drop("_changed")
+        if changed.isEmpty():
+            return labels
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
