@@ -54,6 +54,28 @@ def failures(spark: SparkSession, errors: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(errors, "database_name string, error string")
 
 
+def read_estate(spark: SparkSession, loaders: dict, sections: list[str] | None = None):
+    """Read the catalog of every database and union them; a database whose reader fails is
+    recorded in the failure table and the others go on. ``loaders`` maps database name to a callable
+    returning a dict of catalog frames (for example ``sources.jdbc.read_catalog``); the frames are
+    resolved eagerly (schemas, connection) so failures surface here, not later in a shared plan."""
+    from functools import reduce as _reduce
+    good: dict[str, list[DataFrame]] = {}
+    errors: list[tuple[str, str]] = []
+    for name, loader in loaders.items():
+        try:
+            frames = {k: df for k, df in loader().items() if sections is None or k in sections}
+            for df in frames.values():
+                df.schema  # resolve now, so a failure keeps none of this database's frames
+        except Exception as e:  # fault isolation: record and go on
+            errors.append((name, f"{type(e).__name__}: {str(e)[:500]}"))
+            continue
+        for k, df in frames.items():
+            good.setdefault(k, []).append(df)
+    merged = {k: _reduce(DataFrame.unionByName, v) for k, v in good.items()}
+    return merged, failures(spark, errors)
+
+
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a result table partitioned by database (dynamic partition overwrite replaces only the
     databases present in ``df``)."""
