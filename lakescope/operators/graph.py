@@ -190,16 +190,29 @@ def _propagate_min(edges_ft: DataFrame, labels: DataFrame, same_color: bool = Fa
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """K-1: strongly connected components — (node, scc_id, scc_size); scc_id is the least node name.
 
-    Forward-backward colouring: propagate the least node label forward to a fixpoint; every node
-    whose label is its own name roots one component, which is found by walking backwards inside
-    its colour. Assigned nodes leave the graph and the rest is coloured again. A node with only a
-    self edge is a component of size 1 (no cycle).
+    First trimming: a node with no incoming or no outgoing edge left is a component by itself; such
+    nodes are removed round after round, which dissolves every acyclic part of the graph cheaply.
+    Then forward-backward colouring of what is left: propagate the least node label forward to a
+    fixpoint; every node whose label is its own name roots one component, found by walking backwards
+    inside its colour. Assigned nodes leave the graph, and trimming and colouring repeat. A node with
+    only a self edge is a component of size 1 (no cycle).
     """
     e_all = edges.select("src", "dst").distinct().filter(F.col("src") != F.col("dst"))
     remaining = cut_lineage(node_table(edges, nodes))
     e = cut_lineage(e_all)
     assigned = None
     while not remaining.isEmpty():
+        has_in = e.select(F.col("dst").alias("node")).distinct()
+        has_out = e.select(F.col("src").alias("node")).distinct()
+        on_cycle_maybe = remaining.join(has_in, "node", "left_semi").join(has_out, "node", "left_semi")
+        trivial = cut_lineage(remaining.join(on_cycle_maybe, "node", "left_anti"))
+        if not trivial.isEmpty():
+            found = trivial.select("node", F.col("node").alias("scc_id"))
+            assigned = found if assigned is None else cut_lineage(assigned.unionByName(found))
+            remaining = cut_lineage(remaining.join(trivial, "node", "left_anti"))
+            e = cut_lineage(e.join(trivial.select(F.col("node").alias("src")), "src", "left_anti")
+                            .join(trivial.select(F.col("node").alias("dst")), "dst", "left_anti"))
+            continue
         # colour: least label reachable backwards (labels flow along dependency edges src -> dst)
         ft = e.select(F.col("src").alias("frm"), F.col("dst").alias("to"))
         colour = _propagate_min(ft, remaining.select("node", F.col("node").alias("label")))
