@@ -112,6 +112,12 @@ def trade_cycles(spark, sf_dir):
     return G.strongly_connected(trade_edges(spark, sf_dir))
 
 
+def record_cycles(spark, sf_dir):
+    """K-1 on the record graph: every node with its strongly connected component (acyclic: all singletons)."""
+    e = cut_lineage(record_edges(spark, sf_dir))
+    return G.strongly_connected(e, record_nodes(spark, sf_dir))
+
+
 def trade_cycle_edges(spark, sf_dir):
     """K-2: trade edges inside a cycle."""
     e = cut_lineage(trade_edges(spark, sf_dir))
@@ -245,7 +251,15 @@ RECORD_SUBGRAPH_SQL = f"""WITH {RECORD_EDGES_SQL}
 SELECT dst, src, kind AS edge_type FROM edges
 WHERE split_part(src, ':', 1) IN ('c', 'n', 'r') AND split_part(dst, ':', 1) IN ('c', 'n', 'r')"""
 
+RECORD_SCC_SQL = f"""WITH RECURSIVE {RECORD_EDGES_SQL},
+  reach(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
+  mutual AS (SELECT r1.a AS node, r1.b AS other FROM reach r1 JOIN reach r2 ON r1.a = r2.b AND r1.b = r2.a),
+  ids AS (SELECT n.node, least(n.node, coalesce(min(m.other), n.node)) AS scc_id
+          FROM nodes n LEFT JOIN mutual m ON m.node = n.node GROUP BY n.node)
+SELECT node, scc_id, count(*) OVER (PARTITION BY scc_id) AS scc_size FROM ids"""
+
 QUERIES = {
+    "record_cycles": record_cycles,
     "record_subgraph": record_subgraph,
     "record_impact": record_impact,
     "record_impact_approx": record_impact_approx,
@@ -260,6 +274,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "record_cycles": RECORD_SCC_SQL,
     "record_subgraph": RECORD_SUBGRAPH_SQL,
     "record_impact": RECORD_IMPACT_SQL,
     "core_records": CORE_RECORDS_SQL,
