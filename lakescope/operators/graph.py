@@ -197,9 +197,9 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     inside its colour. Assigned nodes leave the graph, and trimming and colouring repeat. A node with
     only a self edge is a component of size 1 (no cycle).
     """
-    e_all = edges.select("src", "dst").distinct().filter(F.col("src") != F.col("dst"))
-    remaining = cut_lineage(node_table(edges, nodes))
-    e = cut_lineage(e_all)
+    e0 = cut_lineage(edges.select("src", "dst").distinct())
+    remaining = cut_lineage(node_table(e0, nodes))
+    e = e0.filter(F.col("src") != F.col("dst"))
     assigned = None
     while not remaining.isEmpty():
         has_in = e.select(F.col("dst").alias("node")).distinct()

@@ -14,6 +14,7 @@ from lakescope.operators import quality as Q
 from lakescope.operators import relations as R
 from lakescope.plans.profiling import profile_sql
 from lakescope.plans.schemas import TABLE_COLUMNS
+from lakescope.session import cut_lineage
 from lakescope.sources import catalog as C
 from lakescope.sources.tables import TPCH_TABLES, read_tables
 
@@ -39,7 +40,8 @@ def tpch_frames(spark, sf_dir):
     cols = cols.join(pk, cols.table_name == pk._t, "left").withColumn(
         "is_primary_key", F.coalesce(F.col("column_name") == F.col("pk_column"), F.lit(False))
     ).drop("_t", "pk_column")
-    cols = C.conform(cols, "columns")
+    # the catalog is small metadata derived from a scan of every table: materialise it once
+    cols = cut_lineage(C.conform(cols, "columns"))
     fks = C.frame(spark, "foreign_keys", [
         {"database_name": DB, "fk_name": n, "from_schema": SCHEMA, "from_table": ft, "from_column": fc,
          "to_schema": SCHEMA, "to_table": tt, "to_column": tc, "delete_rule": "NO_ACTION",
