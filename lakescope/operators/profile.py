@@ -293,23 +293,41 @@ def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
             f"FROM (SELECT {_q(f.name)} AS v, count(1) AS n FROM {{{view}}} GROUP BY {_q(f.name)})")
 
 
-def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False) -> DataFrame:
+# Above this many column branches the profile runs chunk by chunk (very wide tables or estates).
+MAX_BRANCHES = 400
+
+
+def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False,
+                       max_branches: int = MAX_BRANCHES) -> DataFrame:
     """Exact estate profile as one Spark SQL statement: a UNION ALL of per-column ``GROUP BY`` branches
-    (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator."""
+    (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator.
+
+    With more than ``max_branches`` columns the branches are split into chunks; each chunk runs as its
+    own job and its (small) result is written to the shared checkpoint folder, so no single plan grows
+    with the width of the estate.
+    """
     spark = next(iter(tables.values())).sparkSession
-    branches, args = [], {}
+    branches = []
+    views = {f"t{k}": df for k, df in enumerate(tables.values())}
     for k, (name, df) in enumerate(tables.items()):
-        view = f"t{k}"
-        args[view] = df
         for i, f in enumerate(df.schema.fields, start=1):
             if key_types_only and f.dataType.simpleString() not in KEY_TYPES:
                 continue
-            branches.append(_branch_sql(view, name, i, f))
-    body = "\nUNION ALL\n".join(branches)
-    sql = (f"SELECT *, CASE WHEN total_count = 0 THEN 0.0D ELSE CAST(null_count AS DOUBLE) / total_count * 100.0D "
-           f"END AS null_percentage FROM (\n{body}\n)")
-    out = spark.sql(sql, **args)
-    return out.select(*[F.col(c).cast(PROFILE_SCHEMA[c].dataType) for c in PROFILE_SCHEMA.fieldNames()])
+            branches.append((f"t{k}", _branch_sql(f"t{k}", name, i, f)))
+
+    def run(chunk):
+        used = sorted({v for v, _ in chunk})
+        body = "\nUNION ALL\n".join(b for _, b in chunk)
+        sql = (f"SELECT *, CASE WHEN total_count = 0 THEN 0.0D ELSE CAST(null_count AS DOUBLE) / total_count "
+               f"* 100.0D END AS null_percentage FROM (\n{body}\n)")
+        out = spark.sql(sql, **{v: views[v] for v in used})
+        return out.select(*[F.col(c).cast(PROFILE_SCHEMA[c].dataType) for c in PROFILE_SCHEMA.fieldNames()])
+
+    if len(branches) <= max_branches:
+        return run(branches)
+    from lakescope.session import cut_lineage
+    parts = [cut_lineage(run(branches[i:i + max_branches])) for i in range(0, len(branches), max_branches)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = True, key_types_only: bool = False,

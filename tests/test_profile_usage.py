@@ -97,3 +97,12 @@ def test_execution_log_and_orphan_signals(spark):
     got = {r.object_name: str(r.weight) for r in U.orphan_signal(objs, fk, dep).collect()}
     # T: FK target + dependency target = 2 kinds -> +0.3; U: FK source only -> no row
     assert got == {"dbo.v1": "0.3", "dbo.v2": "-0.5", "dbo.p1": "-0.5", "dbo.T": "0.3"}
+
+
+def test_wide_profile_in_chunks(spark):
+    """Chunked profiling (many branches) gives the same rows as one statement."""
+    from lakescope.sources.tables import read_tables
+    tabs = read_tables(spark, SF_SMALL, ["lineitem", "orders", "customer"])
+    one = rows(P.profile_tables_sql(tabs))
+    chunked = rows(P.profile_tables_sql(tabs, max_branches=5))
+    assert one == chunked and len(one) == 22
