@@ -13,10 +13,6 @@ from lakescope.functions.types import type_display
 TABLE_KEY = ["database_name", "schema_name", "table_name"]
 
 
-def _k(df: DataFrame, schema_col: str, table_col: str) -> DataFrame:
-    return df.withColumn("_ks", F.lower(schema_col)).withColumn("_kt", F.lower(table_col))
-
-
 def assemble_tables(columns: DataFrame, indexes: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """One row per base table with its columns (by ordinal), indexes and foreign keys nested."""
     base = columns.filter(F.coalesce(F.col("table_type"), F.lit("BASE TABLE")) == "BASE TABLE")

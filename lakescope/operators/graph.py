@@ -166,7 +166,7 @@ def induced_edges(edges: DataFrame, node_set: DataFrame) -> DataFrame:
     return e.join(ns.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def _propagate_min(edges_ft: DataFrame, labels: DataFrame, same_color: bool = False) -> DataFrame:
+def _propagate_min(edges_ft: DataFrame, labels: DataFrame) -> DataFrame:
     """Min-label propagation along (frm, to) to a fixpoint: label(to) = min(label(to), label(frm)).
 
     Delta propagation: only nodes whose label changed in the last round send their label on, so late

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.operators import catalog_ops as CO
 from lakescope.operators import estate as ES
 from lakescope.operators import profile as P
 from lakescope.operators import search as H
-from lakescope.plans.profiling import estate_profile_sql, profile_sql
-from lakescope.plans.relations import DECLARED_FKS, tpch_frames
+from lakescope.plans.profiling import estate_profile_sql
+from lakescope.plans.relations import tpch_frames
 from lakescope.sources import catalog as C
 from lakescope.sources.tables import TEST_TABLES, TPCH_TABLES, read_table, read_tables
 from lakescope.streaming.rollup import run_rollup
@@ -150,4 +147,3 @@ ORACLE = {
     "stream_rollup": STREAM_SQL,
 }
 
-_ = (reduce, DataFrame, profile_sql, DECLARED_FKS)

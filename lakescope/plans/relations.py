@@ -13,7 +13,6 @@ from lakescope.operators import profile as P
 from lakescope.operators import quality as Q
 from lakescope.operators import relations as R
 from lakescope.plans.profiling import profile_sql
-from lakescope.plans.schemas import TABLE_COLUMNS
 from lakescope.session import cut_lineage
 from lakescope.sources import catalog as C
 from lakescope.sources.tables import TPCH_TABLES, read_tables
@@ -298,4 +297,3 @@ ORACLE = {
     "quality_issues": QUALITY_SQL,
 }
 
-_ = TABLE_COLUMNS
