@@ -38,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is only set here when the session has none (local tests).
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+               or sc.getConf().get("spark.checkpoint.dir", None))
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
