@@ -65,6 +65,24 @@ def usage_scores(spark, sf_dir):
                     F.array_join("evidence", " | ").alias("evidence"))
 
 
+def supplier_usage(spark, sf_dir):
+    """N2 / N7 / N9 on data: suppliers as executed objects (one execution per line supplied; uptime from
+    the ship dates), never referenced by another object, scored and levelled."""
+    li = read_table(spark, sf_dir, "lineitem")
+    s = read_table(spark, sf_dir, "supplier")
+    per = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("execution_count"))
+    usage = s.join(per, s.s_suppkey == per.l_suppkey, "left").select(
+        F.lit("supplier").alias("schema_name"), F.col("s_suppkey").cast("string").alias("name"),
+        F.coalesce("execution_count", F.lit(0)).alias("execution_count"))
+    objects = usage.select(F.concat_ws(".", "schema_name", "name").alias("object_name"),
+                           F.lit("Procedure").alias("object_type"))
+    none = objects.select(F.col("object_name").alias("src"), F.col("object_name").alias("dst")).limit(0)
+    scores = U.usage_scores([U.execution_signal(usage, "Procedure", _uptime_days(spark, sf_dir)),
+                             U.orphan_signal(objects, none, none)])
+    return scores.select("object_name", "object_type", "score", "usage_level", "n_signals",
+                         F.array_join("evidence", " | ").alias("evidence"))
+
+
 def usage_summary(spark, sf_dir):
     """Objects per usage level."""
     return U.usage_summary(U.usage_scores(usage_signals(spark, sf_dir)))
@@ -307,7 +325,29 @@ SELECT 'Duplicate', 'info', 0, schema_name, table_name, index_name,
        printf('Consider dropping [%s] if [%s] covers the same queries.', index_name, covering_index), NULL
 FROM red"""
 
+SUPPLIER_USAGE_SQL = """WITH
+  up AS (SELECT date_diff('day', CAST(min(l_shipdate) AS DATE), CAST(max(l_shipdate) AS DATE)) AS d FROM lineitem),
+  per AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
+  sup AS (SELECT 'supplier.' || s_suppkey AS object_name, coalesce(n, 0) AS n FROM supplier
+          LEFT JOIN per ON per.l_suppkey = s_suppkey),
+  signals AS (
+    SELECT object_name, CASE WHEN n > 0 THEN 10 WHEN (SELECT d FROM up) >= 30 THEN -8 END AS w10,
+           CASE WHEN n > 0 THEN printf('%d executions', n) ELSE printf('no executions in %d days', (SELECT d FROM up))
+           END AS evidence FROM sup
+    UNION ALL
+    SELECT object_name, -5, 'not referenced by any other object' FROM sup),
+  g AS (SELECT object_name, sum(w10) AS s, count(*) AS n, string_agg(evidence, ' | ' ORDER BY evidence) AS evidence
+        FROM signals WHERE w10 IS NOT NULL GROUP BY object_name),
+  sc AS (SELECT *, ((100 * s) % n + n) % n AS r, (100 * s - (((100 * s) % n + n) % n)) // n AS q FROM g)
+SELECT object_name, 'Procedure' AS object_type,
+       CAST(CASE WHEN 2 * r > n THEN q + 1 WHEN 2 * r = n AND ((q % 2) + 2) % 2 = 1 THEN q + 1 ELSE q END
+            AS DOUBLE) / 1000 AS score,
+       CASE WHEN s >= 3 * n THEN 'Active' WHEN s >= -3 * n THEN 'Low' ELSE 'Unused' END AS usage_level,
+       n AS n_signals, evidence
+FROM sc"""
+
 QUERIES = {
+    "supplier_usage": supplier_usage,
     "usage_scores": usage_scores,
     "usage_summary": usage_summary,
     "usage_rollup": usage_rollup,
@@ -320,6 +360,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "supplier_usage": SUPPLIER_USAGE_SQL,
     "usage_scores": USAGE_SCORES_SQL,
     "usage_summary": USAGE_SUMMARY_SQL,
     "usage_rollup": USAGE_ROLLUP_SQL,
