@@ -15,10 +15,24 @@ from pyspark.sql import types as T
 from lakescope.session import scratch_path
 
 
+def utc_instant(c) -> F.Column:
+    """A time-zone-less timestamp read as UTC wall-clock time, as an instant (independent of the
+    session time zone); event-time watermarks need instants."""
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
+def utc_wall_clock(c) -> F.Column:
+    """An instant as time-zone-less UTC wall-clock time, by epoch arithmetic (no session zone)."""
+    secs = (F.unix_micros(c) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
 def rollup_stream(stream: DataFrame, ts_col: str, keys: list[str], window: str, watermark: str,
                   measure: str | None = None) -> DataFrame:
     """The streaming aggregation: per (window, keys) count, first, last and an exact decimal sum."""
-    ts = F.col(ts_col).cast("timestamp")
+    dt = stream.schema[ts_col].dataType
+    ts = utc_instant(F.col(ts_col)) if isinstance(dt, T.TimestampNTZType) else F.col(ts_col).cast("timestamp")
     s = stream.withColumn("_ts", ts).withWatermark("_ts", watermark)
     aggs = [F.count(F.lit(1)).alias("executions"), F.min("_ts").alias("first_seen"), F.max("_ts").alias("last_seen")]
     if measure:
@@ -44,18 +58,20 @@ def run_rollup(spark: SparkSession, source_dir: str, schema: T.StructType, ts_co
     q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_rollup(spark, out, keys, measure is not None)
+    return read_rollup(spark, out, keys, measure is not None,
+                       wall_clock=isinstance(schema[ts_col].dataType, T.TimestampNTZType))
 
 
-def read_rollup(spark: SparkSession, out: str, keys: list[str], has_measure: bool) -> DataFrame:
-    """Latest state per (window, keys) across the written micro-batches."""
+def read_rollup(spark: SparkSession, out: str, keys: list[str], has_measure: bool,
+                wall_clock: bool = True) -> DataFrame:
+    """Latest state per (window, keys) across the written micro-batches; times come back as UTC
+    wall-clock (time-zone-less) when the input was time-zone-less."""
     rows = spark.read.parquet(out)
     w = Window.partitionBy("w", *keys).orderBy(F.col("batch_id").desc())
     latest = rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    cols = [F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "executions",
-            F.col("first_seen").cast("timestamp_ntz").alias("first_seen"),
-            F.col("last_seen").cast("timestamp_ntz").alias("last_seen")]
+    t = utc_wall_clock if wall_clock else (lambda c: c)
+    cols = [t(F.col("w.start")).alias("window_start"), t(F.col("w.end")).alias("window_end"), *keys, "executions",
+            t(F.col("first_seen")).alias("first_seen"), t(F.col("last_seen")).alias("last_seen")]
     if has_measure:
         cols.append(F.col("measure_sum").cast("double").alias("measure_sum"))
     return latest.select(*cols)
