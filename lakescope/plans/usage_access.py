@@ -161,8 +161,8 @@ def impact_bands(spark, sf_dir):
 
 def access_recommendations(spark, sf_dir):
     """Unused, missing and duplicate advice in one frame."""
-    return A.recommendations(path_inventory(spark, sf_dir), missing_stats(spark, sf_dir),
-                             path_inventory(spark, sf_dir)).drop("database_name")
+    inv = path_inventory(spark, sf_dir)  # one plan for both consumers, so its exchange is reused
+    return A.recommendations(inv, missing_stats(spark, sf_dir), inv).drop("database_name")
 
 
 # ---------------------------------------------------------------- oracle SQL
