@@ -137,3 +137,28 @@ def test_missing_path_bands(spark):
     got = sorted((r.severity, r.recommendation.split("] ON ")[1]) for r in A.missing_paths(st).collect())
     assert got == [("error", "[dbo].[T] ([a]) INCLUDE ([c])"), ("info", "[dbo].[U] ([b])"),
                    ("warning", "[dbo].[T] ([a], [b])")]
+
+
+def test_same_schema_target_preferred(spark):
+    """With 'Orders' in two schemas, a column points at the one in its own schema."""
+    from lakescope.sources import catalog as C
+    cols = C.frame(spark, "columns", [
+        shop.col("sales", "Orders", "Id", "int", 1, pk=True, nullable=False),
+        shop.col("archive", "Orders", "Id", "int", 1, pk=True, nullable=False),
+        shop.col("archive", "Lines", "Id", "int", 1, pk=True, nullable=False),
+        shop.col("archive", "Lines", "OrderId", "int", 2),
+        shop.col("sales", "Lines2", "Id", "int", 1, pk=True, nullable=False),
+        shop.col("sales", "Lines2", "OrderId", "int", 2),
+    ])
+    got = rows(R.implicit_fks(cols), "from_schema", "from_table", "to_schema", "to_table")
+    assert got == [("archive", "Lines", "archive", "Orders"), ("sales", "Lines2", "sales", "Orders")]
+
+
+def test_name_clash_resolution(spark):
+    """A bare name shared by a table and a synonym resolves to the synonym (filled later)."""
+    from lakescope.operators import refs as E
+    known = spark.createDataFrame([("d", "dbo", "Things", "Table"), ("d", "ext", "Things", "Synonym")],
+                                  "database_name string, schema_name string, object_name string, object_type string")
+    al = {r.alias_key: (r.schema_name, r.object_type) for r in E.name_aliases(known).collect()}
+    assert al["things"] == ("ext", "Synonym")
+    assert al["dbo.things"] == ("dbo", "Table") and al["ext.things"] == ("ext", "Synonym")
