@@ -323,6 +323,8 @@ def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = Fals
         out = spark.sql(sql, **{v: views[v] for v in used})
         return out.select(*[F.col(c).cast(PROFILE_SCHEMA[c].dataType) for c in PROFILE_SCHEMA.fieldNames()])
 
+    if not branches:
+        return spark.createDataFrame([], PROFILE_SCHEMA)
     if len(branches) <= max_branches:
         return run(branches)
     from lakescope.session import cut_lineage
