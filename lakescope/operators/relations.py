@@ -187,8 +187,10 @@ def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     """
     cand_rows = candidates.select("from_table", "from_column", "to_table", "to_column").distinct().orderBy(
         "from_table", "from_column", "to_table", "to_column").collect()
-    if not cand_rows:
-        raise ValueError("no candidates to check")
+    if not cand_rows:  # nothing suggested or declared: an empty result
+        return candidates.sparkSession.createDataFrame(
+            [], "from_table string, from_column string, to_table string, to_column string, child_rows long, "
+                "null_rows long, orphan_rows long, orphan_values long, match_rate double")
     by_child, by_parent = defaultdict(list), defaultdict(list)
     for cid, r in enumerate(cand_rows):
         fam_c = type_family_py(tables[r.from_table].schema[r.from_column].dataType.simpleString())

@@ -162,3 +162,9 @@ def test_name_clash_resolution(spark):
     al = {r.alias_key: (r.schema_name, r.object_type) for r in E.name_aliases(known).collect()}
     assert al["things"] == ("ext", "Synonym")
     assert al["dbo.things"] == ("dbo", "Table") and al["ext.things"] == ("ext", "Synonym")
+
+
+def test_orphan_check_without_candidates(spark):
+    cands = spark.createDataFrame([], "from_table string, from_column string, to_table string, to_column string")
+    out = R.orphan_check(cands, {})
+    assert out.count() == 0 and "match_rate" in out.columns
