@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import mixing, quality
+from lakescope.llm import bpe, mixing, quality, token_files
 from lakescope.llm.shared import read
 
 
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as packed ids in doc_id order, read back from the files."""
+    return token_files.read_files(token_files.write(read(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents and the verdict of the certified cutoffs."""
     out = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -26,5 +31,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_lines", "n_capitals", "n_exclamations", "n_insults", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_quality_rules)}
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_quality_rules, op6_bpe_round_trip)}
 ORACLE: dict[str, str] = {}

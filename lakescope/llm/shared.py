@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +16,27 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Let Spark carry this package to the Python workers, once for each application, so that functions
+    in it can be loaded there whether or not the package is installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lakescope_shipped", False):
+        return spark
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at = os.path.join(tempfile.mkdtemp(prefix="lakescope-py-"), "lakescope.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
+    sc.addPyFile(at)
+    sc._lakescope_shipped = True
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the snapshot, by Spark's own reader (the folder may be in any store)."""
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
