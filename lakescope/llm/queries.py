@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, mixing, quality, token_files
+from lakescope.llm import bpe, licenses, line_dedup, mixing, quality, token_files
 from lakescope.llm.shared import read
 
 
@@ -36,5 +36,17 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_quality_rules, op6_bpe_round_trip)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat earlier ones, equal or one word edit away."""
+    out = line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines.n").alias("n_lines"), F.col("_lines.exact").alias("n_exact"), F.col("_lines.near").alias("n_near"),
+                      F.length("text").cast("long").alias("kept_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places and template matches in all documents."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op10_license_scan)}
 ORACLE: dict[str, str] = {}
