@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, licenses, line_dedup, mixing, quality, token_files
+from lakescope.llm import bpe, licenses, line_dedup, mixing, near_dup, quality, token_files
 from lakescope.llm.shared import read
 
 
@@ -48,5 +48,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op10_license_scan)}
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents at a similarity of 0.75 of five-word shingles."""
+    return near_dup.components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op10_license_scan,
+)}
 ORACLE: dict[str, str] = {}
