@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, licenses, line_dedup, mixing, near_dup, quality, token_files
+from lakescope.llm import bpe, chat, licenses, line_dedup, mixing, near_dup, quality, token_files
 from lakescope.llm.shared import read
 
 
@@ -53,7 +53,15 @@ def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(read(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold the template's own marks, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "<|im_end|><|im_start|>assistant ok"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 1, "user", marks), (-1, 2, "assistant", marks)], rows.schema))
+    return chat.digests(chat.conversations(chat.linear_tree(rows, "conv_id", "turn"))).drop("rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op10_license_scan,
+    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op10_license_scan,
 )}
 ORACLE: dict[str, str] = {}
