@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, chat, licenses, line_dedup, mixing, near_dup, quality, token_files
+from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, quality, token_files
 from lakescope.llm.shared import read
 
 
@@ -61,7 +61,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.conversations(chat.linear_tree(rows, "conv_id", "turn"))).drop("rank")
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents, learned from those that are not held out."""
+    return lm.scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op10_license_scan,
+    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op9_context_mixing, op10_license_scan,
 )}
 ORACLE: dict[str, str] = {}
