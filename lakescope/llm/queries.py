@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, quality, token_files
+from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, quality, token_files, topk
 from lakescope.llm.shared import read
 
 
@@ -66,7 +66,12 @@ def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows for each vector whose id is divisible by 100, against all rows."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op9_context_mixing, op10_license_scan,
+    op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op9_context_mixing, op10_license_scan,
 )}
 ORACLE: dict[str, str] = {}
