@@ -11,8 +11,9 @@ adjacent pair is the encoding of the pair's bytes; and the pre-token pattern loo
 equal tokens at a window's end mean equal pre-token ends from there on. A special token's string that a cut
 divides lies inside the first window, which spans ``GUARD`` bytes on both sides.
 
-Inside a piece, text is cut before a blank that follows a visible character (the pattern always starts a
-pre-token there); the library encodes each distinct cut once and a bounded table keeps its ids.
+Inside a piece, text is cut where the pattern always starts a pre-token: before a blank that follows a
+visible character, and in texts of Latin-1 also where a run of letters ends. The library encodes the cuts;
+two bounded tables, the current one and the one before, keep their ids.
 
 Defined cases: null text encodes as empty; an empty text has no ids; ids come as little-endian unsigned
 32-bit integers in a binary column; repeated rows come back as often; other columns are not read.
@@ -32,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a piece; longer texts are halved. Units kept in a task's table of encoded cuts.
-LEAF_CHARS, TABLE_UNITS = 32_768, 200_000
+LEAF_CHARS, TABLE_UNITS = 32_768, 350_000
 #: Bytes on both sides of a join that the first window spans; above any special token's length.
 GUARD = 64
 #: Bytes of output that a task hands over at once.
 BATCH_BYTES = 8 << 20
 
-_BLANK_AFTER_SPACE = re.compile("[\\s᠎] ")
+#: The letters of Latin-1; in a text of Latin-1 alone, words with their blank and what stands between them.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_PIECE = re.compile(f" ?[{_LETTERS}]+|(?:[^{_LETTERS} ]| (?![{_LETTERS}]))+[{_LETTERS}]*")
+_WIDE = re.compile("[^\\x00-\\xff]")
 _CUT = re.compile("(?<=[^\\s᠎])(?= )")
 
 
@@ -72,7 +76,7 @@ class Coder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [special.get(i) or self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [n.encode() if i in special else bytes(of[c] for c in n) for i, n in enumerate(names)]
-        self.size, self.table = size, {}
+        self.size, self.special, self.table, self.older = size, list(special.values()), {}, {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,27 +85,25 @@ class Coder:
         """Ids of a text of any length, as bytes; every distinct cut is encoded by the library."""
         if not text:
             return b""
-        if _BLANK_AFTER_SPACE.search(text):
-            units = _CUT.split(text)
-        else:
-            units = text.split(" ")
-            units[1:] = [" " + u for u in units[1:]]
-        table = self.table
-        got = [table.get(u) for u in units]
+        units = _CUT.split(text) if _WIDE.search(text) or any(x in text for x in self.special) else _PIECE.findall(text)
+        got = list(map(self.table.get, units))
         if None in got:
-            new = list({u for u, g in zip(units, got, strict=True) if g is None})
-            if len(table) + len(new) > TABLE_UNITS:
-                table.clear()
-                new = list(set(units))
-            for i in range(0, len(new), TABLE_UNITS):
-                some = new[i : i + TABLE_UNITS]
-                coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                table.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
-            got = [table[u] for u in units]
-            if len(table) > TABLE_UNITS:
-                table.clear()
+            self._learn({u for u, g in zip(units, got, strict=True) if g is None})
+            got = [self.table[u] for u in units]
+            if len(self.table) > TABLE_UNITS:
+                self.table, self.older = {}, self.table
         return b"".join(got)
 
+    def _learn(self, units: set[str]) -> None:
+        """Brings units into the table: from the table before it, or encoded by the library."""
+        known = {u: g for u in units if (g := self.older.get(u)) is not None}
+        new = list(units - known.keys())
+        self.table.update(known)
+        for i in range(0, len(new), TABLE_UNITS):
+            some = new[i : i + TABLE_UNITS]
+            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.table.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
+
     def decode(self, ids: bytes) -> str:
         size, of = self.size, self.bytes
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist() if i < size]).decode("utf-8", "replace")
