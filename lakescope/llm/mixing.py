@@ -132,9 +132,10 @@ def mixed_documents(docs: DataFrame, repeats: int = 3, seed: int = 0) -> DataFra
     stream = mix(d, source_targets(sources, cycling_weights(sources), repeats), repeats, seed)
     copies = stream.filter(F.col("taken") * 2 >= F.col("size")).groupBy("key").agg(F.count(F.lit(1)).alias("_copies"))
     alike = d.groupBy("key").agg(F.count(F.lit(1)).alias("_alike"))
-    plan = copies.join(alike, "key").select(F.col("key").alias("_key"), "_copies", "_alike")
-    out = docs.withColumn("_key", content_key()).join(plan, "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))) - 1
-    mine = (F.floor(F.col("_copies") / F.col("_alike")) + F.when(F.col("_nth") < F.col("_copies") % F.col("_alike"), 1).otherwise(0)).cast("int")
-    return out.withColumn("_nth", nth).withColumn("_mine", mine).filter("_mine > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*docs.columns)
+    plan = copies.join(alike, "key").select("key", "_copies", "_alike")
+    # the row as one struct, so that no column's name can clash with one used here
+    out = docs.select(F.struct(*docs.columns).alias("doc"), content_key().alias("key")).join(plan, "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))) - 1
+    mine = F.floor(F.col("_copies") / F.col("_alike")) + F.when(F.col("nth") < F.col("_copies") % F.col("_alike"), 1).otherwise(0)
+    out = out.withColumn("nth", nth).withColumn("mine", mine.cast("int")).filter("mine > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("mine")))).select("doc.*")

@@ -181,7 +181,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     known = labels.select("doc_id").distinct()
     counted = frozen(with_counts(plain.join(known, "doc_id", "left_semi")).drop("text").withColumn("stratum", stratum(F.col("lang"))))
     cuts = cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))
-    own = "_q_"
-    cuts = cuts.select(F.col("stratum").alias(f"{own}stratum"), *[F.col(f"cut_{r}").alias(f"{own}cut_{r}") for r in RULES])
-    seen = with_counts(docs, "text", own).withColumn(f"{own}stratum", stratum(F.col("lang")))
-    return seen.join(cuts, f"{own}stratum", "left").filter(verdict(own)).select(*docs.columns)
+    # the row as one struct, so that no column's name can clash with one used here
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), stratum(F.col("lang")).alias("stratum"))
+    return with_counts(d).join(cuts, "stratum", "left").filter(verdict()).select("doc.*")

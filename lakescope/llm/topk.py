@@ -105,8 +105,9 @@ def search_all(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray,
     rows = [[int(v) for v in r] for r in x]
     for i, own in enumerate(q):
         v = [int(c) for c in own]
-        best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(v, r, strict=True)), int(j)) for r, j in zip(rows, ids, strict=True) if j != q_ids[i]))
-        yield i, np.array([j for _, j in best], np.int64), [max(-LONG, min(LONG, -s)) for s, _ in best]
+        held = ((max(-LONG, min(LONG, sum(a * b for a, b in zip(v, r, strict=True)))), int(j)) for r, j in zip(rows, ids, strict=True) if j != q_ids[i])
+        best = heapq.nsmallest(k, ((-s, j) for s, j in held))
+        yield i, np.array([j for _, j in best], np.int64), [-s for s, _ in best]
 
 
 def _task(k: int):
