@@ -15,9 +15,10 @@ line's first or second half as it is, so such a line shares a half's hash with a
 exact, and most lines fail it.
 
 Scale: equal lines are one row with their earliest place, by a map-side minimum, so a line that fills a
-third of all rows costs one row for each task. Shuffles carry hashes and places; texts are shuffled once, to
-meet their documents' dropped lines. The lines that pass the test are broadcast to the second reading of
-the texts only below ``BROADCAST_ROWS`` rows of 16 bytes, and joined otherwise.
+third of all rows costs one row for each task. Shuffles carry hashes and ranks. Texts are read again only
+where a line needs its words, and once to take the dropped lines out. What those readings meet is
+broadcast if it has at most ``BROADCAST_ROWS`` rows (``BROADCAST_DOCS`` documents) by count, and joined by a
+shuffle otherwise.
 
 Defined cases: null text has no lines and stays null; lines without words stay; a null id comes last in the
 order; rows with one id and line number are equally early and none drops the other; a line of over
@@ -29,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakescope.llm.shared import SPACE_CLASS, frozen, let, words
+from lakescope.llm.shared import SPACE_CLASS, frozen, let, ranked, words
 
 EXACT_WORDS, NEAR_WORDS, PIECE_WORDS = 4, 8, 128
-BROADCAST_ROWS = 2_000_000
+#: Rows (of some 40 bytes) that may be broadcast, and documents with their dropped lines.
+BROADCAST_ROWS, BROADCAST_DOCS = 1_000_000, 200_000
 
 
 def pieces(text: Column) -> Column:
@@ -43,67 +45,61 @@ def pieces(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda t, k: F.transform(cut(t), lambda p: F.struct(k.alias("line"), p.alias("text")))))
 
 
-def _two(values: Column, first: Column, second: Column) -> Column:
-    """A 128-bit hash as a struct."""
-    return F.struct(first.alias("a"), second.alias("b"))
-
-
-def line_hash(h: Column) -> Column:
-    return _two(h, F.xxhash64(h), F.xxhash64(F.lit(1), h))
-
-
-def halves(h: Column) -> Column:
+def halves(h: Column) -> list[Column]:
     """Hashes of the first and the second half, for the own number of words and for one less."""
     out = []
     for less in (0, 1):
         n = F.size(h) - less
         head = F.floor(n / 2).cast("int")
         tail = n - head
-        out += [F.xxhash64(F.lit("first"), n, F.slice(h, F.lit(1), head)),
-                F.xxhash64(F.lit("second"), n, F.slice(h, F.size(h) - tail + 1, tail))]
-    return F.array(*out)
+        out += [F.xxhash64(n, F.slice(h, F.lit(1), head)), F.xxhash64(-n, F.slice(h, F.size(h) - tail + 1, tail))]
+    return out
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, keep_words: bool) -> DataFrame:
-    """Every piece of EXACT_WORDS words or more: place (null ids last), n, hash and its halves or words."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every piece of EXACT_WORDS words or more: place (null ids last), its 128-bit hash (a, b), and the
+    hashes of its halves where it has NEAR_WORDS words or more."""
     def of(p, no):
         def hashed(h):
             many = F.size(h) >= NEAR_WORDS
-            empty = F.array().cast("array<bigint>")
-            more = F.when(many, h if keep_words else halves(h)).otherwise(empty).alias("words" if keep_words else "halves")
-            return F.struct(no.alias("no"), F.size(h).alias("n"), line_hash(h).alias("hash"), more)
-        return let(F.transform(words(p["text"]), lambda w: F.xxhash64(w)), hashed)
+            half = [F.when(many, x).alias(f"h{i}") for i, x in enumerate(halves(h))]
+            return F.struct(no.alias("no"), F.size(h).alias("n"), F.xxhash64(h).alias("a"), F.xxhash64(F.lit(1), h).alias("b"), *half)
+        return let(word_hashes(p["text"]), hashed)
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.transform(pieces(F.col(text_col)), of)).alias("p"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("p.no").alias("no"))
-    return d.filter(F.col("p.n") >= EXACT_WORDS).select(place.alias("place"), "p.*").drop("no")
+    return d.filter(F.col("p.n") >= EXACT_WORDS).select(place.alias("place"), *[F.col(f"p.{c}") for c in ("a", "b", "h0", "h1", "h2", "h3")])
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(a, b, p, place, hash): the line itself (p = -1) and without its p-th word."""
+    """(v, p, rank): a hash of the line itself (p = -1) and of the line without its p-th word."""
     def without(h):
         cut = lambda p: F.concat(F.slice(h, F.lit(1), p), F.slice(h, p + 2, F.size(h)))
-        gone = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda p: let(cut(p), lambda v: F.struct(line_hash(v).alias("v"), p.alias("p"))))
-        return F.concat(F.array(F.struct(line_hash(h).alias("v"), F.lit(-1).alias("p"))), gone)
+        gone = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda p: F.struct(F.xxhash64(cut(p)).alias("v"), p.alias("p")))
+        return F.concat(F.array(F.struct(F.xxhash64(h).alias("v"), F.lit(-1).alias("p"))), gone)
 
-    return lines.select("place", "hash", F.explode(without(F.col("words"))).alias("x")).select("place", "hash", "x.v", "x.p")
+    return lines.select("rank", F.explode(without(F.col("words"))).alias("x")).select("x.v", "x.p", "rank")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(hash) of the lines with an earlier line one word edit away. ``lines``: hash, place, words."""
-    v = frozen(_variants(lines))
+    """(rank) of the lines with an earlier line one word edit away. ``lines``: rank (by place), words."""
+    v = _variants(lines)
     gone = v.filter("p >= 0")
-    earliest = gone.groupBy("v", "p").agg(F.min(F.struct("place", "hash")).alias("best"))
-    same = gone.join(earliest, ["v", "p"]).filter(F.col("best.place") < F.col("place")).select("hash", F.col("best.hash").alias("other"))
-    plain = v.filter("p = -1").select("v", F.col("place").alias("short_place"), F.col("hash").alias("short"))
-    met = gone.join(plain, "v")
-    longer = met.filter(F.col("short_place") < F.col("place")).select("hash", F.col("short").alias("other"))
-    shorter = met.filter(F.col("place") < F.col("short_place")).groupBy(F.col("short").alias("hash")).agg(
-        F.min(F.struct("place", "hash")).alias("best")).select("hash", F.col("best.hash").alias("other"))
-    found = same.unionByName(longer).unionByName(shorter).distinct()
-    own = lines.select("hash", F.col("words").alias("x"))
-    others = lines.select(F.col("hash").alias("other"), F.col("words").alias("y"))
-    return found.join(own, "hash").join(others, "other").filter(one_edit(F.col("x"), F.col("y"))).select("hash").distinct()
+    # a group that shares a variant and the place of its missing word: its earliest line decides
+    earliest = gone.groupBy("v", "p").agg(F.min("rank").alias("other"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    same = gone.join(earliest, ["v", "p"]).filter("other < rank").select("rank", "other")
+    plain = v.filter("p = -1").select("v", F.col("rank").alias("short"))
+    met = frozen(gone.join(plain, "v").select("rank", "short"))
+    longer = met.filter("short < rank").select("rank", F.col("short").alias("other"))
+    shorter = met.filter("rank < short").groupBy(F.col("short").alias("rank")).agg(F.min("rank").alias("other"))
+    found = same.unionByName(longer).unionByName(shorter).groupBy("rank", "other").agg(F.lit(1).alias("one"))
+    own = lines.select("rank", F.col("words").alias("x"))
+    others = lines.select(F.col("rank").alias("other"), F.col("words").alias("y"))
+    return found.join(own, "rank").join(others, "other").filter(one_edit(F.col("x"), F.col("y"))).select("rank").distinct()
 
 
 def one_edit(x: Column, y: Column) -> Column:
@@ -118,35 +114,60 @@ def one_edit(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (left <= 1)
 
 
+def few(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks written rows for a broadcast if they are at most ``limit``."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def able_lines(lines: DataFrame) -> DataFrame:
+    """(rank, a, b, place): the lines of which a half occurs in another line too, in the order of places."""
+    half = lines.filter(F.col("h0").isNotNull()).select("node", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
+    met = frozen(half.groupBy("half").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("x"), F.max("node").alias("y")).filter("k > 1"))
+    # a group of two is its least and its largest; the members of larger ones are looked up
+    two = met.select(F.explode(F.array("x", "y")).alias("node"))
+    more = half.join(few(met.filter("k > 2").select("half")), "half", "left_semi").select("node")
+    nodes = frozen(two.unionByName(more).distinct())
+    return ranked(lines.join(few(nodes), "node", "left_semi").select("a", "b", "place"), [F.col("place")], "rank")
+
+
+def with_words(docs: DataFrame, able: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rank, words): the word hashes of the given lines, from the documents where they stand first."""
+    want = frozen(able.groupBy(F.col("place.doc_id").alias("_id")).agg(
+        F.collect_list(F.struct(F.col("place.no").alias("no"), "a", "rank")).alias("_want")))
+    d = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(few(want), F.col("_own").eqNullSafe(F.col("_id")))
+    # of rows with one id, the one whose line has the hash
+    take = lambda ps: F.transform(F.col("_want"), lambda w: F.struct(w["rank"].alias("rank"), w["a"].alias("a"),
+                                                                     word_hashes(F.get(ps, w["no"])["text"]).alias("words")))
+    each = d.select(F.explode(let(pieces(F.col("_text")), take)).alias("x")).select("x.*")
+    return frozen(each.filter(F.xxhash64("words") == F.col("a")).groupBy("rank").agg(F.first("words").alias("words")))
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(place, hash, near) of every piece to drop."""
-    every = frozen(occurrences(docs, id_col, text_col, keep_words=False))
-    lines = frozen(every.groupBy("hash").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.first("halves").alias("halves"),
-                                             F.count(F.lit(1)).alias("times")))
-    half = lines.filter(F.size("halves") > 0).select("hash", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("half")
-    able = frozen(half.join(shared, "half").select("hash").distinct())
-    # their words, from the texts again; repeated lines are one row
-    few = able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    again = occurrences(docs, id_col, text_col, keep_words=True).select("hash", "words").join(F.broadcast(able) if few else able, "hash", "left_semi")
-    with_words = again.groupBy("hash").agg(F.first("words").alias("words"))
-    near = near_lines(frozen(with_words.join(lines.select("hash", "place"), "hash")))
-    verdict = lines.join(near.withColumn("near", F.lit(True)), "hash", "left").filter("times > 1 or near")
-    verdict = verdict.select("hash", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near"))
-    return every.select("place", "hash").join(verdict, "hash").filter(F.col("near") | (F.col("place") != F.col("earliest"))).select("place", "hash", "near")
+    """(place, a, near) of every piece to drop."""
+    every = frozen(occurrences(docs, id_col, text_col))
+    one = [F.first(f"h{i}").alias(f"h{i}") for i in range(4)]
+    lines = frozen(every.groupBy("a", "b").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), *one)
+                   .withColumn("node", F.monotonically_increasing_id()))
+    able = frozen(able_lines(lines))
+    near = near_lines(with_words(docs, able, id_col, text_col))
+    near = able.join(near, "rank", "left_semi").select("a", "b", F.lit(True).alias("near"))
+    verdict = lines.select("a", "b", "place", "times").join(near, ["a", "b"], "left").filter("times > 1 or near")
+    verdict = frozen(verdict.select("a", "b", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near")))
+    return every.select("place", "a", "b").join(few(verdict), ["a", "b"]).filter(
+        F.col("near") | (F.col("place") != F.col("earliest"))).select("place", "a", "near")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept lines as text, and _lines: (n, exact, near) pieces, dropped as equal, as near."""
-    key = F.xxhash64(F.col("place.no"), F.col("hash.a"))
-    gone = dropped_lines(docs, id_col, text_col).groupBy(F.col("place.doc_id").alias("_id")).agg(
-        F.collect_set(F.when(~F.col("near"), key)).alias("_exact"), F.collect_set(F.when(F.col("near"), key)).alias("_near"))
+    """``docs`` with the kept lines as text, and _lines: lines, and pieces dropped as equal and as near."""
+    key = F.xxhash64(F.col("place.no"), F.col("a"))
+    gone = frozen(dropped_lines(docs, id_col, text_col).groupBy(F.col("place.doc_id").alias("_id")).agg(
+        F.collect_set(F.when(~F.col("near"), key)).alias("_exact"), F.collect_set(F.when(F.col("near"), key)).alias("_near"),
+        F.lit(True).alias("_any")))
 
     def kept(ps):
         def marked(p, no):
-            own = F.xxhash64(no, F.xxhash64(F.transform(words(p["text"]), lambda w: F.xxhash64(w))))
-            state = F.when(F.col("_id_known").isNull(), 0).otherwise(
-                let(own, lambda k: F.when(F.array_contains("_exact", k), 1).when(F.array_contains("_near", k), 2).otherwise(0)))
+            own = F.xxhash64(no, F.xxhash64(word_hashes(p["text"])))
+            state = let(own, lambda k: F.when(F.array_contains("_exact", k), 1).when(F.array_contains("_near", k), 2).otherwise(0))
             return F.struct(p["line"].alias("line"), p["text"].alias("text"), state.alias("state"))
 
         def joined(stay):
@@ -155,13 +176,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def rebuilt(m):
             times = lambda k: F.size(F.filter(m, lambda x: x["state"] == k)).cast("long")
-            return F.struct(let(F.filter(m, lambda x: x["state"] == 0), joined).alias("text"),
-                            F.size(m).cast("long").alias("n"), times(1).alias("exact"), times(2).alias("near"))
+            return F.struct(let(F.filter(m, lambda x: x["state"] == 0), joined).alias("text"), times(1).alias("exact"), times(2).alias("near"))
 
         return let(F.transform(ps, marked), rebuilt)
 
-    gone = gone.withColumn("_id_known", F.lit(True))
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_new", F.explode(F.array(F.when(F.col(text_col).isNotNull(), let(pieces(F.col(text_col)), kept)))))
-    return out.withColumn(text_col, F.col("_new.text")).withColumn("_lines", F.struct(*[
-        F.coalesce(F.col(f"_new.{c}"), F.lit(0)).alias(c) for c in ("n", "exact", "near")])).select(*docs.columns, "_lines")
+    # the row as one struct, so that no column's name can clash with one used here
+    text = F.col("doc").getField(text_col)
+    same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("near"))
+    new = F.when(text.isNull() | F.col("_any").isNull(), same).otherwise(let(pieces(text), kept))
+    n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"))
+    d = d.join(few(gone, BROADCAST_DOCS), F.col("id").eqNullSafe(F.col("_id")), "left").select("doc", F.explode(F.array(new)).alias("new"))
+    lines = F.struct(n.alias("n"), F.col("new.exact").alias("exact"), F.col("new.near").alias("near"))
+    return d.select(*[F.col("new.text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns], lines.alias("_lines"))

@@ -127,8 +127,8 @@ def job_inventory(jobs: DataFrame, job_steps: DataFrame) -> DataFrame:
 def jobs_touching(jobs: DataFrame, job_steps: DataFrame, database: str) -> DataFrame:
     """S13 filter: jobs with a step naming the database or whose command contains its name."""
     hit = job_steps.filter((F.lower("step_database") == database.lower())
-                           | F.lower("command").contains(database.lower())).select("job_name").distinct()
-    return jobs.join(hit, "job_name", "left_semi")
+                           | F.lower("command").contains(database.lower())).select("database_name", "job_name").distinct()
+    return jobs.join(hit, ["database_name", "job_name"], "left_semi")
 
 
 def assemble_indexes(index_columns: DataFrame) -> DataFrame:

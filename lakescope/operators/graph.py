@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakescope.operators.components import star_components
 from lakescope.session import cut_lineage
 
 
@@ -126,9 +127,10 @@ def importance(edges: DataFrame, closure: DataFrame, nodes: DataFrame | None = N
     )
 
 
-def core_objects(scores: DataFrame, n: int = 10) -> DataFrame:
-    """D-6 / W1 / O6: the n most important nodes with their rank (a top-k report)."""
-    top = scores.orderBy(F.col("importance").desc(), F.col("node")).limit(n)
+def core_objects(scores: DataFrame, n: int | None = None) -> DataFrame:
+    """D-6 / W1 / O6: nodes by importance with their rank; the first ``n`` if given."""
+    top = scores.orderBy(F.col("importance").desc(), F.col("node"))
+    top = top if n is None else top.limit(n)
     from pyspark.sql import Window
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), F.col("node"))))
 
@@ -256,12 +258,10 @@ def cycle_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """K-3: weakly connected components — (node, component_id, component_size), least name as id."""
-    e = edges.select("src", "dst").distinct()
-    both = e.select(F.col("src").alias("frm"), F.col("dst").alias("to")).unionByName(
-        e.select(F.col("dst").alias("frm"), F.col("src").alias("to")))
-    both = cut_lineage(both.filter(F.col("frm") != F.col("to")).distinct())
-    labels = node_table(e, nodes).select("node", F.col("node").alias("label"))
-    lab = _propagate_min(both, labels)
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    lab = node_table(e, nodes).select("node").join(star_components(e), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("label"))
+    lab = cut_lineage(lab)
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
     return lab.join(sizes, "label").select("node", F.col("label").alias("component_id"),
                                            F.col("component_size").cast("long"))

@@ -293,18 +293,9 @@ def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
             f"FROM (SELECT {_q(f.name)} AS v, count(1) AS n FROM {{{view}}} GROUP BY {_q(f.name)})")
 
 
-# Above this many column branches the profile runs chunk by chunk (very wide tables or estates).
-MAX_BRANCHES = 400
-
-
-def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False,
-                       max_branches: int = MAX_BRANCHES) -> DataFrame:
+def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False) -> DataFrame:
     """Exact estate profile as one Spark SQL statement: a UNION ALL of per-column ``GROUP BY`` branches
     (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator.
-
-    With more than ``max_branches`` columns the branches are split into chunks; each chunk runs as its
-    own job and its (small) result is written to the shared checkpoint folder, so no single plan grows
-    with the width of the estate.
     """
     spark = next(iter(tables.values())).sparkSession
     branches = []
@@ -325,11 +316,7 @@ def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = Fals
 
     if not branches:
         return spark.createDataFrame([], PROFILE_SCHEMA)
-    if len(branches) <= max_branches:
-        return run(branches)
-    from lakescope.session import cut_lineage
-    parts = [cut_lineage(run(branches[i:i + max_branches])) for i in range(0, len(branches), max_branches)]
-    return reduce(DataFrame.unionByName, parts)
+    return run(branches)
 
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = True, key_types_only: bool = False,
@@ -366,9 +353,10 @@ def null_band(pct_col, bands=(20.0, 50.0, 80.0)):
             .when(pct_col >= low, "medium").otherwise("low"))
 
 
-def largest_tables(counts: DataFrame, n: int = 10) -> DataFrame:
-    """Top-n tables by rows with the ratio to the largest (a top-k report)."""
-    top = counts.orderBy(F.col("row_count").desc(), F.col("table_name")).limit(n)
+def largest_tables(counts: DataFrame, n: int | None = None) -> DataFrame:
+    """Tables by rows with the ratio to the largest; the first ``n`` if given."""
+    top = counts.orderBy(F.col("row_count").desc(), F.col("table_name"))
+    top = top if n is None else top.limit(n)
     w = Window.partitionBy()
     return top.select(
         "table_name", "row_count",

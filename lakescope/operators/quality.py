@@ -42,8 +42,8 @@ def missing_primary_key(columns: DataFrame) -> DataFrame:
     t = _base_tables(columns).groupBy("database_name", "schema_name", "table_name").agg(
         F.bool_or(F.coalesce(F.col("is_primary_key"), F.lit(False))).alias("has_pk")).filter(~F.col("has_pk"))
     return _issue(t, "Design", "Error", full_name("schema_name", "table_name"),
-                  F.lit("Table has no primary key."),
-                  F.lit("Add a primary key to ensure entity integrity and improve query performance."))
+                  F.lit("No column of this table is declared as its primary key."),
+                  F.lit("Declare a key so that each row can be told apart."))
 
 
 def unindexed_fk_columns(foreign_keys: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -55,8 +55,8 @@ def unindexed_fk_columns(foreign_keys: DataFrame, indexes: DataFrame) -> DataFra
         .withColumn("c", F.lower("from_column"))
     bad = fk.join(leads, ["database_name", "s", "t", "c"], "left_anti")
     return _issue(bad, "Performance", "Warning", full_name("from_schema", "from_table", "from_column"),
-                  F.format_string("Foreign key column '%s' has no index.", "from_column"),
-                  F.lit("Add an index on the FK column to improve JOIN and DELETE performance."))
+                  F.format_string("No index starts with the referencing column '%s'.", "from_column"),
+                  F.lit("Create an index that leads with it; joins and deletes of parents look rows up by this column."))
 
 
 def mixed_case_names(columns: DataFrame) -> DataFrame:
@@ -64,29 +64,30 @@ def mixed_case_names(columns: DataFrame) -> DataFrame:
     t = _base_tables(columns).select("database_name", "schema_name", "table_name").distinct().filter(
         F.col("table_name").rlike("[A-Z][a-z]") & F.col("table_name").contains("_"))
     return _issue(t, "Naming", "Info", full_name("schema_name", "table_name"),
-                  F.lit("Table name mixes PascalCase and snake_case."), F.lit("Choose a consistent naming convention."))
+                  F.lit("The table name joins two naming styles, capitals and underscores."), F.lit("Use one style for all table names."))
 
 
 def reserved_column_names(columns: DataFrame) -> DataFrame:
     """Q4: a column named like a SQL reserved word."""
     c = _base_tables(columns).filter(F.upper("column_name").isin(RESERVED_WORDS))
     return _issue(c, "Naming", "Warning", full_name("schema_name", "table_name", "column_name"),
-                  F.format_string("Column name '%s' is a SQL reserved word.", "column_name"),
-                  F.lit("Rename the column to avoid potential issues with queries."))
+                  F.format_string("The column is named '%s', a word that SQL reserves.", "column_name"),
+                  F.lit("Pick another name, else each query must quote it."))
 
 
 def unbounded_text(columns: DataFrame) -> DataFrame:
     """Q5: an nvarchar column of unbounded length (max_length = -1)."""
     c = _base_tables(columns).filter((F.lower("data_type") == "nvarchar") & (F.col("max_length") == -1))
     return _issue(c, "Design", "Info", full_name("schema_name", "table_name", "column_name"),
-                  F.lit("Column uses NVARCHAR(MAX)."),
-                  F.lit("Consider whether a bounded length would be more appropriate."))
+                  F.lit("The column holds text without a length bound."),
+                  F.lit("Give it the length that its values need."))
 
 
 def orphaned_tables(columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """Q6: a table with no foreign key in or out, in a database of more than one table."""
     tables = _base_tables(columns).select("database_name", "schema_name", "table_name").distinct()
-    tables = tables.withColumn("n_tables", F.count(F.lit(1)).over(Window.partitionBy("database_name")))
+    sizes = tables.groupBy("database_name").agg(F.count(F.lit(1)).alias("n_tables"))
+    tables = tables.join(sizes, "database_name")
     k = tables.withColumn("s", F.lower("schema_name")).withColumn("t", F.lower("table_name"))
     targets = foreign_keys.select("database_name", F.lower("to_schema").alias("s"), F.lower("to_table").alias("t"))
     sources = foreign_keys.select("database_name", F.lower("from_schema").alias("s"),
@@ -94,8 +95,8 @@ def orphaned_tables(columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     linked = targets.unionByName(sources).distinct()
     lone = k.join(linked, ["database_name", "s", "t"], "left_anti").filter(F.col("n_tables") > 1)
     return _issue(lone, "Design", "Info", full_name("schema_name", "table_name"),
-                  F.lit("Table has no foreign key relationships (orphaned)."),
-                  F.lit("Verify this table is intentionally standalone."))
+                  F.lit("No foreign key leads to or from this table."),
+                  F.lit("Check that it is meant to stand alone."))
 
 
 def potential_missing_fks(implicit: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def potential_missing_fks(implicit: DataFrame) -> DataFrame:
     sev = F.when(F.col("confidence") >= F.lit(0.8).cast("decimal(4,2)"), "Warning").otherwise("Info")
     pct = (F.col("confidence") * 100).cast("int")
     return _issue(rel, "Referential Integrity", sev, full_name("from_schema", "from_table", "from_column"),
-                  F.format_string("Potential missing foreign key to %s.%s.%s (confidence: %d%%).",
+                  F.format_string("The values look like keys of %s.%s.%s (confidence %d%%).",
                                   F.col("to_schema"), F.col("to_table"), F.col("to_column"), pct),
                   F.col("statement"))
 

@@ -88,11 +88,11 @@ def extract_refs(defs: DataFrame, text_col: str = "text", id_cols: list[str] | N
         srcs = F.array(F.struct(F.lit(False).alias("is_dynamic"), F.col("_text").alias("src")))
     per_src = base.select(*ids, F.posexplode(srcs).alias("src_pos", "s")).select(
         *ids, "src_pos", F.col("s.is_dynamic").alias("is_dynamic"), F.col("s.src").alias("src"))
-    fj = per_src.select(*ids, "src_pos", "is_dynamic", F.lit("from_join").alias("kind"),
-                        F.posexplode(F.regexp_extract_all("src", F.lit(FROM_JOIN_PATTERN), 1)).alias("pos", "ref"))
-    ex = per_src.select(*ids, "src_pos", "is_dynamic", F.lit("exec").alias("kind"),
-                        F.posexplode(F.regexp_extract_all("src", F.lit(EXEC_PATTERN), 1)).alias("pos", "ref"))
-    refs = fj.unionByName(ex)
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all("src", F.lit(pattern), 1),
+                                              lambda ref, pos: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), ref.alias("ref")))
+    # both patterns in one reading of the text
+    refs = per_src.select(*ids, "src_pos", "is_dynamic", F.explode(F.concat(
+        found("from_join", FROM_JOIN_PATTERN), found("exec", EXEC_PATTERN))).alias("r")).select(*ids, "src_pos", "is_dynamic", "r.*")
     reference = F.trim(F.col("ref"))
     clean = F.trim(strip_brackets(reference))
     via = F.concat(F.when(F.col("kind") == "from_join", F.lit("SQL: FROM/JOIN")).otherwise(F.lit("SQL: EXEC")),
@@ -223,18 +223,25 @@ def to_full_name():
         F.concat_ws(".", "to_schema", "to_name"))
 
 
+def scan_order(step, kind, source, place) -> F.Column:
+    """A sort key for references: step, kind, which text or literal, place in it."""
+    parts = {"step": step, "kind": kind, "source": source, "place": place}
+    return F.struct(*[c.cast("long").alias(n) for n, c in parts.items()])
+
+
 def merge_edges(recorded: DataFrame | None, parsed: DataFrame | None, synonyms: DataFrame | None) -> DataFrame:
     """Union the three sources; the first edge per from -> to (case-insensitive) wins,
-    in source order recorded, parsed, synonym (and within parsed: the order the reference scans)."""
+    in source order recorded, parsed, synonym (and within parsed: the order of the scan)."""
     parts = []
+    none = scan_order(F.lit(0), F.lit(0), F.lit(0), F.lit(0))
     if recorded is not None:
         parts.append(recorded.select(*[c for c in EDGE_COLUMNS if c != "detected_via"],
                                      F.lit("recorded dependency").alias("detected_via"),
-                                     F.lit(0).alias("_s"), F.lit(0).alias("_k"), F.lit(0).alias("_o")))
+                                     F.lit(0).alias("_s"), F.lit(0).alias("_k"), none.alias("_o")))
     if parsed is not None:
         parts.append(parsed.select(*EDGE_COLUMNS, F.lit(1).alias("_s"), F.col("_k"), F.col("_o")))
     if synonyms is not None:
-        parts.append(synonyms.select(*EDGE_COLUMNS, F.lit(2).alias("_s"), F.lit(0).alias("_k"), F.lit(0).alias("_o")))
+        parts.append(synonyms.select(*EDGE_COLUMNS, F.lit(2).alias("_s"), F.lit(0).alias("_k"), none.alias("_o")))
     u = reduce(DataFrame.unionByName, parts)
     key = F.lower(F.concat(F.concat_ws(".", "from_schema", "from_name"), F.lit("->"), to_full_name()))
     w = Window.partitionBy("database_name", key).orderBy("_s", "_k", "_o")
@@ -248,13 +255,12 @@ def parsed_edges(defs: DataFrame, aliases: DataFrame, triggers: DataFrame | None
     kind_rank = F.element_at(F.create_map(*[x for k, v in DEFINITION_KIND_ORDER.items()
                                             for x in (F.lit(k), F.lit(v))]), F.col("from_type"))
     # scan order inside one body: FROM/JOIN refs (direct text, then literals) before EXEC refs
-    order = (F.when(F.col("kind") == "from_join", 0).otherwise(1) * 1_000_000_000
-             + F.col("src_pos") * 1_000_000 + F.col("pos"))
+    order = scan_order(F.col("step"), F.when(F.col("kind") == "from_join", 0).otherwise(1), F.col("src_pos"), F.col("pos"))
     res = res.select(*[c for c in EDGE_COLUMNS if c != "detected_via"], F.col("via").alias("detected_via"),
-                     kind_rank.alias("_k"), (F.col("step") * 10_000_000_000 + order).alias("_o"))
+                     kind_rank.alias("_k"), order.alias("_o"))
     if triggers is not None:
         tp = trigger_parent_edges(triggers).select("*", F.lit(DEFINITION_KIND_ORDER["Trigger"]).alias("_k"),
-                                                   F.lit(-1).cast("long").alias("_o"))
+                                                   scan_order(F.lit(-1), F.lit(0), F.lit(0), F.lit(0)).alias("_o"))
         res = res.unionByName(tp)
     return res
 
@@ -267,11 +273,12 @@ def object_dependencies(aliases: DataFrame, defs: DataFrame, triggers: DataFrame
     return merge_edges(recorded, parsed, syn)
 
 
-def word_tokens(text) -> F.Column:
-    """Dotted word runs of a text and all their contiguous dotted sub-sequences, lower-cased.
+def word_tokens(text, max_parts: int = 2) -> F.Column:
+    """Dotted word runs of a text: their contiguous sub-sequences of up to ``max_parts`` parts, lower-cased.
 
-    A name occurs in a text with word boundaries (neighbours not letter, digit or '_') exactly when it
-    equals one of these tokens.
+    A name of so many parts (bare or schema-qualified: two) occurs in a text with word boundaries
+    (neighbours not letter, digit or '_') exactly when it equals one of these tokens. The number of
+    tokens is linear in the text.
     """
     runs = F.regexp_extract_all(F.lower(text), F.lit(WORD + r"+(?:\." + WORD + r"+)*"), 0)
     def subseqs(run):
@@ -279,7 +286,7 @@ def word_tokens(text) -> F.Column:
         n = F.size(parts)
         starts = F.sequence(F.lit(1), n)
         return F.flatten(F.transform(starts, lambda i: F.transform(
-            F.sequence(i, n), lambda j: F.array_join(F.slice(parts, i, j - i + 1), ".")))
+            F.sequence(i, F.least(n, i + (max_parts - 1))), lambda j: F.array_join(F.slice(parts, i, j - i + 1), ".")))
         )
     return F.array_distinct(F.flatten(F.transform(runs, subseqs)))
 

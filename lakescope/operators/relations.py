@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakescope.functions.types import type_family, type_match
 
@@ -168,41 +169,63 @@ def fk_statement(rel: DataFrame) -> DataFrame:
         F.col("to_table"), F.col("to_column")))
 
 
-def _key_text(c, family):
-    if family == "integer":
-        return c.cast("bigint").cast("string")
-    if family == "decimal":
-        return c.cast("double").cast("string")
-    return c.cast("string")
+def _numeric(dt) -> tuple[int, int] | None:
+    """Digits before and after the point of an exact numeric type."""
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}.get(type(dt))
+    if whole:
+        return whole, 0
+    return (dt.precision - dt.scale, dt.scale) if isinstance(dt, T.DecimalType) else None
+
+
+def _key_texts(child, child_type, parent, parent_type) -> tuple[F.Column, F.Column]:
+    """Both sides of a candidate as texts that are equal exactly when the values are.
+
+    Whole numbers and decimals meet in a decimal that holds both; with floating values, or where 38 digits
+    do not suffice, in the plain text without a fraction's closing zeros. Other types keep their own text.
+    """
+    x, y = _numeric(child_type), _numeric(parent_type)
+    if x and y:
+        scale = max(x[1], y[1])
+        if max(x[0], y[0]) + scale <= 38:
+            return tuple(c.cast(f"decimal(38,{scale})").cast("string") for c in (child, parent))
+        return tuple(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$|\.$", "$1").alias("v") for c in (child, parent))
+    floating = (T.FloatType, T.DoubleType)
+    if isinstance(child_type, floating + (T.DecimalType,)) or isinstance(parent_type, floating + (T.DecimalType,)):
+        if (x or isinstance(child_type, floating)) and (y or isinstance(parent_type, floating)):
+            return child.cast("double").cast("string"), parent.cast("double").cast("string")
+    return child.cast("string"), parent.cast("string")
 
 
 def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Check candidate keys on the data: child rows, nulls, orphan rows and values, match rate.
 
-    ``candidates`` has from_table, from_column, to_table, to_column (names as in ``tables``). The candidate
+    ``candidates`` has from_table, from_column, to_table, to_column. ``tables`` is keyed by table name, or by
+    (database, schema, table): then ``candidates`` also has database_name, from_schema and to_schema, and so
+    has the result, and tables of one name in two schemas or databases stay apart. The candidate
     list is catalog metadata and is read on the driver to build the plan; the data is not. Every child table
     is read once with all its candidate columns stacked into (candidate, value) and pre-aggregated per value,
     so hot values cost one row per task; parents are stacked and deduplicated the same way, and one join on
     (candidate, value) finds the orphans of all candidates together.
     """
-    cand_rows = candidates.select("from_table", "from_column", "to_table", "to_column").distinct().orderBy(
-        "from_table", "from_column", "to_table", "to_column").collect()
+    full = any(isinstance(k, tuple) for k in tables)
+    names = (["database_name", "from_schema", "to_schema"] if full else []) + ["from_table", "from_column", "to_table", "to_column"]
+    at = (lambda r, side: (r.database_name, r[f"{side}_schema"], r[f"{side}_table"])) if full else (lambda r, side: r[f"{side}_table"])
+    cand_rows = candidates.select(*names).distinct().orderBy(*names).collect()
     if not cand_rows:  # nothing suggested or declared: an empty result
         return candidates.sparkSession.createDataFrame(
-            [], "from_table string, from_column string, to_table string, to_column string, child_rows long, "
+            [], ", ".join(f"{c} string" for c in names) + ", child_rows long, "
                 "null_rows long, orphan_rows long, orphan_values long, match_rate double")
     by_child, by_parent = defaultdict(list), defaultdict(list)
     for cid, r in enumerate(cand_rows):
-        fam_c = type_family_py(tables[r.from_table].schema[r.from_column].dataType.simpleString())
-        fam_p = type_family_py(tables[r.to_table].schema[r.to_column].dataType.simpleString())
-        fam = fam_c if fam_c == fam_p else "string"
-        by_child[r.from_table].append((cid, r.from_column, fam))
-        by_parent[r.to_table].append((cid, r.to_column, fam))
+        c, p = tables[at(r, "from")], tables[at(r, "to")]
+        child_text, parent_text = _key_texts(F.col(f"`{r.from_column}`"), c.schema[r.from_column].dataType,
+                                             F.col(f"`{r.to_column}`"), p.schema[r.to_column].dataType)
+        by_child[at(r, "from")].append((cid, child_text))
+        by_parent[at(r, "to")].append((cid, parent_text))
 
     def stacked(table, items):
-        df = tables[table]
-        return df.select(F.inline(F.array(*[
-            F.struct(F.lit(cid).alias("cand_id"), _key_text(F.col(c), fam).alias("v")) for cid, c, fam in items])))
+        return tables[table].select(F.inline(F.array(*[
+            F.struct(F.lit(cid).alias("cand_id"), text.alias("v")) for cid, text in items])))
 
     child = reduce(DataFrame.unionByName, [stacked(t, it) for t, it in by_child.items()])
     child = child.groupBy("cand_id", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -216,14 +239,12 @@ def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFra
         F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphan_rows"),
         F.count_if(orphan).alias("orphan_values"),
     )
-    spark = candidates.sparkSession
-    names = spark.createDataFrame([(i, r.from_table, r.from_column, r.to_table, r.to_column)
-                                   for i, r in enumerate(cand_rows)],
-                                  "cand_id int, from_table string, from_column string, to_table string, to_column string")
-    out = names.join(stats, "cand_id", "left")
+    listed = candidates.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(cand_rows)],
+                                                     "cand_id int, " + ", ".join(f"{c} string" for c in names))
+    out = listed.join(stats, "cand_id", "left")
     nn = F.col("child_rows") - F.col("null_rows")
     return out.select(
-        "from_table", "from_column", "to_table", "to_column",
+        *names,
         F.coalesce(F.col("child_rows"), F.lit(0)).cast("long").alias("child_rows"),
         F.coalesce(F.col("null_rows"), F.lit(0)).cast("long").alias("null_rows"),
         F.coalesce(F.col("orphan_rows"), F.lit(0)).cast("long").alias("orphan_rows"),
@@ -233,17 +254,5 @@ def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     )
 
 
-def type_family_py(name: str) -> str | None:
-    from lakescope.functions import types as TY
-    b = name.split("(")[0].strip().lower()
-    if b in TY.INTEGER_TYPES + TY.SPARK_INTEGER_TYPES:
-        return "integer"
-    if b in TY.STRING_TYPES + TY.SPARK_STRING_TYPES:
-        return "string"
-    if b in TY.DECIMAL_TYPES + TY.SPARK_DECIMAL_TYPES:
-        return "decimal"
-    return None
-
-
 __all__ = ["primary_key_lookup", "key_name_candidates", "implicit_fks", "fk_statement", "orphan_check",
            "type_family"]

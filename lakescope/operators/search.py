@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 
 def name_search(objects: DataFrame, term: str, name_col: str = "object_name", key_cols: list[str] | None = None,
-                limit: int = 20) -> DataFrame:
-    """H1: objects whose name contains the term (case-insensitive), by name, first ``limit`` (a top-k)."""
+                limit: int | None = None) -> DataFrame:
+    """H1: objects whose name contains the term (case-insensitive), by name; the first ``limit`` if given."""
     hits = objects.filter(F.lower(F.col(name_col)).contains(term.lower()))
     order = [F.col(name_col)] + [F.col(c) for c in (key_cols or [])]
-    return hits.orderBy(*order).limit(limit)
+    hits = hits.orderBy(*order)
+    return hits if limit is None else hits.limit(limit)
 
 
 def first_matching_line(text, term: str):
@@ -25,11 +26,12 @@ def line_count(text):
     return F.size(F.split(text, "\n"))
 
 
-def definition_search(defs: DataFrame, term: str, text_col: str, key_cols: list[str], limit: int = 30) -> DataFrame:
-    """H2: definitions containing the term with their first matching line and line count (a top-k)."""
+def definition_search(defs: DataFrame, term: str, text_col: str, key_cols: list[str], limit: int | None = None) -> DataFrame:
+    """H2: definitions containing the term with their first matching line and line count; the first ``limit`` if given."""
     hits = defs.filter(F.lower(F.col(text_col)).contains(term.lower()))
-    return hits.select(*key_cols, first_matching_line(F.col(text_col), term).alias("matching_line"),
-                       line_count(F.col(text_col)).alias("n_lines")).orderBy(*key_cols).limit(limit)
+    hits = hits.select(*key_cols, first_matching_line(F.col(text_col), term).alias("matching_line"),
+                       line_count(F.col(text_col)).alias("n_lines")).orderBy(*key_cols)
+    return hits if limit is None else hits.limit(limit)
 
 
 def object_card(key: DataFrame, columns: DataFrame, profiles: DataFrame | None = None,

@@ -156,13 +156,14 @@ def usage_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("usage_level").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
-def top_texts(log_texts: DataFrame, n: int = 200, max_chars: int = 4000) -> DataFrame:
-    """The n most executed ad-hoc texts, cut at max_chars (a top-k report)."""
+def top_texts(log_texts: DataFrame, n: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Ad-hoc texts by executions; the first ``n`` and a text's first ``max_chars`` if given."""
     g = log_texts.groupBy("query_text").agg(F.sum("total_executions").alias("total_executions"),
                                             F.max("last_execution").alias("last_execution"))
-    top = g.orderBy(F.col("total_executions").desc(), F.col("query_text")).limit(n)
-    return top.select(F.substring("query_text", 1, max_chars).alias("query_text"), "total_executions",
-                      "last_execution")
+    top = g.orderBy(F.col("total_executions").desc(), F.col("query_text"))
+    top = top if n is None else top.limit(n)
+    text = F.col("query_text") if max_chars is None else F.substring("query_text", 1, max_chars).alias("query_text")
+    return top.select(text, "total_executions", "last_execution")
 
 
 def rollup_counters(log: DataFrame, keys: list[str], ts_col: str) -> DataFrame:

@@ -72,7 +72,7 @@ def text_search(spark, sf_dir):
 def stream_rollup(spark, sf_dir):
     """Events read as a stream, daily executions / first / last / value sum per event type."""
     ev = read_table(spark, sf_dir, "events")
-    return run_rollup(spark, sf_dir, ev.schema, "ts", ["event_type"], window="1 day", watermark="1 hour",
+    return run_rollup(spark, sf_dir, ev.schema, "ts", ["event_type"], window="1 day",
                       measure="value", glob="events.parquet")
 
 

@@ -214,33 +214,33 @@ QUALITY_SQL = f"""WITH {_catalog_sql()},{IMPLICIT_SQL_BODY},
     tabs AS (SELECT DISTINCT table_name FROM cat),
     issues AS (
       SELECT 'Design' AS category, 'Error' AS severity, 2 AS severity_rank, 'dbo.' || t.table_name AS object_name,
-             'Table has no primary key.' AS description,
-             'Add a primary key to ensure entity integrity and improve query performance.' AS recommendation
+             'No column of this table is declared as its primary key.' AS description,
+             'Declare a key so that each row can be told apart.' AS recommendation
       FROM tabs t WHERE t.table_name NOT IN (SELECT table_name FROM pk)
       UNION ALL
       SELECT 'Performance', 'Warning', 1, 'dbo.' || from_table || '.' || from_column,
-             'Foreign key column ''' || from_column || ''' has no index.',
-             'Add an index on the FK column to improve JOIN and DELETE performance.'
+             'No index starts with the referencing column ''' || from_column || '''.',
+             'Create an index that leads with it; joins and deletes of parents look rows up by this column.'
       FROM declared
       UNION ALL
-      SELECT 'Naming', 'Info', 0, 'dbo.' || table_name, 'Table name mixes PascalCase and snake_case.',
-             'Choose a consistent naming convention.'
+      SELECT 'Naming', 'Info', 0, 'dbo.' || table_name, 'The table name joins two naming styles, capitals and underscores.',
+             'Use one style for all table names.'
       FROM tabs WHERE regexp_matches(table_name, '[A-Z][a-z]') AND contains(table_name, '_')
       UNION ALL
       SELECT 'Naming', 'Warning', 1, 'dbo.' || table_name || '.' || column_name,
-             'Column name ''' || column_name || ''' is a SQL reserved word.',
-             'Rename the column to avoid potential issues with queries.'
+             'The column is named ''' || column_name || ''', a word that SQL reserves.',
+             'Pick another name, else each query must quote it.'
       FROM cat WHERE upper(column_name) IN ({_reserved_list()})
       UNION ALL
-      SELECT 'Design', 'Info', 0, 'dbo.' || table_name, 'Table has no foreign key relationships (orphaned).',
-             'Verify this table is intentionally standalone.'
+      SELECT 'Design', 'Info', 0, 'dbo.' || table_name, 'No foreign key leads to or from this table.',
+             'Check that it is meant to stand alone.'
       FROM tabs WHERE (SELECT count(*) FROM tabs) > 1
         AND table_name NOT IN (SELECT from_table FROM declared UNION SELECT to_table FROM declared)
       UNION ALL
       SELECT 'Referential Integrity', CASE WHEN confidence >= 0.8 THEN 'Warning' ELSE 'Info' END,
              CASE WHEN confidence >= 0.8 THEN 1 ELSE 0 END,
              'dbo.' || from_table || '.' || from_column,
-             'Potential missing foreign key to dbo.' || to_table || '.' || to_column || ' (confidence: '
+             'The values look like keys of dbo.' || to_table || '.' || to_column || ' (confidence '
                || CAST(CAST(round(confidence * 100) AS INTEGER) AS VARCHAR) || '%).',
              'ALTER TABLE [dbo].[' || from_table || '] ADD CONSTRAINT [FK_' || from_table || '_' || to_table || '_'
                || from_column || '] FOREIGN KEY ([' || from_column || ']) REFERENCES [dbo].[' || to_table

@@ -251,7 +251,7 @@ INVENTORY_SQL = """
 
 UNUSED_SQL = f"""WITH {INVENTORY_SQL}
 SELECT 'Unused' AS category, 'warning' AS severity, 1 AS severity_rank, schema_name, table_name, index_name,
-       printf('Index [%s] on [%s].[%s] has zero reads but %d write operations.', index_name, schema_name,
+       printf('[%s] on [%s].[%s] was written %d times and never read.', index_name, schema_name,
               table_name, user_updates) AS description,
        printf('DROP INDEX [%s] ON [%s].[%s]', index_name, schema_name, table_name) AS recommendation
 FROM inv WHERE user_seeks = 0 AND user_scans = 0 AND user_lookups = 0 AND user_updates > 0"""
@@ -293,7 +293,7 @@ MISSING_CORE_SQL = """
            schema_name, table_name,
            'IX_' || table_name || '_' || substring(md5(schema_name || '|' || table_name || '|' || eq || '|' || ineq
                                                        || '|' || inc), 1, 6) AS index_name,
-           printf('Missing index on [%s].[%s] - equality: [%s], inequality: [%s]', schema_name, table_name, eq, ineq)
+           printf('Queries on [%s].[%s] lack a path for equality on [%s] and ranges on [%s]', schema_name, table_name, eq, ineq)
              AS description,
            eq, ineq, inc, CAST(round_even(impact, 2) AS DOUBLE) AS impact_score
     FROM st)"""
@@ -308,7 +308,7 @@ FROM miss"""
 
 ACCESS_RECOMMENDATIONS_SQL = f"""WITH {REDUNDANT_CORE_SQL}, {MISSING_CORE_SQL}
 SELECT 'Unused' AS category, 'warning' AS severity, 1 AS severity_rank, schema_name, table_name, index_name,
-       printf('Index [%s] on [%s].[%s] has zero reads but %d write operations.', index_name, schema_name,
+       printf('[%s] on [%s].[%s] was written %d times and never read.', index_name, schema_name,
               table_name, user_updates) AS description,
        printf('DROP INDEX [%s] ON [%s].[%s]', index_name, schema_name, table_name) AS recommendation,
        CAST(NULL AS DOUBLE) AS impact_score
@@ -320,9 +320,9 @@ SELECT category, severity, severity_rank, schema_name, table_name, index_name, d
 FROM miss
 UNION ALL
 SELECT 'Duplicate', 'info', 0, schema_name, table_name, index_name,
-       printf('Index [%s] columns (%s) are a prefix of [%s] (%s).', index_name, columns, covering_index,
+       printf('[%s] with (%s) is covered by [%s] with (%s).', index_name, columns, covering_index,
               covering_columns),
-       printf('Consider dropping [%s] if [%s] covers the same queries.', index_name, covering_index), NULL
+       printf('[%s] can go where [%s] serves its queries.', index_name, covering_index), NULL
 FROM red"""
 
 SUPPLIER_USAGE_SQL = """WITH

@@ -111,3 +111,22 @@ def test_resolve_external_when_analysed(spark):
     analysed = spark.createDataFrame([("Shop",), ("Shared",)], "database_name string")
     got = rows(ES.resolve_external(e, analysed), "to_database", "to_type")
     assert got == [("Other", "External"), ("Shared", "Table")]
+
+
+def test_long_bodies_keep_the_scan_order(spark):
+    """A body with thousands of literals: every reference is found, and the first place wins the merge."""
+    from lakescope.operators import refs as X
+    text = "EXEC dbo.t1 " + " ".join(f"'SELECT 1 FROM dbo.t{i % 3} WHERE a = {i}'" for i in range(3000))
+    defs = spark.createDataFrame([("d", "dbo", "p", "Procedure", text, 0)],
+                                 "database_name string, from_schema string, from_name string, from_type string, text string, step int")
+    known = spark.createDataFrame([("d", "dbo", f"t{i}", "Table") for i in range(3)], "database_name string, schema_name string, object_name string, object_type string")
+    edges = X.object_dependencies(X.name_aliases(known), defs).collect()
+    assert {(e.to_name, e.detected_via) for e in edges} == {(f"t{i}", "SQL: FROM/JOIN (dynamic)") for i in range(3)}
+    assert X.extract_refs(defs).count() == 3001
+
+
+def test_tokens_of_a_long_run_are_few(spark):
+    from lakescope.operators import refs as X
+    run = ".".join(f"p{i}" for i in range(800))
+    n = spark.createDataFrame([(run,)], "t string").select(F.size(X.word_tokens(F.col("t"))).alias("n")).first().n
+    assert n == 1599

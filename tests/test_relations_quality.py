@@ -168,3 +168,27 @@ def test_orphan_check_without_candidates(spark):
     cands = spark.createDataFrame([], "from_table string, from_column string, to_table string, to_column string")
     out = R.orphan_check(cands, {})
     assert out.count() == 0 and "match_rate" in out.columns
+
+
+def orphans(spark, child, child_type, parent, parent_type):
+    cands = spark.createDataFrame([("child", "x", "parent", "y")], "from_table string, from_column string, to_table string, to_column string")
+    tables = {"child": spark.createDataFrame([(v,) for v in child], f"x {child_type}"), "parent": spark.createDataFrame([(v,) for v in parent], f"y {parent_type}")}
+    r = R.orphan_check(cands, tables).collect()[0]
+    return r.orphan_rows, r.null_rows
+
+
+def test_orphans_are_exact_across_types(spark):
+    from decimal import Decimal as D
+    assert orphans(spark, [D("123456789012345678.01"), D("123456789012345678.02"), None], "decimal(20,2)", [D("123456789012345678.03")], "decimal(20,2)") == (2, 1)
+    assert orphans(spark, [5, 6], "int", [D("5.00")], "decimal(10,2)") == (1, 0)
+    assert orphans(spark, [D("5.10"), D("0.00")], "decimal(10,2)", [D("5.1000"), D("0")], "decimal(38,4)") == (0, 0)
+    assert orphans(spark, [1.5, 2.0], "double", [2], "bigint") == (1, 0)
+    assert orphans(spark, ["a", "b"], "string", ["a"], "string") == (1, 0)
+
+
+def test_orphans_of_tables_with_one_name(spark):
+    cands = spark.createDataFrame([("d1", "s1", "c", "x", "s1", "p", "y"), ("d2", "s1", "c", "x", "s1", "p", "y")],
+                                  "database_name string, from_schema string, from_table string, from_column string, to_schema string, to_table string, to_column string")
+    one, two = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(1,)], "y int")
+    tables = {("d1", "s1", "c"): one, ("d1", "s1", "p"): two, ("d2", "s1", "c"): two.toDF("x"), ("d2", "s1", "p"): one.toDF("y")}
+    assert {r.database_name: r.orphan_rows for r in R.orphan_check(cands, tables).collect()} == {"d1": 1, "d2": 0}
