@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakescope.llm.shared import SPACE_CLASS, frozen, let, ranked, words
+from lakescope.llm.shared import SPACE_CHARS, SPACE_CLASS, frozen, let, ranked, words
 
 EXACT_WORDS, NEAR_WORDS, PIECE_WORDS = 4, 8, 128
 #: Rows (of some 40 bytes) that may be broadcast, and documents with their dropped lines.
@@ -39,50 +39,94 @@ BROADCAST_ROWS, BROADCAST_DOCS = 1_000_000, 200_000
 
 def pieces(text: Column) -> Column:
     """Lines of a text, long ones in pieces: array of (line, text); a line's pieces make it up exactly."""
-    w, s = f"[^{SPACE_CLASS}]", f"[{SPACE_CLASS}]"
-    cut = lambda t: F.when(F.size(words(t)) > PIECE_WORDS, F.regexp_extract_all(
-        t, F.lit(f"{s}*+(?:{w}++{s}*+){{1,{PIECE_WORDS}}}"), F.lit(0))).otherwise(F.array(t))
     return F.flatten(F.transform(F.split(text, "\n"), lambda t, k: F.transform(cut(t), lambda p: F.struct(k.alias("line"), p.alias("text")))))
 
 
-def halves(h: Column) -> list[Column]:
-    """Hashes of the first and the second half, for the own number of words and for one less."""
+def piece_texts(text: Column) -> Column:
+    """The texts of ``pieces`` alone; without long lines, those of the lines."""
+    lines = lambda x: F.when(F.exists(x, has_room), F.flatten(F.transform(x, cut))).otherwise(x)
+    return let(F.split(text, "\n"), lines)
+
+
+def blanks(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+
+
+def has_room(line: Column) -> Column:
+    """False only for lines with too few bytes or too little white space for more than PIECE_WORDS words."""
+    enough = blanks(line) >= PIECE_WORDS
+    for c in ("\t", "\x0b", "\f", "\r"):
+        enough = enough | line.contains(c)
+    return (F.octet_length(line) > 2 * PIECE_WORDS) & enough
+
+
+def odd(line: Column) -> Column:
+    """True unless single blanks are all the white space, between words only."""
+    found = line.startswith(" ") | line.endswith(" ")
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        found = found | line.contains(c)
+    return found
+
+
+def cut(line: Column) -> Column:
+    """A line's pieces; white space stays with the word before it, at the start with the one after it."""
+    w, s = f"[^{SPACE_CLASS}]", f"[{SPACE_CLASS}]"
+    parts = F.regexp_extract_all(line, F.lit(f"{s}*+(?:{w}++{s}*+){{1,{PIECE_WORDS}}}"), F.lit(0))
+    by_pattern = F.when(F.size(words(line)) > PIECE_WORDS, parts).otherwise(F.array(line))
+
+    def by_blank(ws):
+        last = F.floor((F.size(ws) - 1) / PIECE_WORDS).cast("int")
+        piece = lambda k: F.array_join(F.slice(ws, k * PIECE_WORDS + 1, PIECE_WORDS), " ")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k < last, F.concat(piece(k), F.lit(" "))).otherwise(piece(k)))
+
+    return F.when(has_room(line), F.when(odd(line), by_pattern).otherwise(let(F.split(line, " "), by_blank))).otherwise(F.array(line))
+
+
+def canonical(line: Column) -> Column:
+    """A line's words with one blank between them; equal for lines with equal words."""
+    return F.when(odd(line), F.regexp_replace(F.btrim(line, F.lit(SPACE_CHARS)), f"[{SPACE_CLASS}]+", " ")).otherwise(line)
+
+
+def halves(line: Column, n: Column) -> list[Column]:
+    """Hashes of the first and the second half of a canonical line, for its n words and for one less."""
     out = []
+    upto = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
     for less in (0, 1):
-        n = F.size(h) - less
-        head = F.floor(n / 2).cast("int")
-        tail = n - head
-        out += [F.xxhash64(n, F.slice(h, F.lit(1), head)), F.xxhash64(-n, F.slice(h, F.size(h) - tail + 1, tail))]
+        head = F.floor((n - less) / 2).cast("int")
+        tail = n - less - head
+        out += [F.xxhash64(n - less, upto(head)), F.xxhash64(less - n, upto(-tail))]
     return out
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every piece of EXACT_WORDS words or more: place (null ids last), its 128-bit hash (a, b), and the
-    hashes of its halves where it has NEAR_WORDS words or more."""
-    def of(p, no):
-        def hashed(h):
-            many = F.size(h) >= NEAR_WORDS
-            half = [F.when(many, x).alias(f"h{i}") for i, x in enumerate(halves(h))]
-            return F.struct(no.alias("no"), F.size(h).alias("n"), F.xxhash64(h).alias("a"), F.xxhash64(F.lit(1), h).alias("b"), *half)
-        return let(word_hashes(p["text"]), hashed)
-
-    d = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.transform(pieces(F.col(text_col)), of)).alias("p"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("p.no").alias("no"))
-    return d.filter(F.col("p.n") >= EXACT_WORDS).select(place.alias("place"), *[F.col(f"p.{c}") for c in ("a", "b", "h0", "h1", "h2", "h3")])
+    """Every piece of EXACT_WORDS words or more: place (null ids last), t (its text's hash), its 128-bit hash
+    (a, b), and the hashes of its halves where it has NEAR_WORDS words or more."""
+    t, line = F.col(text_col), F.col("line")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("t"), F.posexplode(piece_texts(t)).alias("no", "text"))
+    # the generator keeps the filter from computing the line once more
+    d = d.select("doc_id", "t", "no", F.explode(F.array(canonical(F.col("text")))).alias("line"))
+    d = d.withColumn("n", blanks(line) + F.when(line == "", 0).otherwise(1)).filter(F.col("n") >= EXACT_WORDS)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
+    half = [F.when(F.col("n") >= NEAR_WORDS, x).alias(f"h{i}") for i, x in enumerate(halves(line, F.col("n")))]
+    return d.select(place.alias("place"), "t", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), *half)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(v, p, rank): a hash of the line itself (p = -1) and of the line without its p-th word."""
-    def without(h):
-        cut = lambda p: F.concat(F.slice(h, F.lit(1), p), F.slice(h, p + 2, F.size(h)))
-        gone = F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda p: F.struct(F.xxhash64(cut(p)).alias("v"), p.alias("p")))
-        return F.concat(F.array(F.struct(F.xxhash64(h).alias("v"), F.lit(-1).alias("p"))), gone)
+    """(v, p, rank): a hash of the line itself (p = -1) and of the line without its p-th word.
 
-    return lines.select("rank", F.explode(without(F.col("words"))).alias("x")).select("x.v", "x.p", "rank")
+    The hash is the exclusive or of hashes of (word, place), so all variants follow from running values: the
+    words before p count at their own places, those after it one place earlier."""
+    running = lambda z: F.aggregate(z, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.get(acc, F.size(acc) - 1).bitwiseXOR(x)))
+    at = lambda less: running(F.transform(F.col("words"), lambda x, i: F.xxhash64(x, i - less)))
+
+    def each(own, moved):
+        last = F.size(own) - 1
+        v = lambda p: F.get(own, p).bitwiseXOR(F.get(moved, last)).bitwiseXOR(F.get(moved, p + 1))
+        gone = F.transform(F.sequence(F.lit(0), last - 1), lambda p: F.struct(v(p).alias("v"), p.alias("p")))
+        return F.concat(F.array(F.struct(F.get(own, last).alias("v"), F.lit(-1).alias("p"))), gone)
+
+    all_ = let(at(0), lambda own: let(at(1), lambda moved: each(own, moved)))
+    return frozen(lines.select("rank", F.explode(all_).alias("x")).select("x.v", "x.p", "rank"))
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -135,15 +179,15 @@ def with_words(docs: DataFrame, able: DataFrame, id_col: str, text_col: str) ->
     want = frozen(able.groupBy(F.col("place.doc_id").alias("_id")).agg(
         F.collect_list(F.struct(F.col("place.no").alias("no"), "a", "rank")).alias("_want")))
     d = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(few(want), F.col("_own").eqNullSafe(F.col("_id")))
+    take = lambda ps: F.transform(F.col("_want"), lambda w: F.struct(w["rank"].alias("rank"), w["a"].alias("a"), F.get(ps, w["no"]).alias("text")))
+    each = d.select(F.explode(let(piece_texts(F.col("_text")), take)).alias("x")).select("x.rank", "x.a", canonical(F.col("x.text")).alias("line"))
     # of rows with one id, the one whose line has the hash
-    take = lambda ps: F.transform(F.col("_want"), lambda w: F.struct(w["rank"].alias("rank"), w["a"].alias("a"),
-                                                                     word_hashes(F.get(ps, w["no"])["text"]).alias("words")))
-    each = d.select(F.explode(let(pieces(F.col("_text")), take)).alias("x")).select("x.*")
-    return frozen(each.filter(F.xxhash64("words") == F.col("a")).groupBy("rank").agg(F.first("words").alias("words")))
+    each = each.filter(F.xxhash64("line") == F.col("a")).select("rank", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
+    return frozen(each.groupBy("rank").agg(F.first("words").alias("words")))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(place, a, near) of every piece to drop."""
+    """(place, t, near) of every piece to drop."""
     every = frozen(occurrences(docs, id_col, text_col))
     one = [F.first(f"h{i}").alias(f"h{i}") for i in range(4)]
     lines = frozen(every.groupBy("a", "b").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), *one)
@@ -153,39 +197,35 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = able.join(near, "rank", "left_semi").select("a", "b", F.lit(True).alias("near"))
     verdict = lines.select("a", "b", "place", "times").join(near, ["a", "b"], "left").filter("times > 1 or near")
     verdict = frozen(verdict.select("a", "b", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near")))
-    return every.select("place", "a", "b").join(few(verdict), ["a", "b"]).filter(
-        F.col("near") | (F.col("place") != F.col("earliest"))).select("place", "a", "near")
+    return every.select("place", "t", "a", "b").join(few(verdict), ["a", "b"]).filter(
+        F.col("near") | (F.col("place") != F.col("earliest"))).select("place", "t", "near")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept lines as text, and _lines: lines, and pieces dropped as equal and as near."""
-    key = F.xxhash64(F.col("place.no"), F.col("a"))
-    gone = frozen(dropped_lines(docs, id_col, text_col).groupBy(F.col("place.doc_id").alias("_id")).agg(
-        F.collect_set(F.when(~F.col("near"), key)).alias("_exact"), F.collect_set(F.when(F.col("near"), key)).alias("_near"),
+    no = F.col("place.no")
+    # a text is named by its id and hash, as several rows may have one id
+    gone = frozen(dropped_lines(docs, id_col, text_col).groupBy(F.col("place.doc_id").alias("_id"), F.col("t").alias("_t")).agg(
+        F.collect_set(F.when(~F.col("near"), no)).alias("_exact"), F.collect_set(F.when(F.col("near"), no)).alias("_near"),
         F.lit(True).alias("_any")))
 
-    def kept(ps):
-        def marked(p, no):
-            own = F.xxhash64(no, F.xxhash64(word_hashes(p["text"])))
-            state = let(own, lambda k: F.when(F.array_contains("_exact", k), 1).when(F.array_contains("_near", k), 2).otherwise(0))
-            return F.struct(p["line"].alias("line"), p["text"].alias("text"), state.alias("state"))
-
-        def joined(stay):
-            broken = lambda x, i: (i > 0) & (F.get(stay, i - 1)["line"] != x["line"])
-            return F.array_join(F.transform(stay, lambda x, i: F.when(broken(x, i), F.concat(F.lit("\n"), x["text"])).otherwise(x["text"])), "")
-
-        def rebuilt(m):
-            times = lambda k: F.size(F.filter(m, lambda x: x["state"] == k)).cast("long")
-            return F.struct(let(F.filter(m, lambda x: x["state"] == 0), joined).alias("text"), times(1).alias("exact"), times(2).alias("near"))
+    def without(ps, stay):
+        broken = lambda i, k: (k > 0) & (F.get(ps, F.get(stay, k - 1))["line"] != F.get(ps, i)["line"])
+        piece = lambda i: F.get(ps, i)["text"]
+        return F.array_join(F.transform(stay, lambda i, k: F.when(broken(i, k), F.concat(F.lit("\n"), piece(i))).otherwise(piece(i))), "")
 
-        return let(F.transform(ps, marked), rebuilt)
+    def kept(ps):
+        every = F.sequence(F.lit(0), F.size(ps) - 1)
+        left = let(F.array_except(every, F.concat("_exact", "_near")), lambda stay: F.when(F.size(stay) > 0, without(ps, stay)).otherwise(F.lit("")))
+        times = lambda c: F.size(F.col(c)).cast("long")
+        return F.struct(left.alias("text"), times("_exact").alias("exact"), times("_near").alias("near"))
 
     # the row as one struct, so that no column's name can clash with one used here
     text = F.col("doc").getField(text_col)
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("near"))
     new = F.when(text.isNull() | F.col("_any").isNull(), same).otherwise(let(pieces(text), kept))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
-    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"))
-    d = d.join(few(gone, BROADCAST_DOCS), F.col("id").eqNullSafe(F.col("_id")), "left").select("doc", F.explode(F.array(new)).alias("new"))
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    d = d.join(few(gone, BROADCAST_DOCS), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("doc", F.explode(F.array(new)).alias("new"))
     lines = F.struct(n.alias("n"), F.col("new.exact").alias("exact"), F.col("new.near").alias("near"))
     return d.select(*[F.col("new.text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns], lines.alias("_lines"))
