@@ -1,8 +1,8 @@
 """Operator 7: line dedup by a deletion-neighbourhood join, with word edits.
 
 Two lines are alike if their words are equal or one word inserted, removed or replaced makes them so (for
-lines of ``NEAR_WORDS`` words or more; lines of ``EXACT_WORDS`` or more only if equal, shorter ones never). A
-line is dropped if an alike line stands earlier in the corpus, by (doc_id, line); the earliest stays.
+lines of ``NEAR_WORDS`` words or more: one edit then leaves three quarters of the words or more; shorter lines
+are alike only if equal). A line is dropped if an alike line stands earlier in the corpus, by (doc_id, line); the earliest stays.
 
 Each line emits its variants, itself and itself without its p-th word, as hashed keys:
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lakescope.llm.shared import SPACE_CHARS, SPACE_CLASS, frozen, let, ranked, words
 
-EXACT_WORDS, NEAR_WORDS, PIECE_WORDS = 4, 8, 128
+EXACT_WORDS, NEAR_WORDS, PIECE_WORDS = 1, 4, 128
 #: Rows (of some 40 bytes) that may be broadcast, and documents with their dropped lines.
 BROADCAST_ROWS, BROADCAST_DOCS = 1_000_000, 200_000
 

@@ -94,6 +94,13 @@ def test_random_edits_with_and_without_broadcast(spark, monkeypatch, limit):
     assert sum(bool(r[1]) for r in got if r[0] >= 100) == 1
 
 
+def test_short_lines(spark):
+    lines = ["x", "a b", "a b c", "a b c d", "v w x y z"]
+    near = ["a b c e", "v w x z"]  # one word replaced, one removed
+    rows = [(1, "\n".join(lines), "en", "a", 1), (2, "\n".join([*lines, "", "a", "b a", *near, "new line here"]), "en", "a", 1)]
+    assert cleaned(documents(spark, rows, extra=False)) == [(1, rows[0][1], 5, 0, 0), (2, "\na\nb a\nnew line here", 11, 5, 2)]
+
+
 def test_one_edit(spark):
     rng = random.Random(2)
     rows = [([rng.randint(0, 2) for _ in range(rng.randint(0, 6))], [rng.randint(0, 2) for _ in range(rng.randint(0, 6))]) for _ in range(300)]
