@@ -21,8 +21,8 @@ broadcast if it has at most ``BROADCAST_ROWS`` rows (``BROADCAST_DOCS`` document
 shuffle otherwise.
 
 Defined cases: null text has no lines and stays null; lines without words stay; a null id comes last in the
-order; rows with one id and line number are equally early and none drops the other; a line of over
-``PIECE_WORDS`` words counts as consecutive lines of that many. Other columns pass through.
+order; rows with one id and line number are equally early and none drops the other; a line is judged whole,
+however long it is. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -30,36 +30,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakescope.llm.shared import SPACE_CHARS, SPACE_CLASS, frozen, let, ranked, words
+from lakescope.llm.shared import SPACE_CHARS, SPACE_CLASS, frozen, let, ranked
 
-EXACT_WORDS, NEAR_WORDS, PIECE_WORDS = 1, 4, 128
+EXACT_WORDS, NEAR_WORDS = 1, 4
+#: Lines are judged whole: no line has more words than the longest array.
+PIECE_WORDS = (1 << 31) - 1
+#: Words of a block of running values.
+BLOCK_WORDS = 128
 #: Rows (of some 40 bytes) that may be broadcast, and documents with their dropped lines.
 BROADCAST_ROWS, BROADCAST_DOCS = 1_000_000, 200_000
 
 
-def pieces(text: Column) -> Column:
-    """Lines of a text, long ones in pieces: array of (line, text); a line's pieces make it up exactly."""
-    return F.flatten(F.transform(F.split(text, "\n"), lambda t, k: F.transform(cut(t), lambda p: F.struct(k.alias("line"), p.alias("text")))))
-
-
-def piece_texts(text: Column) -> Column:
-    """The texts of ``pieces`` alone; without long lines, those of the lines."""
-    lines = lambda x: F.when(F.exists(x, has_room), F.flatten(F.transform(x, cut))).otherwise(x)
-    return let(F.split(text, "\n"), lines)
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
 def blanks(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
 
 
-def has_room(line: Column) -> Column:
-    """False only for lines with too few bytes or too little white space for more than PIECE_WORDS words."""
-    enough = blanks(line) >= PIECE_WORDS
-    for c in ("\t", "\x0b", "\f", "\r"):
-        enough = enough | line.contains(c)
-    return (F.octet_length(line) > 2 * PIECE_WORDS) & enough
-
-
 def odd(line: Column) -> Column:
     """True unless single blanks are all the white space, between words only."""
     found = line.startswith(" ") | line.endswith(" ")
@@ -68,20 +57,6 @@ def odd(line: Column) -> Column:
     return found
 
 
-def cut(line: Column) -> Column:
-    """A line's pieces; white space stays with the word before it, at the start with the one after it."""
-    w, s = f"[^{SPACE_CLASS}]", f"[{SPACE_CLASS}]"
-    parts = F.regexp_extract_all(line, F.lit(f"{s}*+(?:{w}++{s}*+){{1,{PIECE_WORDS}}}"), F.lit(0))
-    by_pattern = F.when(F.size(words(line)) > PIECE_WORDS, parts).otherwise(F.array(line))
-
-    def by_blank(ws):
-        last = F.floor((F.size(ws) - 1) / PIECE_WORDS).cast("int")
-        piece = lambda k: F.array_join(F.slice(ws, k * PIECE_WORDS + 1, PIECE_WORDS), " ")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k < last, F.concat(piece(k), F.lit(" "))).otherwise(piece(k)))
-
-    return F.when(has_room(line), F.when(odd(line), by_pattern).otherwise(let(F.split(line, " "), by_blank))).otherwise(F.array(line))
-
-
 def canonical(line: Column) -> Column:
     """A line's words with one blank between them; equal for lines with equal words."""
     return F.when(odd(line), F.regexp_replace(F.btrim(line, F.lit(SPACE_CHARS)), f"[{SPACE_CLASS}]+", " ")).otherwise(line)
@@ -99,10 +74,10 @@ def halves(line: Column, n: Column) -> list[Column]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every piece of EXACT_WORDS words or more: place (null ids last), t (its text's hash), its 128-bit hash
+    """Every line of EXACT_WORDS words or more: place (null ids last), t (its text's hash), its 128-bit hash
     (a, b), and the hashes of its halves where it has NEAR_WORDS words or more."""
     t, line = F.col(text_col), F.col("line")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("t"), F.posexplode(piece_texts(t)).alias("no", "text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("t"), F.posexplode(lines_of(t)).alias("no", "text"))
     # the generator keeps the filter from computing the line once more
     d = d.select("doc_id", "t", "no", F.explode(F.array(canonical(F.col("text")))).alias("line"))
     d = d.withColumn("n", blanks(line) + F.when(line == "", 0).otherwise(1)).filter(F.col("n") >= EXACT_WORDS)
@@ -111,12 +86,31 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select(place.alias("place"), "t", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), *half)
 
 
+def _appended(z: Column) -> Column:
+    return F.aggregate(z, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.get(acc, F.size(acc) - 1).bitwiseXOR(x)))
+
+
+def running(z: Column) -> Column:
+    """Exclusive or of the first 0, 1, ... values of an array that isn't empty. Each value appended copies those
+    before it, so long arrays go by blocks, whose totals run in the same way."""
+    def by_block(within, before):
+        moved = F.transform(within, lambda w, k: F.transform(F.slice(w, F.lit(2), F.size(w) - 1), lambda x: x.bitwiseXOR(F.get(before, k))))
+        return F.concat(F.array(F.lit(0).cast("long")), F.flatten(moved))
+
+    def of(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK_WORDS).cast("int")),
+                             lambda k: _appended(F.slice(v, k * BLOCK_WORDS + 1, BLOCK_WORDS)))
+        long = let(blocks, lambda within: let(_appended(F.transform(within, lambda w: F.element_at(w, -1))), lambda before: by_block(within, before)))
+        return F.when(F.size(v) > BLOCK_WORDS, long).otherwise(_appended(v))
+
+    return let(z, of)
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(v, p, rank): a hash of the line itself (p = -1) and of the line without its p-th word.
 
     The hash is the exclusive or of hashes of (word, place), so all variants follow from running values: the
     words before p count at their own places, those after it one place earlier."""
-    running = lambda z: F.aggregate(z, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.get(acc, F.size(acc) - 1).bitwiseXOR(x)))
     at = lambda less: running(F.transform(F.col("words"), lambda x, i: F.xxhash64(x, i - less)))
 
     def each(own, moved):
@@ -179,15 +173,15 @@ def with_words(docs: DataFrame, able: DataFrame, id_col: str, text_col: str) ->
     want = frozen(able.groupBy(F.col("place.doc_id").alias("_id")).agg(
         F.collect_list(F.struct(F.col("place.no").alias("no"), "a", "rank")).alias("_want")))
     d = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(few(want), F.col("_own").eqNullSafe(F.col("_id")))
-    take = lambda ps: F.transform(F.col("_want"), lambda w: F.struct(w["rank"].alias("rank"), w["a"].alias("a"), F.get(ps, w["no"]).alias("text")))
-    each = d.select(F.explode(let(piece_texts(F.col("_text")), take)).alias("x")).select("x.rank", "x.a", canonical(F.col("x.text")).alias("line"))
+    take = lambda ls: F.transform(F.col("_want"), lambda w: F.struct(w["rank"].alias("rank"), w["a"].alias("a"), F.get(ls, w["no"]).alias("text")))
+    each = d.select(F.explode(let(lines_of(F.col("_text")), take)).alias("x")).select("x.rank", "x.a", canonical(F.col("x.text")).alias("line"))
     # of rows with one id, the one whose line has the hash
     each = each.filter(F.xxhash64("line") == F.col("a")).select("rank", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
     return frozen(each.groupBy("rank").agg(F.first("words").alias("words")))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(place, t, near) of every piece to drop."""
+    """(place, t, near) of every line to drop."""
     every = frozen(occurrences(docs, id_col, text_col))
     one = [F.first(f"h{i}").alias(f"h{i}") for i in range(4)]
     lines = frozen(every.groupBy("a", "b").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), *one)
@@ -202,28 +196,24 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept lines as text, and _lines: lines, and pieces dropped as equal and as near."""
+    """``docs`` with the kept lines as text, and _lines: lines, and those dropped as equal and as near."""
     no = F.col("place.no")
     # a text is named by its id and hash, as several rows may have one id
     gone = frozen(dropped_lines(docs, id_col, text_col).groupBy(F.col("place.doc_id").alias("_id"), F.col("t").alias("_t")).agg(
         F.collect_set(F.when(~F.col("near"), no)).alias("_exact"), F.collect_set(F.when(F.col("near"), no)).alias("_near"),
         F.lit(True).alias("_any")))
 
-    def without(ps, stay):
-        broken = lambda i, k: (k > 0) & (F.get(ps, F.get(stay, k - 1))["line"] != F.get(ps, i)["line"])
-        piece = lambda i: F.get(ps, i)["text"]
-        return F.array_join(F.transform(stay, lambda i, k: F.when(broken(i, k), F.concat(F.lit("\n"), piece(i))).otherwise(piece(i))), "")
-
-    def kept(ps):
-        every = F.sequence(F.lit(0), F.size(ps) - 1)
-        left = let(F.array_except(every, F.concat("_exact", "_near")), lambda stay: F.when(F.size(stay) > 0, without(ps, stay)).otherwise(F.lit("")))
+    def kept(ls):
+        every = F.sequence(F.lit(0), F.size(ls) - 1)
+        stay = F.array_except(every, F.concat("_exact", "_near"))
+        left = F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n")
         times = lambda c: F.size(F.col(c)).cast("long")
         return F.struct(left.alias("text"), times("_exact").alias("exact"), times("_near").alias("near"))
 
     # the row as one struct, so that no column's name can clash with one used here
     text = F.col("doc").getField(text_col)
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("exact"), F.lit(0).cast("long").alias("near"))
-    new = F.when(text.isNull() | F.col("_any").isNull(), same).otherwise(let(pieces(text), kept))
+    new = F.when(text.isNull() | F.col("_any").isNull(), same).otherwise(let(lines_of(text), kept))
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
     d = d.join(few(gone, BROADCAST_DOCS), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("doc", F.explode(F.array(new)).alias("new"))

@@ -101,6 +101,16 @@ def test_short_lines(spark):
     assert cleaned(documents(spark, rows, extra=False)) == [(1, rows[0][1], 5, 0, 0), (2, "\na\nb a\nnew line here", 11, 5, 2)]
 
 
+def test_long_lines_are_judged_whole(spark):
+    rng = random.Random(4)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    two = [*w[:10], "x", *w[11:700], "y", *w[701:]]  # two edits
+    lines = [w[:300], ["new", *w[:300]], w[:200] + w[201:300], w, [*w[:500], "z", *w[500:]], two, w[:129]]
+    rows = [(i, " ".join(x), "en", "a", 1) for i, x in enumerate(lines)]
+    drop = {1, 2, 4}
+    assert cleaned(documents(spark, rows, extra=False)) == [(i, "" if i in drop else t, 1, 0, int(i in drop)) for i, t, *_ in rows]
+
+
 def test_one_edit(spark):
     rng = random.Random(2)
     rows = [([rng.randint(0, 2) for _ in range(rng.randint(0, 6))], [rng.randint(0, 2) for _ in range(rng.randint(0, 6))]) for _ in range(300)]
