@@ -19,8 +19,9 @@ order are bounded by the templates given, not by the corpus; Spark broadcasts th
 allows. A notice that a third of all documents hold meets as many templates as any other.
 
 Defined cases: null text is empty: no words, no places, null first and last word, no labels, score 0;
-repeated rows are judged each; blocks are lines, and a line of over ``BLOCK_WORDS`` words gives blocks of that
-many, each starting half a block after the one before. Only ``id_col`` and ``text_col`` are read.
+repeated rows are judged each; blocks are lines and, for notices wrapped over lines, the whole text; either of
+over ``BLOCK_WORDS`` words gives blocks of that many, each starting half a block after the one before. Only
+``id_col`` and ``text_col`` are read.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ TEMPLATES = {
            "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"],
 }
 THRESHOLD = 0.9
-#: Words of a block at most; over twice the longest template.
+#: Words of a block at most, and twice the longest template's if that is more.
 BLOCK_WORDS = 128
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,13 +110,15 @@ def _all(conditions) -> Column:
     return out
 
 
-def _blocks(lowered: Column, vocabulary: Column, least: int) -> Column:
-    """Blocks with at least ``least`` template words: array of (no, tokens)."""
-    half = BLOCK_WORDS // 2
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - BLOCK_WORDS) / half).cast("int"))),
-                                lambda k: F.array_intersect(F.slice(w, k * half + 1, BLOCK_WORDS), vocabulary))
+def _blocks(words: Column, lowered: Column, vocabulary: Column, least: int, size: int) -> Column:
+    """Blocks with at least ``least`` template words: array of (no, tokens). The blocks of each line, and those
+    of the whole text, where a notice may run over several lines."""
+    half = size // 2
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - size) / half).cast("int"))),
+                                lambda k: F.array_intersect(F.slice(w, k * half + 1, size), vocabulary))
     of_line = lambda line: let(license_words(line), cut)
-    sets = F.flatten(F.transform(F.split(lowered, "\n"), of_line))
+    lines = F.flatten(F.transform(F.split(lowered, "\n"), of_line))
+    sets = F.when(lowered.contains("\n"), F.concat(lines, cut(words))).otherwise(cut(words))
     return F.filter(F.transform(sets, lambda s, k: F.struct(k.alias("no"), s.alias("tokens"))), lambda b: F.size(b["tokens"]) >= least)
 
 
@@ -126,6 +129,7 @@ def compact(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str,
     rows = _template_rows(templates, threshold)
     vocabulary = _strings(sorted({w for r in rows for w in r[2]}))
     least = min((r[4] for r in rows), default=1)
+    size = max([BLOCK_WORDS, *(2 * len(template_words(t)) for texts in templates.values() for t in texts)])
 
     def of(words: Column, lowered: Column) -> Column:
         def with_held(held):
@@ -135,7 +139,7 @@ def compact(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str,
                 any_could = any_could | c
             none = F.array().cast("array<struct<no:int,tokens:array<string>>>")
             return F.struct(F.size(words).cast("long").alias("n_words"), _places(words, lowered, phrases).alias("places"), held.alias("held"),
-                            F.when((F.size(held) >= least) & any_could, _blocks(lowered, vocabulary, least)).otherwise(none).alias("blocks"))
+                            F.when((F.size(held) >= least) & any_could, _blocks(words, lowered, vocabulary, least, size)).otherwise(none).alias("blocks"))
         return let(F.array_intersect(words, vocabulary), with_held)
 
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -169,7 +173,7 @@ def matches(found: DataFrame, templates: dict[str, list[str]], threshold: float)
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None,
          threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks
-    (blocks that match a template). ``score`` is the largest containment of a match, 0 without one."""
+    (blocks that match a template; a line's and the whole text's both count). ``score`` is the largest containment of a match, 0 without one."""
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     found = compact(docs, templates, phrases, threshold, id_col, text_col)
     by_row = matches(found, templates, threshold).groupBy("row").agg(

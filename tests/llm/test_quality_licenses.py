@@ -99,5 +99,21 @@ def test_license_scan(spark):
     assert any(r[6] and not r[5] for r in got)  # the method finds more than the phrases
 
 
+def test_wrapped_notices(spark):
+    mit, gpl = L.TEMPLATES["mit"][0].split(), L.TEMPLATES["gpl"][0].split()
+    wrap = lambda w, n, mark: "\n".join(mark + " ".join(w[k : k + n]) for k in range(0, len(w), n))
+    far = "\n".join(["some other line of text"] * 70)
+    texts = [wrap(mit, 11, ""), f"{far}\n{wrap(gpl, 7, ' * ')}\n{far}", wrap(mit, 4, "# "), f"{' '.join(mit[:11])}\n{far}\n{' '.join(mit[11:])}"]
+    out = L.scan(documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)], extra=False)).collect()
+    assert {r.doc_id: r.labels for r in out} == {0: "mit", 1: "gpl", 2: "mit", 3: ""}
+
+
+def test_long_templates(spark):
+    long = [f"t{i}" for i in range(150)]
+    text = "\n".join(["x " * 100, *(" ".join(long[k : k + 10]) for k in range(0, 150, 10)), "y " * 100])
+    out = L.scan(documents(spark, [(1, text, "en", "a", 1)], extra=False), templates={"long": [" ".join(long)]}).collect()
+    assert [(r.labels, r.score) for r in out] == [("long", 1.0)]
+
+
 def test_license_scan_of_no_rows(spark):
     assert L.scan(spark.createDataFrame([], DOCS)).count() == 0
