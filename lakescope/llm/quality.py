@@ -1,11 +1,14 @@
 """Operator 4: quality rules with risk-controlled thresholds.
 
-Each rule is a ratio for which more is worse (``RULES``). Its cutoff is chosen for each stratum (language)
-on the labelled holdout: a candidate cutoff is certified when an exact binomial bound shows that it rejects
-at most ``alpha / rules`` of clean documents, at confidence 1 - ``delta`` over all tests together
-(Bonferroni over rules, cutoffs and strata). Of the certified cutoffs the one that separates junk best is
-taken, the most lenient of equals; with none certified the rule rejects nothing in that stratum. By the
-union over rules, at most ``alpha`` of the clean documents of a stratum are rejected by the verdict.
+Each rule is a ratio for which more is worse (``RULES``). Cutoffs are chosen for each stratum (language) on one
+half of the labelled documents, by a hash of the id: of the cutoffs that reject at most ``alpha / rules`` of the
+clean documents there, the one that separates junk best, the most lenient of equals. The rules, the best first,
+make a chain of verdicts, each of which rejects what the one before rejects and more. The other half certifies
+the chain by fixed-sequence testing: a verdict is certified when an exact binomial bound shows that it rejects at
+most ``alpha`` of clean documents at confidence 1 - ``delta``, and the first that fails ends the chain. As the
+order is fixed before that half is seen and nothing is tested after a failure, the confidence holds for a
+stratum's whole verdict without a correction; it is held stratum by stratum. ``log(delta) / log(1 - alpha)`` = 59
+clean documents in that half can certify a verdict; ``certification`` tells which strata stay uncertified.
 
 The bound: with k of n clean holdout documents above a cutoff, P(Bin(n, a) <= k) <= d proves a true rate
 below a at confidence 1 - d. The sum runs in log space, so a large n does not underflow.
@@ -124,32 +127,59 @@ def stratum(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
-def thresholds(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Certified cutoffs: (stratum, rule, cutoff).
+def chains(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row for each stratum with a chain: stratum, chain (rule, cutoff; the best first), n_clean (clean
+    documents of the certifying half), certified (rules from the chain's start that are certified together).
 
     ``counted``: doc_id, stratum and COUNTS; ``labels``: doc_id, quality, toxic. Clean: quality 1, not
     toxic. Junk: quality 0 or toxic. Documents that the base rule rejects do not count.
     """
     clean = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     junk = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    held = counted.filter(~base_failed()).join(
-        labels.select("doc_id", clean.alias("clean"), junk.alias("junk")).filter("clean or junk"), "doc_id")
     ratios = F.array(*[F.struct(F.lit(r).alias("rule"), ratio(r).alias("ratio")) for r in RULES])
-    each = held.select("stratum", "clean", "junk", F.explode(ratios).alias("r")).select(
+    held = frozen(counted.filter(~base_failed()).join(
+        labels.select("doc_id", clean.alias("clean"), junk.alias("junk")).filter("clean or junk"), "doc_id").select(
+        "stratum", "clean", "junk", in_fit(F.col("doc_id")).alias("fit"), ratios.alias("ratios")))
+    each = held.filter("fit").select("stratum", "clean", "junk", F.explode("ratios").alias("r")).select(
         "stratum", "clean", "junk", "r.rule", F.explode(F.transform(
             F.array(*[F.lit(c) for c in GRID]), lambda c: F.struct(c.alias("cutoff"), (F.col("r.ratio") > c).alias("above")))).alias("c"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     # a labelled document counts in every (rule, cutoff): sums by task come before the shuffle
-    tests = frozen(each.groupBy("stratum", "rule", F.col("c.cutoff").alias("cutoff")).agg(
+    tests = each.groupBy("stratum", "rule", F.col("c.cutoff").alias("cutoff")).agg(
         one(F.col("clean")).alias("n_clean"), one(F.col("junk")).alias("n_junk"),
-        one(F.col("clean") & F.col("c.above")).alias("clean_above"), one(F.col("junk") & F.col("c.above")).alias("junk_above")))
-    m = max(1, tests.count())
-    tail = binomial_tail(F.col("clean_above"), F.col("n_clean"), alpha / len(RULES))
+        one(F.col("clean") & F.col("c.above")).alias("clean_above"), one(F.col("junk") & F.col("c.above")).alias("junk_above"))
     gain = F.col("junk_above") / F.greatest("n_junk", F.lit(1)) - F.col("clean_above") / F.greatest("n_clean", F.lit(1))
+    fit = tests.filter(F.col("clean_above") <= F.col("n_clean") * F.lit(alpha / len(RULES))).withColumn("gain", gain).filter("gain > 0")
+    best = fit.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b"))
+    chain = frozen(best.groupBy("stratum").agg(F.sort_array(F.collect_list(
+        F.struct((-F.col("b.gain")).alias("loss"), "rule", F.col("b.cutoff").alias("cutoff")))).alias("chain")))
+    above = lambda c: F.exists("ratios", lambda r: (r["rule"] == c["rule"]) & (r["ratio"] > c["cutoff"]))
+    first = F.array_position(F.transform("chain", above), True)  # the chain's first rule that rejects it; 0: none
+    by = held.filter("clean and not fit").join(chain, "stratum").select("stratum", first.alias("first")).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n_clean"), *[one(F.col("first").between(1, k + 1)).alias(f"above_{k}") for k in range(len(RULES))])
     # k above a * n can't be certified, and its sum of terms is never begun
-    fit = tests.filter((F.col("clean_above") <= F.col("n_clean") * F.lit(alpha / len(RULES))) & (F.col("junk_above") > 0))
-    fit = fit.withColumn("gain", gain).filter((tail <= F.lit(delta / m)) & (F.col("gain") > 0))
-    return fit.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    tail = lambda k: F.when(F.col(k) <= F.col("n_clean") * F.lit(alpha), binomial_tail(F.col(k), F.col("n_clean"), alpha) <= F.lit(delta)).otherwise(False)
+    passed = F.array(*[tail(f"above_{k}") for k in range(len(RULES))], F.lit(False))
+    certified = F.least(F.array_position(passed, False).cast("int") - 1, F.size("chain"))
+    return chain.join(by, "stratum", "left").select(
+        "stratum", "chain", F.coalesce("n_clean", F.lit(0)).cast("long").alias("n_clean"), F.when(F.col("n_clean") > 0, certified).otherwise(0).alias("certified"))
+
+
+def in_fit(doc_id: Column) -> Column:
+    """True for documents of the half on which cutoffs are chosen; the others certify them."""
+    return F.xxhash64(doc_id).bitwiseAND(F.lit(1)) == 0
+
+
+def thresholds(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Certified cutoffs: (stratum, rule, cutoff)."""
+    c = chains(counted, labels, alpha, delta).filter("certified > 0")
+    return c.select("stratum", F.explode(F.slice("chain", F.lit(1), F.col("certified"))).alias("c")).select("stratum", "c.rule", "c.cutoff")
+
+
+def certification(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """For each stratum of the documents: n_documents, rules chosen, rules certified (0: the base rule alone)."""
+    of = chains(counted, labels, alpha, delta).select("stratum", F.size("chain").alias("chosen"), "certified")
+    return counted.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_documents")).join(of, "stratum", "left").fillna(0, ["chosen", "certified"])
 
 
 def cutoffs_by_stratum(cuts: DataFrame) -> DataFrame:

@@ -50,6 +50,21 @@ def test_certified_cutoffs_separate_junk(spark):
     assert {r.doc_id for r in Q.kept_documents(docs, labels).collect()} == {i for i, r in out.items() if r.kept}
 
 
+def test_small_strata_are_certified(spark):
+    rows = []
+    for k, lang in enumerate(("en", "de", "fr", "es")):
+        rows += [(1000 * k + i, f"plain words number {i} follow one another here without any odd marks at all", lang, "a", 1) for i in range(200)]
+        rows += [(1000 * k + 500 + i, f"%%% buy ### now $$$ x{i} y{i} z{i} u{i} v{i} w{i} and more", lang, "a", 1) for i in range(30)]
+    rows += [(9000 + i, r[1], "xx", "a", 1) for i, r in enumerate([*rows[:20], *rows[200:220]])]  # too few to certify anything
+    labels = spark.createDataFrame([(r[0], int(r[1].startswith("plain")), 0) for r in rows], LABELS)
+    docs = documents(spark, rows, extra=False)
+    kept = {r.doc_id: r.kept for r in Q.judged(docs, labels).collect()}
+    assert all(kept[r[0]] == (r[1].startswith("plain") or r[2] == "xx") for r in rows)
+    counted = Q.with_counts(docs).withColumn("stratum", Q.stratum(F.col("lang")))
+    got = {r.stratum: (r.n_documents, r.certified > 0) for r in Q.certification(counted, labels).collect()}
+    assert got == {"=en": (230, True), "=de": (230, True), "=fr": (230, True), "=es": (230, True), "=xx": (40, False)}
+
+
 def test_kept_documents_keep_columns(spark):
     docs = documents(spark)
     out = Q.kept_documents(docs, spark.createDataFrame([], LABELS))
