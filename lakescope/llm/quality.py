@@ -13,7 +13,13 @@ clean documents in that half can certify a verdict; ``certification`` tells whic
 The bound: with k of n clean holdout documents above a cutoff, P(Bin(n, a) <= k) <= d proves a true rate
 below a at confidence 1 - d. The sum runs in log space, so a large n does not underflow.
 
-Scale: everything about a document is computed in its row, from its whole text; the labelled rows' ratios
+Toxic words are learned, not listed: on the first half of the labels, words found in ``TOXIC_DOCUMENTS`` toxic
+documents or more get the logarithm of their rates in toxic and other documents as weight, less two standard errors,
+and those of ``TOXIC_WEIGHT`` or more count. A document's ``toxic_weight`` is the sum over its distinct words; its rule takes the
+weight a word, and its cutoff is certified like any other. Without toxic labels no word has a weight.
+
+Scale: everything about a document is computed in its row, from its whole text; the learned words alone, not the
+vocabulary, are gathered and travel to each task; the labelled rows' ratios
 (numbers only) are joined to the labels and counted by (stratum, rule, cutoff), with partial sums before the
 shuffle. Only those counts, a row for each combination, reach the last aggregate.
 
@@ -29,14 +35,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakescope.llm.line_dedup import few
 from lakescope.llm.shared import SPACE_CLASS, frozen, let, text_or_empty, words
 
 # Symbols of the base counts, the base rule's limits, and the window of repeated words.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
-# Common English insults; a word list of the rule for abusive texts.
-INSULTS = ("clown", "disgusting", "dumb", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: A word is learned as toxic from so many toxic documents at least, and with such a weight: the logarithm of how
+#: much more often it is found in toxic documents than in others, less two standard errors.
+TOXIC_DOCUMENTS, TOXIC_WEIGHT = 3, 1.0
 
 #: Candidate cutoffs of each rule; a document is above one if its ratio exceeds it.
 GRID = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.7)
@@ -48,10 +56,10 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words"),
     "capitals": ("n_capitals", "word_chars"),
     "exclamations": ("n_exclamations", "word_chars"),
-    "insults": ("n_insults", "n_words"),
+    "toxic": ("toxic_weight", "n_words"),
 }
 ALPHA, DELTA = 0.05, 0.05
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations", "n_insults")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclamations", "toxic_weight")
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -78,24 +86,51 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
     return let(F.transform(w, lambda x: F.xxhash64(x)), of).cast("long")
 
 
-def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """Adds the counts that the rules use, named ``prefix`` and COUNTS, from each row's whole text."""
+def spoken(text: Column) -> Column:
+    """The words of a text in lower case, without ASCII marks; one may be empty."""
+    return F.split(F.lower(text_or_empty(text)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row (toxic_words, toxic_weights): the words learned as toxic, in order, and their weights, from the
+    labelled documents on which cutoffs are chosen. ``docs``: doc_id, text."""
+    known = labels.filter("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("long").alias("toxic")).filter(in_fit(F.col("doc_id")))
+    held = docs.select("doc_id", "text").join(known, "doc_id")
+    n = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.count(F.lit(1)).alias("n_all"))
+    each = held.select("toxic", F.explode(F.array_distinct(spoken(F.col("text")))).alias("word")).filter("word != ''").groupBy("word").agg(
+        F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("k")).filter(F.col("t") >= TOXIC_DOCUMENTS)
+    rate = lambda k, of: (k + F.lit(0.5)) / (of + F.lit(1))
+    weight = F.log(rate(F.col("t"), F.col("n_toxic")) / rate(F.col("k") - F.col("t"), F.col("n_all") - F.col("n_toxic")))
+    error = F.sqrt(1 / (F.col("t") + F.lit(0.5)) + 1 / (F.col("k") - F.col("t") + F.lit(0.5)))
+    learned = each.crossJoin(F.broadcast(n)).withColumn("weight", F.round(weight - 2 * error, 2)).filter(F.col("weight") >= TOXIC_WEIGHT)
+    one = learned.agg(F.sort_array(F.collect_list(F.struct("word", "weight"))).alias("x"))
+    return frozen(one.select(F.col("x.word").alias("toxic_words"), F.col("x.weight").alias("toxic_weights")))
+
+
+def with_counts(docs: DataFrame, text_col: str = "text", prefix: str = "", toxic: DataFrame | None = None) -> DataFrame:
+    """Adds the counts that the rules use, named ``prefix`` and COUNTS, from each row's whole text.
+    ``toxic``: the row of ``toxic_words``; without it no word is toxic."""
     t = text_or_empty(F.col(text_col))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))
     by_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
                                   (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    insults = rf"(?i)\b(?:{'|'.join(INSULTS)})\b"
+    list_, weights = F.col(f"{prefix}_learned.hashes"), F.col(f"{prefix}_learned.toxic_weights")
+    hashes = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    summed = lambda found: F.aggregate(found, F.lit(0.0), lambda a, w: a + F.get(weights, F.array_position(list_, w).cast("int") - 1))
+    score = F.lit(0.0) if toxic is None else F.round(let(F.array_intersect(list_, hashes(spoken(F.col(text_col)))), summed), 2)
     held = f"{prefix}_counts"
     one = F.struct(
         let(words(F.col(text_col)), by_words).alias("w"), let(lines, by_lines).alias("l"),
         _without(t, f"[{SPACE_CLASS}]+").alias("word_chars"), (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
         _without(t, "[^A-Z]+").alias("n_capitals"), (F.size(F.split(t, "!")) - 1).cast("long").alias("n_exclamations"),
-        F.regexp_count(t, F.lit(insults)).cast("long").alias("n_insults"))
+        score.alias("toxic_weight"))
     place = {"n_words": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
+    if toxic is not None:
+        docs = docs.crossJoin(F.broadcast(toxic.select(F.struct(hashes(F.col("toxic_words")).alias("hashes"), "toxic_weights").alias(f"{prefix}_learned"))))
     # the generator keeps the counts from being computed again for each column taken from them
     return docs.withColumn(held, F.explode(F.array(one))).withColumns(
-        {f"{prefix}{c}": F.col(f"{held}.{place.get(c, '')}{c}") for c in COUNTS}).drop(held)
+        {f"{prefix}{c}": F.col(f"{held}.{place.get(c, '')}{c}") for c in COUNTS}).drop(held, f"{prefix}_learned")
 
 
 def ratio(rule: str, prefix: str = "") -> Column:
@@ -195,8 +230,9 @@ def verdict(prefix: str = "") -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per document: doc_id, lang, COUNTS, base_failed, kept. ``docs``: doc_id, text, lang."""
-    counted = frozen(with_counts(docs.select("doc_id", "lang", "text")).drop("text").withColumn("stratum", stratum(F.col("lang"))))
-    cuts = cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))
+    toxic = toxic_words(docs, labels)
+    counted = frozen(with_counts(docs.select("doc_id", "lang", "text"), toxic=toxic).drop("text").withColumn("stratum", stratum(F.col("lang"))))
+    cuts = few(frozen(cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))))
     return counted.join(cuts, "stratum", "left").select(
         "doc_id", "lang", *COUNTS, base_failed().alias("base_failed"), verdict().alias("kept"))
 
@@ -209,8 +245,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     """
     plain = docs.select("doc_id", "lang", "text")
     known = labels.select("doc_id").distinct()
-    counted = frozen(with_counts(plain.join(known, "doc_id", "left_semi")).drop("text").withColumn("stratum", stratum(F.col("lang"))))
-    cuts = cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))
+    toxic = toxic_words(docs, labels)
+    counted = frozen(with_counts(plain.join(known, "doc_id", "left_semi"), toxic=toxic).drop("text").withColumn("stratum", stratum(F.col("lang"))))
+    cuts = few(frozen(cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))))
     # the row as one struct, so that no column's name can clash with one used here
     d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), stratum(F.col("lang")).alias("stratum"))
-    return with_counts(d).join(cuts, "stratum", "left").filter(verdict()).select("doc.*")
+    return with_counts(d, toxic=toxic).join(cuts, "stratum", "left").filter(verdict()).select("doc.*")

@@ -28,7 +28,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents and the verdict of the certified cutoffs."""
     out = quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      "n_lines", "n_capitals", "n_exclamations", "n_insults", "base_failed", "kept")
+                      "n_lines", "n_capitals", "n_exclamations", "toxic_weight", "base_failed", "kept")
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

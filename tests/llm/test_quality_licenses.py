@@ -65,6 +65,16 @@ def test_small_strata_are_certified(spark):
     assert got == {"=en": (230, True), "=de": (230, True), "=fr": (230, True), "=es": (230, True), "=xx": (40, False)}
 
 
+def test_toxic_words_are_learned(spark):
+    rows = [(i, f"plain words number {i} follow one another here in the usual calm way", "de", "a", 1) for i in range(300)]
+    rows += [(1000 + i, f"{('Vollpfosten', 'blödmann!')[i % 2]} number {i} follow one another here in the usual way", "de", "a", 1) for i in range(80)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] >= 1000)) for r in rows if r[0] < 1060], LABELS)
+    docs = documents(spark, rows, extra=False)
+    assert Q.toxic_words(docs, labels).first().toxic_words == ["blödmann", "vollpfosten"]
+    assert {r.doc_id for r in Q.judged(docs, labels).collect() if r.kept} == set(range(300))  # those without labels too
+    assert {r.doc_id for r in Q.kept_documents(docs, labels).collect()} == set(range(300))
+
+
 def test_kept_documents_keep_columns(spark):
     docs = documents(spark)
     out = Q.kept_documents(docs, spark.createDataFrame([], LABELS))
