@@ -14,8 +14,8 @@ Scale: the joins carry ids, parents and scores only, spread by a hash of (tree,
 once, at the end. One path is one row, as its formatted text is; a tree with many paths is many rows.
 
 Defined cases: null text and null role are empty; a null tree id is a tree of its own; a message whose
-parent is unknown is a root; messages in a circle hang on no root and are left out (``max_depth`` ends the
-rounds); of messages with one (tree, id) each is a node only once, the least by role and text. An empty table
+parent is unknown is a root; messages in a circle hang on no root and are left out (the number of
+messages ends the rounds); of messages with one (tree, id) each is a node only once, the least by role and text. An empty table
 gives no rows. Other columns are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakescope.llm.bpe import in_batches
-from lakescope.llm.shared import frozen
+from lakescope.llm.shared import frozen, ranked
 
 # The marks of the template, and the role whose texts are learned.
 START, END, LEARNED = "<|im_start|>", "<|im_end|>", "assistant"
@@ -73,10 +73,9 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 def linear_tree(rows: DataFrame, tree: str, order: str) -> DataFrame:
     """Messages that follow one another by ``order`` as a tree with one path: tree, id, parent, role, text."""
-    # one row after another: a conversation is one path and in the end one text
-    nth = F.row_number().over(Window.partitionBy(tree).orderBy(F.col(order).asc_nulls_last(), F.col("role"), F.col("text")))
-    return rows.select(F.col(tree).alias("tree"), nth.cast("long").alias("id"), "role", "text").withColumn(
-        "parent", F.when(F.col("id") > 1, F.col("id") - 1)).withColumn("score", F.lit(0.0))
+    r = ranked(rows.select(F.col(tree).alias("tree"), F.col(order).alias("turn"), "role", "text"), [F.col("tree"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")], "id")
+    # the row before it is its parent; that of a tree's first row is in another tree and so unknown
+    return r.select("tree", F.col("id").cast("long").alias("id"), "role", "text", (F.col("id") - 1).cast("long").alias("parent"), F.lit(0.0).alias("score"))
 
 
 def _key(tree: Column, node: Column) -> Column:
@@ -84,7 +83,7 @@ def _key(tree: Column, node: Column) -> Column:
     return F.struct(F.coalesce(tree.cast("string"), F.lit("")).alias("t"), tree.isNull().alias("z"), node.alias("n"))
 
 
-def paths(messages: DataFrame, branches: int = 1, max_depth: int = 1 << 20) -> DataFrame:
+def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, rank, leaf, depth, id): the messages of the best ``branches`` paths of each tree, root at depth 0.
 
     ``messages``: tree, id, parent, score."""
@@ -95,7 +94,8 @@ def paths(messages: DataFrame, branches: int = 1, max_depth: int = 1 << 20) -> D
     # to: the ancestor 2**round steps up; steps and total: of the path below it
     jump = frozen(m.select("tree", "id", "k", F.col("up").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")))
     jumps, reach = [jump.select("k", "to").filter("to is not null")], 1
-    while reach < max_depth and not jump.filter("to is not null").isEmpty():
+    n = jump.count()  # no path is longer; what is unresolved then is a circle
+    while reach < n and not jump.filter("to is not null").isEmpty():
         upper = jump.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
         jump = frozen(jump.join(upper, "to", "left").select(
             "tree", "id", "k", F.col("to2").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),

@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -93,6 +94,16 @@ def test_conversations_by_turn(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_long_conversations_have_no_bound_and_no_single_task(spark, capsys):
+    assert "max_depth" not in inspect.signature(C.paths).parameters  # ended the rounds at 2**20 messages
+    df = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('t', id) AS text").repartition(4)
+    tree = C.linear_tree(df, "conv_id", "turn")
+    tree.explain()
+    assert "row_number" not in capsys.readouterr().out  # no window over a whole conversation
+    p = C.paths(tree.unionByName(spark.sql("SELECT 2L tree, -5L id, 'u' role, 'x' text, -5L parent, 0D score")))
+    assert [(r.tree, r.depth) for r in p.orderBy("depth").collect()] == [(1, k) for k in range(3000)]
+
+
 def test_branches_are_ranked(spark):
     rng = random.Random(9)
     rows, scores = [], {}
