@@ -6,10 +6,10 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.session import cut_lineage
+from lakescope.session import cut_lineage, ranked  # noqa: F401 (the operators take ranked from here)
 
 #: White space that separates words, as a regular-expression class and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -63,26 +63,6 @@ def frozen(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str, partitions: int | None = None) -> DataFrame:
-    """Rank rows from 0 over a global order without a one-task window.
-
-    Rows are range-sorted and written; a row's rank is its place in its range plus the sizes of the
-    ranges before it. The offsets table has one row for each range.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id()
-    laid = frozen(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                  .withColumn("_place", place))
-    laid = laid.withColumn("_range", F.shiftright("_place", 33)).withColumn(
-        "_seq", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    return laid.join(before, "_range").withColumn(rank, F.col("_before") + F.col("_seq")).drop(
-        "_place", "_range", "_seq", "_before")
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, also where ``use`` names it inside a lambda."""
     return F.element_at(F.transform(F.array(value), use), 1)

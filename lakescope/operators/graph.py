@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.operators.components import star_components
-from lakescope.session import cut_lineage
+from lakescope.session import cut_lineage, ranked
 
 
 def node_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -129,10 +129,12 @@ def importance(edges: DataFrame, closure: DataFrame, nodes: DataFrame | None = N
 
 def core_objects(scores: DataFrame, n: int | None = None) -> DataFrame:
     """D-6 / W1 / O6: nodes by importance with their rank; the first ``n`` if given."""
-    top = scores.orderBy(F.col("importance").desc(), F.col("node"))
-    top = top if n is None else top.limit(n)
+    order = [F.col("importance").desc(), F.col("node")]
+    if n is None:
+        return ranked(scores, order, "_rank0").withColumn("rank", (F.col("_rank0") + 1).cast("int")).drop("_rank0")
+    # n rows
     from pyspark.sql import Window
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), F.col("node"))))
+    return scores.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def lineage(edges: DataFrame, start: DataFrame | str, shared_visited: bool = False,

@@ -116,3 +116,14 @@ def test_approx_impact_matches_exact_on_small_graphs(spark):
     assert set(approx) == set(exact)
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(1, 0.05 * v)
+
+
+def test_core_objects_without_a_limit(spark, capsys):
+    scores = spark.range(500).selectExpr("concat('n', lpad(id, 4, '0')) AS node", "id % 7 AS importance").repartition(4)
+    out = G.core_objects(scores)
+    assert out.columns == ["node", "importance", "rank"]
+    out.explain()
+    assert "row_number" not in capsys.readouterr().out  # no window over all nodes
+    want = sorted(((f"n{i:04}", i % 7) for i in range(500)), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(*x, k + 1) for k, x in enumerate(want)]
+    assert [tuple(r) for r in G.core_objects(scores, 5).orderBy("rank").collect()] == [(*x, k + 1) for k, x in enumerate(want[:5])]
