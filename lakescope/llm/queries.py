@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, quality, token_files, topk
+from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, ngram_join, quality, ranking, spelling, token_files, topk
 from lakescope.llm.shared import read
 
 
@@ -71,7 +71,23 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for each benchmark item, by FP-trees of all documents."""
+    return ranking.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a similarity of 0.90 of three-word shingles."""
+    return ngram_join.components(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents with their near words, form and root."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op9_context_mixing, op10_license_scan,
+    op11_ranked_search, op12_ngram_join, op13_spelling_variants,
 )}
 ORACLE: dict[str, str] = {}
