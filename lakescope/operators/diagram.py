@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakescope.operators.refs import to_full_name
+
 from lakescope.functions.names import full_name
 
 # Edge label by the kind of the depending object.
@@ -112,3 +114,26 @@ def graph_nodes(objects: DataFrame, object_edges: DataFrame | None = None) -> Da
     ext = ext.withColumn("_k", F.lower("node")).join(
         n.select("database_name", F.lower("node").alias("_k")), ["database_name", "_k"], "left_anti").drop("_k")
     return n.unionByName(ext)
+
+
+def edge_table(fks: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """D-2: the dependency edges of foreign keys and object references: (database_name, src, dst, kind, src_known, dst_known).
+
+    Names compare without case; of several edges between two objects the foreign key stands. ``objects`` has
+    database_name, schema_name and object_name; the target of an external reference is a node of its own. An edge counts for
+    each end that is known: its source depends on the target, its target is referenced by the source. Edges
+    without a known end are left out.
+    """
+    full = lambda a, b: F.concat_ws(".", a, b)
+    rows = fks.select("database_name", full("from_schema", "from_table").alias("src"), full("to_schema", "to_table").alias("dst"),
+                      F.lit(0).alias("rank"), F.lit(False).alias("external"))
+    rows = rows.unionByName(refs.select("database_name", full("from_schema", "from_name").alias("src"), to_full_name().alias("dst"),
+                                        F.lit(1).alias("rank"), F.col("to_database").isNotNull().alias("external")))
+    one = rows.groupBy("database_name", F.lower("src").alias("_src"), F.lower("dst").alias("_dst")).agg(
+        F.min(F.struct("rank", "src", "dst")).alias("e"), F.bool_or("external").alias("external"))
+    known = objects.select("database_name", F.lower(full("schema_name", "object_name")).alias("_name"), F.lit(True).alias("hit")).distinct()
+    at = lambda side: known.withColumnRenamed("_name", f"_{side}").withColumnRenamed("hit", f"{side}_hit")
+    out = one.join(at("src"), ["database_name", "_src"], "left").join(at("dst"), ["database_name", "_dst"], "left")
+    out = out.select("database_name", "e.src", "e.dst", F.when(F.col("e.rank") == 0, "foreign key").otherwise("object").alias("kind"),
+                     F.coalesce("src_hit", F.lit(False)).alias("src_known"), (F.coalesce("dst_hit", F.lit(False)) | F.col("external")).alias("dst_known"))
+    return out.filter("src_known or dst_known")

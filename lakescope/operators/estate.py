@@ -4,11 +4,14 @@ refresh of one database, and the result sink / reader (JSON or parquet, versione
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakescope.functions.names import qualify
+from lakescope.session import cut_lineage, delete_path
 
 RESULT_VERSION = 1
 
@@ -68,7 +71,7 @@ def read_estate(spark: SparkSession, loaders: dict, sections: list[str] | None =
             for df in frames.values():
                 df.schema  # resolve now, so a failure keeps none of this database's frames
         except Exception as e:  # fault isolation: record and go on
-            errors.append((name, f"{type(e).__name__}: {str(e)[:500]}"))
+            errors.append((name, f"{type(e).__name__}: {e}"))
             continue
         for k, df in frames.items():
             good.setdefault(k, []).append(df)
@@ -83,8 +86,35 @@ def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def refresh_partition(df: DataFrame, path: str, database_name: str) -> None:
-    """Replace one database's rows of a stored result table, leaving the others."""
-    write_partitioned(df.filter(F.col("database_name") == database_name), path)
+    """Replace one database's rows of a stored result table, leaving the others; without new rows it has none.
+
+    Readers may see the change halfway; ``versions.refresh`` commits it at once.
+    """
+    mine = df.filter(F.col("database_name") == database_name)
+    if mine.isEmpty():
+        held = df.sparkSession.read.parquet(path).filter(F.col("database_name") == database_name).select(F.input_file_name().alias("f")).distinct()
+        for folder in {r.f.rsplit("/", 1)[0] for r in held.collect()}:  # one folder for a database
+            delete_path(df.sparkSession, folder)
+    else:
+        write_partitioned(mine, path)
+
+
+def isolated(spark: SparkSession, jobs: dict, workers: int = 4) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Run each job by itself, a few at a time: (its rows by name, failures).
+
+    ``jobs`` maps a name to a callable that returns a DataFrame. Each is run and written under a job group of its own,
+    so one that fails while it runs (a corrupt file, a lost connection) is recorded and the others go on.
+    """
+    def one(name):
+        spark.sparkContext.setJobGroup(f"lakescope-{name}", name)
+        try:
+            return name, cut_lineage(jobs[name]()), None
+        except Exception as e:  # fault isolation: record and go on
+            return name, None, f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(one), sorted(jobs)))
+    return {n: df for n, df, e in done if e is None}, spark.createDataFrame([(n, e) for n, _, e in done if e is not None], "name string, error string")
 
 
 def coalesce_results(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -2,9 +2,10 @@
 
 Edges are a DataFrame ``(src, dst)``: *src depends on dst* (a view reads a table, an FK child points
 to its parent). Every algorithm is an iterative DataFrame loop: frontier ⋈ edges, ``left_anti``
-against what is already known, and a reliable ``checkpoint()`` into the shared checkpoint folder each
-round so plans stay short and a lost executor only recomputes one round. The only driver work is the
-per-round emptiness test.
+against what is already known, and a table written to the shared checkpoint folder each round, so plans
+stay short and a lost executor only recomputes one round. The only driver work is the per-round
+emptiness test. Impact sizes of all nodes come from bit vectors over the dependents (``impact_sizes``),
+not from a table of (node, dependent) pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.operators.components import star_components
-from lakescope.session import cut_lineage, ranked
+from lakescope.session import cut_lineage, discard, ranked
+
+#: Nodes whose dependents' bits are propagated at once.
+BLOCK_NODES = 1 << 26
 
 
 def node_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -106,19 +110,127 @@ def approx_impact(edges: DataFrame, lg_k: int = 12, max_rounds: int | None = Non
     return sk.select("node", F.col("est").alias("approx_impact"))
 
 
-def importance(edges: DataFrame, closure: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """D-5: referenced_by, depends_on, impact (closure size), importance = 3*referenced_by + depends_on + impact.
+def heights(edges: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Layers of (src, dst): layer k holds the edges whose source has k steps or more of dependents behind it.
 
-    Also direct/indirect split of the impact (U3): indirect = transitive minus direct dependents.
+    ``edges`` is materialised, without self edges. A node's height is the last layer, counted from 1, that has
+    it as ``dst``. The flag tells that a cycle keeps the last layer from shrinking.
+    """
+    layers, n = [edges], edges.count()
+    while n:
+        last = layers[-1]
+        up = cut_lineage(last.join(last.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        m = up.count()
+        if m == n:
+            return layers, True
+        layers.append(up)
+        n = m
+    return layers, False
+
+
+def condensed(edges: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between components (each named by its least node), and (node, comp, size) of the components with a cycle."""
+    on = cut_lineage(cycles(strongly_connected(core)).select("node", F.col("scc_id").alias("comp"), F.col("scc_size").alias("size")))
+    at = on.select("node", "comp")
+    e = edges.join(at.toDF("src", "a"), "src", "left").join(at.toDF("dst", "b"), "dst", "left").select(
+        F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    return cut_lineage(e.filter("src <> dst").distinct()), on
+
+
+def _unite(bits: DataFrame) -> DataFrame:
+    return cut_lineage(bits.groupBy("node", "block").agg(F.bit_or("word").alias("word")))
+
+
+def impact_sizes(edges: DataFrame, block_nodes: int | None = None) -> DataFrame:
+    """D-4: exact impact size of every node with a dependent, without (node, dependent) pairs:
+    (node, impact, indirect_impact). A node on a cycle is in its own impact.
+
+    Cycles are condensed first. Nodes are numbered so that dependents of one node lie together; a node's
+    dependents are then 64-bit words, 64 of them in a row, united by ``bit_or`` from layer to layer, and
+    counted. Nodes whose dependents have no dependents themselves need no bits: their dependents are counted.
+    Words of a node are spread over rows, so hubs are partial sums like any other. ``block_nodes`` numbers
+    are propagated at a time; a block's words are deleted when they are counted.
+    """
+    block_nodes = block_nodes or BLOCK_NODES
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    plain = e.filter("src <> dst")
+    layers, cyclic = heights(plain)
+    dag, on = plain, None
+    if cyclic:
+        dag, on = condensed(plain, layers[-1])
+        layers, _ = heights(dag)
+    if on is None:
+        beside = dag.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        sizes = on.select(F.col("comp").alias("src"), "size").distinct()
+        beside = dag.join(sizes, "src", "left").groupBy(F.col("dst").alias("node")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("n"))
+    targets = [x.select(F.col("dst").alias("node")).distinct() for x in layers]  # of height k + 1 or more
+    if len(layers) > 2:
+        high = cut_lineage(targets[1])  # nodes whose dependents have dependents
+        beside = beside.join(high, "node", "left_anti").unionByName(_counted_bits(dag, on, layers, targets, block_nodes))
+    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("self"))
+    direct = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    out = direct.join(loops, "node", "left")
+    if on is None:
+        out = out.join(beside, "node", "left").withColumn("own", F.coalesce("self", F.lit(0)))
+    else:
+        out = out.join(on, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(beside.withColumnRenamed("node", "comp"), "comp", "left")
+        out = out.withColumn("own", F.coalesce("size", "self", F.lit(0)))
+    impact = F.coalesce("n", F.lit(0)) + F.col("own")
+    return out.select("node", impact.cast("long").alias("impact"), (impact - F.col("direct")).cast("long").alias("indirect_impact"))
+
+
+def _counted_bits(dag: DataFrame, on: DataFrame | None, layers: list[DataFrame], targets: list[DataFrame], block_nodes: int) -> DataFrame:
+    """(node, n): how many nodes reach each node of height 2 or more."""
+    senders = dag.groupBy(F.col("src").alias("comp")).agg(F.min("dst").alias("first"))
+    if on is None:
+        senders = senders.withColumn("node", F.col("comp"))
+    else:
+        senders = senders.join(on.select("comp", F.col("node").alias("member")), "comp", "left").withColumn("node", F.coalesce("member", "comp"))
+    numbered = ranked(senders.select("comp", "node", "first"), [F.col("first"), F.col("comp"), F.col("node")], "rank")
+    own = numbered.groupBy("comp", F.shiftright("rank", 6).alias("block")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(rank % 64 as int))")).alias("word"))
+    own = cut_lineage(own.withColumnRenamed("comp", "src"))
+    # the edges that end at each height; at height 1 only where the node itself has dependencies above it
+    into = []
+    for k in range(1, len(layers)):
+        ends = targets[k - 1].join(targets[k], "node", "left_anti") if k < len(layers) - 1 else targets[k - 1]
+        if k == 1:
+            ends = ends.join(layers[1].select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+        into.append(cut_lineage(dag.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")))
+    words = (own.agg(F.max("block")).first()[0] or 0) + 1
+    step = max(1, block_nodes // 64)
+    counts = []
+    for low in range(0, words, step):
+        mine = own if words <= step else own.filter((F.col("block") >= low) & (F.col("block") < low + step))
+        held = []
+        for k, e in enumerate(into, 1):
+            bits = e.join(mine, "src").select(F.col("dst").alias("node"), "block", "word")
+            if held:
+                below = reduce(DataFrame.unionByName, held).withColumnRenamed("node", "src")
+                bits = bits.unionByName(e.join(below, "src").select(F.col("dst").alias("node"), "block", "word"))
+            held.append(_unite(bits))
+        counts.append(cut_lineage(reduce(DataFrame.unionByName, held[1:]).groupBy("node").agg(F.sum(F.bit_count("word")).alias("n"))))
+        discard(*held)
+    return reduce(DataFrame.unionByName, counts).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def importance(edges: DataFrame, impact: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """D-5: referenced_by, depends_on, impact size, importance = 3*referenced_by + depends_on + impact.
+
+    ``impact`` is from ``impact_sizes`` (the default) or ``reachable``. Also the part of the impact that is
+    indirect (U3): transitive minus direct dependents.
     """
-    e = edges.select("src", "dst").distinct()
-    ref_by = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("referenced_by"))
-    dep_on = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("depends_on"))
-    imp = closure.groupBy("node").agg(F.count(F.lit(1)).alias("impact"),
-                                      F.count_if(F.col("depth") > 1).alias("indirect_impact"))
-    all_nodes = node_table(e, nodes)
-    out = all_nodes.join(ref_by, "node", "left").join(dep_on, "node", "left").join(imp, "node", "left")
-    out = out.fillna(0, ["referenced_by", "depends_on", "impact", "indirect_impact"])
+    imp = impact_sizes(edges) if impact is None else impact
+    if "affected" in imp.columns:
+        imp = imp.groupBy("node").agg(F.count(F.lit(1)).alias("impact"), F.count_if(F.col("depth") > 1).alias("indirect_impact"))
+    # both ends of an edge, and the nodes given, counted in one grouping
+    one = lambda n, into, out: F.struct(F.col(n).alias("node"), F.lit(into).alias("into"), F.lit(out).alias("out"))
+    ends = edges.select("src", "dst").distinct().select(F.inline(F.array(one("dst", 1, 0), one("src", 0, 1))))
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select("node", F.lit(0).alias("into"), F.lit(0).alias("out")))
+    out = ends.groupBy("node").agg(F.sum("into").alias("referenced_by"), F.sum("out").alias("depends_on"))
+    out = out.join(imp.select("node", "impact", "indirect_impact"), "node", "left").fillna(0, ["impact", "indirect_impact"])
     return out.select(
         "node", F.col("referenced_by").cast("long"), F.col("depends_on").cast("long"), F.col("impact").cast("long"),
         F.col("indirect_impact").cast("long"),
@@ -191,58 +303,106 @@ def _propagate_min(edges_ft: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+def _chains(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Contract nodes with one edge in and one out: (edges left, chain members, rings); None if there is no such node.
+
+    Pointers double from round to round, so that a chain of n nodes takes log2(n) rounds. Members: node, and the
+    ends (a, b) of the edge that stands for the chain. Rings, closed chains without another node: node, label (the least).
+    """
+    one_in = e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before"), F.count(F.lit(1)).alias("i")).filter("i = 1")
+    one_out = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("after"), F.count(F.lit(1)).alias("o")).filter("o = 1")
+    mid = cut_lineage(one_in.join(one_out, "node").select("node", "before", "after"))
+    n = mid.count()
+    if not n:
+        return None
+    inner = mid.select("node")
+    at = mid.join(inner.withColumnRenamed("node", "after").withColumn("more", F.lit(True)), "after", "left").select(
+        "node", F.col("node").alias("last"), F.col("after").alias("to"), F.col("node").alias("least"), F.coalesce("more", F.lit(False)).alias("more"))
+    at = cut_lineage(at)
+    for _ in range(max(1, n.bit_length())):
+        if at.filter("more").isEmpty():
+            break
+        hop = at.select(F.col("node").alias("to"), F.col("last").alias("last2"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("more").alias("more2"))
+        walks = F.col("more")
+        at = cut_lineage(at.join(hop, "to", "left").select(
+            "node", F.when(walks, F.col("last2")).otherwise(F.col("last")).alias("last"), F.when(walks, F.col("to2")).otherwise(F.col("to")).alias("to"),
+            F.when(walks, F.least("least", "least2")).otherwise(F.col("least")).alias("least"), F.when(walks, F.col("more2")).otherwise(F.lit(False)).alias("more")))
+    rings = at.filter("more").select("node", F.col("least").alias("label"))
+    open_ = at.filter("not more").select("node", "last", "to")
+    heads = mid.join(inner.withColumnRenamed("node", "before"), "before", "left_anti").select("node", F.col("before").alias("a"))
+    ends = heads.join(open_, "node").select("last", "a", F.col("to").alias("b"))
+    members = cut_lineage(open_.join(ends, "last").select("node", "a", "b"))
+    rest = e.join(inner.withColumnRenamed("node", "src"), "src", "left_anti").join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    left = rest.select("src", "dst").unionByName(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return cut_lineage(left.filter("src <> dst").distinct()), members, cut_lineage(rings)
+
+
+def _trimmed(e: DataFrame) -> DataFrame | None:
+    """Edges without those whose source has no edge in, or whose target has none out; None if all stay."""
+    keep = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    keep = cut_lineage(keep.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return None if keep.count() == e.count() else keep
+
+
+def _coloured(e: DataFrame) -> DataFrame:
+    """One round of forward-backward colouring: (node, label) of the components found, one at least.
+
+    The least name is propagated along the edges; a node with its own name as colour roots a component, whose
+    other nodes are found by walking backwards inside the colour."""
+    ft = e.select(F.col("src").alias("frm"), F.col("dst").alias("to"))
+    colour = _propagate_min(ft, node_table(e).select("node", F.col("node").alias("label")))
+    back = e.select(F.col("dst").alias("frm"), F.col("src").alias("to"))
+    back = cut_lineage(back.join(colour.select(F.col("node").alias("to"), F.col("label").alias("to_label")), "to"))
+    found = cut_lineage(colour.filter(F.col("node") == F.col("label")))
+    frontier, parts = found, [found]
+    while True:
+        step = frontier.join(back, (frontier.node == back.frm) & (frontier.label == back.to_label)).select(F.col("to").alias("node"), "label").distinct()
+        step = cut_lineage(step.join(reduce(DataFrame.unionByName, parts).select("node"), "node", "left_anti"))
+        if step.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(step)
+        frontier = step
+
+
 def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """K-1: strongly connected components — (node, scc_id, scc_size); scc_id is the least node name.
+    """K-1: strongly connected components - (node, scc_id, scc_size); scc_id is the least node name.
 
-    First trimming: a node with no incoming or no outgoing edge left is a component by itself; such
-    nodes are removed round after round, which dissolves every acyclic part of the graph cheaply.
-    Then forward-backward colouring of what is left: propagate the least node label forward to a
-    fixpoint; every node whose label is its own name roots one component, found by walking backwards
-    inside its colour. Assigned nodes leave the graph, and trimming and colouring repeat. A node with
+    Rounds of: trimming (edges from nodes that nothing reaches, or into nodes that reach nothing, go, which
+    dissolves acyclic parts), contraction of chains and rings by pointer doubling, so that their length costs
+    its logarithm in rounds, and forward-backward colouring of what neither shrinks. Chains come back at the end:
+    a chain's nodes belong to the component of its ends if both ends lie in one, and else to none. A node with
     only a self edge is a component of size 1 (no cycle).
     """
     e0 = cut_lineage(edges.select("src", "dst").distinct())
-    remaining = cut_lineage(node_table(e0, nodes))
-    e = e0.filter(F.col("src") != F.col("dst"))
-    assigned = None
-    while not remaining.isEmpty():
-        has_in = e.select(F.col("dst").alias("node")).distinct()
-        has_out = e.select(F.col("src").alias("node")).distinct()
-        on_cycle_maybe = remaining.join(has_in, "node", "left_semi").join(has_out, "node", "left_semi")
-        trivial = cut_lineage(remaining.join(on_cycle_maybe, "node", "left_anti"))
-        if not trivial.isEmpty():
-            found = trivial.select("node", F.col("node").alias("scc_id"))
-            assigned = found if assigned is None else cut_lineage(assigned.unionByName(found))
-            remaining = cut_lineage(remaining.join(trivial, "node", "left_anti"))
-            e = cut_lineage(e.join(trivial.select(F.col("node").alias("src")), "src", "left_anti")
-                            .join(trivial.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    e = cut_lineage(e0.filter("src <> dst"))
+    found, chains = [], []
+    while not e.isEmpty():
+        smaller = _trimmed(e)
+        if smaller is not None:
+            e = smaller
+            continue
+        contracted = _chains(e)
+        if contracted is not None:
+            e, members, rings = contracted
+            chains.append(members)
+            found.append(rings)
             continue
-        # colour: least label reachable backwards (labels flow along dependency edges src -> dst)
-        ft = e.select(F.col("src").alias("frm"), F.col("dst").alias("to"))
-        colour = _propagate_min(ft, remaining.select("node", F.col("node").alias("label")))
-        roots = colour.filter(F.col("node") == F.col("label")).select("node", F.col("label").alias("scc_id"))
-        # backward walk from each root inside its colour
-        back = e.select(F.col("dst").alias("frm"), F.col("src").alias("to"))
-        col_of = colour.select(F.col("node").alias("to"), F.col("label").alias("to_label"))
-        back = back.join(col_of, "to")
-        found = cut_lineage(roots)
-        frontier = found
-        while True:
-            step = frontier.join(back, frontier.node == back.frm).filter(
-                F.col("to_label") == F.col("scc_id")).select(F.col("to").alias("node"), "scc_id").distinct()
-            step = cut_lineage(step.join(found.select("node"), "node", "left_anti"))
-            if step.isEmpty():
-                break
-            found = cut_lineage(found.unionByName(step))
-            frontier = step
-        assigned = found if assigned is None else cut_lineage(assigned.unionByName(found))
-        remaining = cut_lineage(remaining.join(found.select("node"), "node", "left_anti"))
-        e = cut_lineage(e.join(found.select(F.col("node").alias("src")), "src", "left_anti")
-                        .join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    if assigned is None:
-        return edges.sparkSession.createDataFrame([], "node string, scc_id string, scc_size long")
-    sizes = assigned.groupBy("scc_id").agg(F.count(F.lit(1)).alias("scc_size"))
-    return assigned.join(sizes, "scc_id").select("node", "scc_id", F.col("scc_size").cast("long"))
+        some = cut_lineage(_coloured(e))
+        found.append(some)
+        gone = some.select("node")
+        e = cut_lineage(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    labels = reduce(DataFrame.unionByName, found) if found else e0.select(F.col("src").alias("node"), F.col("src").alias("label")).limit(0)
+    for members in reversed(chains):
+        x, y = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        # ends without a component of their own are components by themselves
+        on = members.join(x, "a", "left").join(y, "b", "left").select(
+            "node", "a", F.coalesce("la", "a").alias("p"), F.coalesce("lb", "b").alias("q")).filter("p = q")
+        back = on.select("node", F.col("p").alias("label")).unionByName(on.select(F.col("a").alias("node"), F.col("p").alias("label")))
+        labels = cut_lineage(labels.unionByName(back).distinct())
+    names = labels.groupBy("label").agg(F.min("node").alias("scc_id"), F.count(F.lit(1)).cast("long").alias("scc_size"))
+    labels = labels.join(names, "label").select("node", "scc_id", "scc_size")
+    return node_table(e0, nodes).join(labels, "node", "left").select(
+        "node", F.coalesce("scc_id", "node").alias("scc_id"), F.coalesce("scc_size", F.lit(1)).cast("long").alias("scc_size"))
 
 
 def cycles(scc: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescope.session import ranked
 from lakescope.functions.render import (NUMERIC_FRACTIONAL, NUMERIC_INTEGRAL, profile_class, value_text,
                                         value_text_spark_sql)
 
@@ -383,3 +384,9 @@ def primary_keys(profile: DataFrame) -> DataFrame:
     cand = infer_keys(profile).filter(F.col("is_key_candidate") & F.col("data_type").isin(KEY_TYPES))
     return cand.groupBy("table_name").agg(
         F.min_by("column_name", "ordinal").alias("pk_column"))
+
+
+def ordered_profiles(profile: DataFrame) -> DataFrame:
+    """Profiles from the table with most rows to that with fewest, then by name, with their place (from 1)."""
+    order = [F.col("total_count").desc(), F.col("table_name"), F.col("column_name")]
+    return ranked(profile, order, "_rank0").withColumn("rank", F.col("_rank0") + 1).drop("_rank0")

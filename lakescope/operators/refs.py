@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakescope.functions.names import strip_brackets
+from lakescope.session import cut_lineage
 
 # The reference-extraction patterns. Word and space classes are spelled out as Unicode
 # classes so that Java's and RE2's ASCII defaults do not change what a "word" is.
 WORD = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
+#: A character that continues a name in a log text: letter, digit or '_'.
+NAME_CHARACTER = r"[\p{L}\p{Nd}_]"
 SPACE = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
 FROM_JOIN_PATTERN = (r"(?i)(?:FROM|JOIN)" + SPACE + r"+((?:\[?" + WORD + r"+\]?\.)?(?:\[?" + WORD
                      + r"+\]?\.)?(?:\[?" + WORD + r"+\]?\.)?(?:\[?" + WORD + r"+\]?))")
@@ -291,26 +294,56 @@ def word_tokens(text, max_parts: int = 2) -> F.Column:
     return F.array_distinct(F.flatten(F.transform(runs, subseqs)))
 
 
+def name_words(name) -> F.Column:
+    """The word runs of a lower-cased name, without repeats."""
+    return F.array_distinct(F.regexp_extract_all(name, F.lit(NAME_CHARACTER + "+"), 0))
+
+
+def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Which texts hold which names, as substrings with word boundaries (neighbours not letter, digit or '_').
+
+    ``texts``: database_name, text_id, text (lower-case); ``names``: database_name, name (lower-case, of any
+    characters). A name of words occurs only where all its words stand as whole words, so it is indexed under the
+    rarest of them (by the number of texts); texts meet names on that word. A name that is one word is found
+    then. Others are verified in place, in the texts that hold their rarest word; a text is read again only with
+    such names. Names without a word are looked for in all texts of their database. Output: database_name,
+    text_id, name; distinct.
+    """
+    listed = names.select("database_name", "name").distinct().withColumn("_words", name_words(F.col("name")))
+    words = listed.select("database_name", "name", F.explode("_words").alias("word"))
+    held = texts.select("database_name", "text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME_CHARACTER + "+"), 0))).alias("word"))
+    held = cut_lineage(held.join(words.select("database_name", "word").distinct(), ["database_name", "word"], "left_semi"))
+    counts = held.groupBy("database_name", "word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(counts, ["database_name", "word"], "left").groupBy("database_name", "name").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("w")).select("database_name", "name", F.col("w.word").alias("word"))
+    met = held.join(rarest, ["database_name", "word"])
+    single = met.filter(F.col("name") == F.col("word")).select("database_name", "text_id", "name")
+    longer = met.filter(F.col("name") != F.col("word")).groupBy("database_name", "text_id").agg(F.collect_set("name").alias("names"))
+    wordless = listed.filter(F.size("_words") == 0).groupBy("database_name").agg(F.collect_set("name").alias("names"))
+    pattern = lambda n: F.concat(F.lit(rf"(?<!{NAME_CHARACTER})\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E(?!{NAME_CHARACTER})"))
+    in_text = F.explode(F.filter("names", lambda n: F.contains(F.col("text"), n) & F.rlike(F.col("text"), pattern(n)))).alias("name")
+    verified = texts.join(longer, ["database_name", "text_id"]).select("database_name", "text_id", in_text)
+    others = texts.join(wordless, "database_name").select("database_name", "text_id", in_text)
+    return single.unionByName(verified).unionByName(others)
+
+
 def table_mentions(log_texts: DataFrame, columns: DataFrame) -> DataFrame:
     """Per table, the executions of the log texts that mention it (bare or schema-qualified,
     word boundaries, case-insensitive), each text counted once per table; and the latest execution.
 
-    Texts are tokenised and joined to the table names on the token, so the cost is linear in text size.
+    Names may hold any characters (``mentions``), so the cost is linear in text size plus the texts in which
+    a name's rarest word occurs.
     """
     tables = columns.filter(F.coalesce(F.col("table_type"), F.lit("BASE TABLE")) == "BASE TABLE").select(
         "database_name", "schema_name", "table_name").distinct()
-    names = tables.select("database_name", "schema_name", "table_name",
-                          F.lower("table_name").alias("token")).unionByName(
-        tables.select("database_name", "schema_name", "table_name",
-                      F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("token")))
-    # one row per distinct text (deterministic under retries; identical texts are tokenised once)
-    t = log_texts.groupBy("database_name", "query_text").agg(
-        F.sum("total_executions").alias("total_executions"), F.max("last_execution").alias("last_execution"))
-    t = t.withColumn("_tid", F.sha2("query_text", 256))
-    toks = t.select("database_name", "_tid", "query_text", "total_executions", "last_execution",
-                    F.explode(word_tokens(F.col("query_text"))).alias("token")).drop("query_text")
-    hits = toks.join(names, ["database_name", "token"]).select(
-        "database_name", "schema_name", "table_name", "_tid", "total_executions", "last_execution").distinct()
-    return hits.groupBy("database_name", "schema_name", "table_name").agg(
+    named = tables.select("*", F.lower("table_name").alias("name")).unionByName(
+        tables.select("*", F.lower(F.concat_ws(".", "schema_name", "table_name")).alias("name")))
+    # one row per distinct text (deterministic under retries; identical texts are read once)
+    t = log_texts.withColumn("text_id", F.sha2("query_text", 256)).groupBy("database_name", "text_id").agg(
+        F.lower(F.first("query_text")).alias("text"), F.sum("total_executions").alias("total_executions"), F.max("last_execution").alias("last_execution"))
+    t = cut_lineage(t)
+    found = mentions(t.select("database_name", "text_id", "text"), named)
+    hits = found.join(named, ["database_name", "name"]).select("database_name", "schema_name", "table_name", "text_id").distinct()
+    return hits.join(t.drop("text"), ["database_name", "text_id"]).groupBy("database_name", "schema_name", "table_name").agg(
         F.sum("total_executions").alias("executions"), F.max("last_execution").alias("last_execution"),
         F.count(F.lit(1)).alias("n_texts"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescope.functions.types import type_family, type_match
+from lakescope.session import ranked
 
 # Prefixes stripped before the "{T}Id" rule, in the order they are tried.
 STRIP_PREFIXES = ["Ref", "Fk", "Source", "Target", "Parent", "Child"]
@@ -169,31 +170,48 @@ def fk_statement(rel: DataFrame) -> DataFrame:
         F.col("to_table"), F.col("to_column")))
 
 
-def _numeric(dt) -> tuple[int, int] | None:
-    """Digits before and after the point of an exact numeric type."""
-    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}.get(type(dt))
-    if whole:
-        return whole, 0
-    return (dt.precision - dt.scale, dt.scale) if isinstance(dt, T.DecimalType) else None
+def value_key(col: F.Column, dt: T.DataType) -> F.Column:
+    """A text that is equal for two values exactly when they are equal, whatever numeric types hold them.
 
+    Whole numbers, decimals and floating values become sign, whole digits and fraction without closing zeros.
+    A whole floating value gives all its digits (up to 10^38); one with a fraction stands for the decimal number that
+    it prints as. Other types keep their text; binary values are written in hexadecimal. Null stays null.
+    """
+    if isinstance(dt, T.IntegralType):
+        return col.cast("string")
+    if isinstance(dt, T.DecimalType):
+        whole = F.floor(F.abs(col)).cast("decimal(38,0)").cast("string")
+        if not dt.scale:
+            return F.concat(F.when(col < 0, "-").otherwise(""), whole)
+        # one is added so that the text never takes an exponent
+        rest = F.substring((F.abs(col % F.lit(1).cast("decimal(1,0)")) + 1).cast(f"decimal({min(38, dt.scale + 2)},{min(36, dt.scale)})").cast("string"), 2, 40)
+        return _signed(col < 0, whole, rest)
+    if isinstance(dt, T.FractionalType):
+        return _floating_key(col)
+    return F.hex(col) if isinstance(dt, T.BinaryType) else col.cast("string")
 
-def _key_texts(child, child_type, parent, parent_type) -> tuple[F.Column, F.Column]:
-    """Both sides of a candidate as texts that are equal exactly when the values are.
 
-    Whole numbers and decimals meet in a decimal that holds both; with floating values, or where 38 digits
-    do not suffice, in the plain text without a fraction's closing zeros. Other types keep their own text.
-    """
-    x, y = _numeric(child_type), _numeric(parent_type)
-    if x and y:
-        scale = max(x[1], y[1])
-        if max(x[0], y[0]) + scale <= 38:
-            return tuple(c.cast(f"decimal(38,{scale})").cast("string") for c in (child, parent))
-        return tuple(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$|\.$", "$1").alias("v") for c in (child, parent))
-    floating = (T.FloatType, T.DoubleType)
-    if isinstance(child_type, floating + (T.DecimalType,)) or isinstance(parent_type, floating + (T.DecimalType,)):
-        if (x or isinstance(child_type, floating)) and (y or isinstance(parent_type, floating)):
-            return child.cast("double").cast("string"), parent.cast("double").cast("string")
-    return child.cast("string"), parent.cast("string")
+def _signed(negative: F.Column, whole: F.Column, rest: F.Column) -> F.Column:
+    return F.concat(F.when(negative, "-").otherwise(""), whole, F.rtrim(F.rtrim(rest, F.lit("0")), F.lit(".")))
+
+
+def _floating_key(col: F.Column) -> F.Column:
+    x, two = F.abs(col.cast("double")), float(1 << 64)
+    long = F.floor(x / F.lit(two))
+    below = x - long * F.lit(two)  # both parts are exact: they are scaled by a power of two
+    half = F.floor(below / F.lit(float(1 << 32)))
+    part = lambda c: c.cast("long").cast("decimal(38,0)")
+    digits = (part(half) * F.lit(1 << 32).cast("decimal(10,0)")).cast("decimal(38,0)") + part(below - half * F.lit(float(1 << 32)))
+    whole = F.when(x < F.lit(float(1 << 53)), x.cast("long").cast("string")).when(
+        x < F.lit(1e38), ((part(long) * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)") + digits).cast("decimal(38,0)").cast("string"))
+    text = F.regexp_replace(F.abs(col).cast("string"), "E.*", "")  # of the value's own type
+    point = F.coalesce(F.regexp_extract(F.abs(col).cast("string"), "E(-?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    ahead, behind = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
+    every = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), -point)), ahead, behind)
+    at = F.length(ahead) + F.greatest(F.lit(0), point)
+    split = _signed(col < 0, F.regexp_replace(F.substring(every, F.lit(1), at), "^0+(?=[0-9])", ""), F.concat(F.lit("."), F.substring(every, at + 1, F.length(every))))
+    return F.when(F.isnan(col) | (x == F.lit(float("inf"))) | (x >= F.lit(1e38)), col.cast("string")).when(
+        x == F.floor(x), F.concat(F.when(col < 0, "-").otherwise(""), whole)).otherwise(split)
 
 
 def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -218,8 +236,8 @@ def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     by_child, by_parent = defaultdict(list), defaultdict(list)
     for cid, r in enumerate(cand_rows):
         c, p = tables[at(r, "from")], tables[at(r, "to")]
-        child_text, parent_text = _key_texts(F.col(f"`{r.from_column}`"), c.schema[r.from_column].dataType,
-                                             F.col(f"`{r.to_column}`"), p.schema[r.to_column].dataType)
+        child_text = value_key(F.col(f"`{r.from_column}`"), c.schema[r.from_column].dataType)
+        parent_text = value_key(F.col(f"`{r.to_column}`"), p.schema[r.to_column].dataType)
         by_child[at(r, "from")].append((cid, child_text))
         by_parent[at(r, "to")].append((cid, parent_text))
 
@@ -254,5 +272,11 @@ def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFra
     )
 
 
-__all__ = ["primary_key_lookup", "key_name_candidates", "implicit_fks", "fk_statement", "orphan_check",
+def ordered_suggestions(implicit: DataFrame) -> DataFrame:
+    """Suggested keys from the surest to the least sure, then by name, with their place (from 1)."""
+    order = [F.col("confidence").desc(), F.col("from_table"), F.col("from_column"), F.col("to_table")]
+    return ranked(implicit, order, "_rank0").withColumn("rank", F.col("_rank0") + 1).drop("_rank0")
+
+
+__all__ = ["ordered_suggestions", "value_key", "primary_key_lookup", "key_name_candidates", "implicit_fks", "fk_statement", "orphan_check",
            "type_family"]

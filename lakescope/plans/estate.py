@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.operators import catalog_ops as CO
 from lakescope.operators import estate as ES
 from lakescope.operators import profile as P
 from lakescope.operators import search as H
+from lakescope.operators import versions as V
 from lakescope.plans.profiling import estate_profile_sql
 from lakescope.plans.relations import tpch_frames
+from lakescope.session import scratch_path
 from lakescope.sources import catalog as C
 from lakescope.sources.tables import TEST_TABLES, TPCH_TABLES, read_table, read_tables
 from lakescope.streaming.rollup import run_rollup
@@ -69,6 +74,37 @@ def text_search(spark, sf_dir):
     return H.definition_search(d, TEXT_TERM, "text", ["doc_id"], 30)
 
 
+def region_customers(spark, sf_dir):
+    """Customers, each in the database of its nation's region."""
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("database_name"))
+    return read_table(spark, sf_dir, "customer").join(n, "c_nationkey").select("database_name", "c_custkey", "c_name")
+
+
+def partition_refresh(spark, sf_dir):
+    """An estate stored by region, then region_1 renamed, region_2 emptied, and region_3 left as it was
+    by a refresh that was never committed."""
+    path = scratch_path(spark, "estate")
+    all_ = region_customers(spark, sf_dir)
+    V.refresh(all_, path, [f"region_{k}" for k in range(5)])
+    V.refresh(all_.withColumn("c_name", F.upper(F.concat("c_name", F.lit("!")))), path, ["region_1"])
+    V.refresh(all_.limit(0), path, ["region_2"])
+    all_.limit(0).write.parquet(f"{path}/data/uncommitted")
+    V.vacuum(spark, path)
+    return V.read(spark, path)
+
+
+def estate_merge(spark, sf_dir):
+    """Every table profiled by a job of its own; one that can't be read is recorded, the others go on."""
+    broken = scratch_path(spark, "broken")
+    read_table(spark, sf_dir, "region").select("r_name").write.text(broken)
+    jobs = {t: (lambda df=df, t=t: P.profile_tables({t: df})) for t, df in read_tables(spark, sf_dir).items()}
+    jobs["broken"] = lambda: P.profile_tables({"broken": spark.read.schema("r_name string").parquet(broken)})
+    good, failed = ES.isolated(spark, jobs)
+    rows = [df.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"), F.max("total_count").alias("n_rows")) for df in good.values()]
+    out = reduce(DataFrame.unionByName, rows).select("table_name", F.lit("profiled").alias("status"), "n_columns", "n_rows")
+    return out.unionByName(failed.select(F.col("name").alias("table_name"), F.lit("failed").alias("status"), F.lit(0).cast("long").alias("n_columns"), F.lit(0).cast("long").alias("n_rows")))
+
+
 def stream_rollup(spark, sf_dir):
     """Events read as a stream, daily executions / first / last / value sum per event type."""
     ev = read_table(spark, sf_dir, "events")
@@ -127,7 +163,17 @@ STREAM_SQL = """SELECT date_trunc('day', ts) AS window_start, date_trunc('day',
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS measure_sum
 FROM events GROUP BY 1, 2, 3"""
 
+PARTITION_REFRESH_SQL = """SELECT 'region_' || n_regionkey AS database_name, c_custkey,
+       CASE WHEN n_regionkey = 1 THEN upper(c_name || '!') ELSE c_name END AS c_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2"""
+
+ESTATE_MERGE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, 'profiled' AS status, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS BIGINT) AS n_columns, count(*) AS n_rows FROM {t}"
+    for t in TEST_TABLES) + " UNION ALL SELECT 'broken', 'failed', 0, 0"
+
 QUERIES = {
+    "partition_refresh": partition_refresh,
+    "estate_merge": estate_merge,
     "estate_inventory": estate_inventory,
     "table_overview": table_overview,
     "ddl_text": ddl_text,
@@ -138,6 +184,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "partition_refresh": PARTITION_REFRESH_SQL,
+    "estate_merge": ESTATE_MERGE_SQL,
     "estate_inventory": ESTATE_INVENTORY_SQL,
     "table_overview": TABLE_OVERVIEW_SQL,
     "ddl_text": DDL_SQL,

@@ -74,9 +74,9 @@ def membership_edges(spark, sf_dir):
 
 
 def record_impact(spark, sf_dir):
-    """D-4 / D-5 / U3: impact closure and importance of every record node."""
+    """D-4 / D-5 / U3: exact impact size and importance of every record node."""
     e = cut_lineage(record_edges(spark, sf_dir))
-    return G.importance(e, G.reachable(e), record_nodes(spark, sf_dir))
+    return G.importance(e, nodes=record_nodes(spark, sf_dir))
 
 
 def record_impact_approx(spark, sf_dir):
@@ -87,7 +87,7 @@ def record_impact_approx(spark, sf_dir):
 def core_records(spark, sf_dir):
     """D-6 / O6 / W1: the ten most important record nodes with their rank."""
     e = cut_lineage(record_edges(spark, sf_dir))
-    return G.core_objects(G.importance(e, G.reachable(e), record_nodes(spark, sf_dir)), 10)
+    return G.core_objects(G.importance(e, nodes=record_nodes(spark, sf_dir)), 10)
 
 
 def lineage_layers(spark, sf_dir):
@@ -104,7 +104,7 @@ def lineage_subgraph(spark, sf_dir):
 def trade_impact(spark, sf_dir):
     """D-4 / D-5 on a cyclic graph: nodes on a cycle are in their own impact."""
     e = cut_lineage(trade_edges(spark, sf_dir))
-    return G.importance(e, G.reachable(e))
+    return G.importance(e)
 
 
 def trade_cycles(spark, sf_dir):
@@ -112,6 +112,24 @@ def trade_cycles(spark, sf_dir):
     return G.strongly_connected(trade_edges(spark, sf_dir))
 
 
+def region_trade_edges(spark, sf_dir):
+    """Trade between nations of one region, and from each region's nations to those of the next region in key order."""
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    e = trade_edges(spark, sf_dir).select("src", "dst")
+    e = e.join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst")
+    return e.filter("b = a or b = a + 1").select("src", "dst")
+
+
+def region_trade_cycles(spark, sf_dir):
+    """K-1: strongly connected components of the trade inside regions and up to the next region (one for each region)."""
+    return G.strongly_connected(region_trade_edges(spark, sf_dir))
+
+
+def region_trade_impact(spark, sf_dir):
+    """D-4 / D-5 on a graph of several cycles, one above the other."""
+    return G.importance(cut_lineage(region_trade_edges(spark, sf_dir)))
+
+
 def record_cycles(spark, sf_dir):
     """K-1 on the record graph: every node with its strongly connected component (acyclic: all singletons)."""
     e = cut_lineage(record_edges(spark, sf_dir))
@@ -233,6 +251,12 @@ TRADE_CYCLE_EDGES_SQL = SCC_SQL + """
 SELECT e.src, e.dst, a.scc_id FROM e JOIN scc a ON a.node = e.src JOIN scc b ON b.node = e.dst
 WHERE a.scc_id = b.scc_id AND a.scc_size > 1"""
 
+REGION_TRADE_EDGES_SQL = TRADE_EDGES_SQL.replace("  e AS (SELECT DISTINCT src, dst FROM edges)", """  e AS (
+    SELECT DISTINCT src, dst FROM edges JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst
+    WHERE b.n_regionkey IN (a.n_regionkey, a.n_regionkey + 1))""")
+REGION_TRADE_CYCLES_SQL = SCC_SQL.replace(TRADE_EDGES_SQL, REGION_TRADE_EDGES_SQL) + "\nSELECT node, scc_id, scc_size FROM scc"
+REGION_TRADE_IMPACT_SQL = _importance_sql(REGION_TRADE_EDGES_SQL, CYCLIC_CLOSURE) + "\nSELECT * FROM scores"
+
 COMPONENTS_SQL = """WITH RECURSIVE
   e AS (SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst FROM customer
         UNION SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier),
@@ -268,6 +292,8 @@ QUERIES = {
     "lineage_subgraph": lineage_subgraph,
     "trade_impact": trade_impact,
     "trade_cycles": trade_cycles,
+    "region_trade_cycles": region_trade_cycles,
+    "region_trade_impact": region_trade_impact,
     "trade_cycle_edges": trade_cycle_edges,
     "membership_components": membership_components,
     "graph_counts": graph_counts,
@@ -282,6 +308,8 @@ ORACLE = {
     "lineage_subgraph": LINEAGE_SUBGRAPH_SQL,
     "trade_impact": TRADE_IMPACT_SQL,
     "trade_cycles": TRADE_CYCLES_SQL,
+    "region_trade_cycles": REGION_TRADE_CYCLES_SQL,
+    "region_trade_impact": REGION_TRADE_IMPACT_SQL,
     "trade_cycle_edges": TRADE_CYCLE_EDGES_SQL,
     "membership_components": COMPONENTS_SQL,
     "graph_counts": GRAPH_COUNTS_SQL,

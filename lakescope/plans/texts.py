@@ -110,5 +110,37 @@ SELECT DISTINCT source_table, object_id, to_schema, to_name, to_type, to_databas
 FROM res WHERE to_name IS NOT NULL
   AND NOT (to_database IS NULL AND lower(to_name) = lower(object_id) AND lower(to_schema) = lower(source_table))"""
 
-QUERIES = {"text_refs": text_refs, "text_ref_edges": text_ref_edges}
-ORACLE = {"text_refs": TEXT_REFS_SQL, "text_ref_edges": TEXT_REF_EDGES_SQL}
+#: The first words of an item of ``benchmark``: a schema, and a table of one word or two.
+TERM_NAMES_SQL = """
+  terms AS (
+    SELECT w[1] AS schema_name, CASE WHEN item_id % 2 = 0 THEN w[2] ELSE w[2] || ' ' || w[3] END AS table_name
+    FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) WHERE len(w) >= 3)"""
+
+TERM_USAGE_SQL = f"""WITH {TERM_NAMES_SQL},
+  names AS (SELECT DISTINCT schema_name, table_name, table_name AS name FROM terms
+            UNION SELECT DISTINCT schema_name, table_name, schema_name || '.' || table_name FROM terms),
+  texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, t, n, list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{Nd}}_]+')) AS words
+    FROM (SELECT lower(text) AS t, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text)),
+  longer AS MATERIALIZED (SELECT * FROM names WHERE NOT regexp_full_match(name, '[\\p{{L}}\\p{{Nd}}_]+')),
+  may AS MATERIALIZED (SELECT schema_name, table_name, name, id, t FROM texts JOIN longer ON contains(t, name)),
+  hits AS (
+    SELECT schema_name, table_name, id FROM (SELECT id, unnest(words) AS w FROM texts) JOIN names ON w = name
+    UNION SELECT schema_name, table_name, id FROM may
+    WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{Nd}}_])' || regexp_escape(name) || '([^\\p{{L}}\\p{{Nd}}_]|$)'))
+SELECT schema_name, table_name, CAST(sum(n) AS BIGINT) AS executions, count(*) AS n_texts FROM hits JOIN texts USING (id) GROUP BY ALL"""
+
+
+def term_usage(spark, sf_dir):
+    """How many documents mention names of one word, of two words, and qualified ones, cut from ``benchmark``."""
+    w = F.split(F.lower("text"), " ")
+    items = read_table(spark, sf_dir, "benchmark").filter(F.size(w) >= 3)
+    columns = items.select(F.lit(DB).alias("database_name"), w[0].alias("schema_name"), F.when(F.col("item_id") % 2 == 0, w[1]).otherwise(
+        F.concat_ws(" ", w[1], w[2])).alias("table_name"), F.lit("BASE TABLE").alias("table_type"))
+    logs = read_table(spark, sf_dir, "documents").filter("text is not null").select(
+        F.lit(DB).alias("database_name"), F.col("text").alias("query_text"), F.lit(1).cast("long").alias("total_executions"), F.lit(None).cast("timestamp").alias("last_execution"))
+    return E.table_mentions(logs, columns).select("schema_name", "table_name", "executions", "n_texts")
+
+
+QUERIES = {"term_usage": term_usage, "text_refs": text_refs, "text_ref_edges": text_ref_edges}
+ORACLE = {"term_usage": TERM_USAGE_SQL, "text_refs": TEXT_REFS_SQL, "text_ref_edges": TEXT_REF_EDGES_SQL}

@@ -65,19 +65,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
-    """Cut the plan at a reliable copy in the shared checkpoint folder; survives executor loss.
+#: Paths of the tables that ``cut_lineage`` has written in this process, in order.
+WRITTEN: list[str] = []
 
-    ``how='table'`` (default) writes a parquet table under ``spark.checkpoint.dir`` and reads it back
-    (columnar, compressed, fast to scan again); ``how='checkpoint'`` uses ``DataFrame.checkpoint``.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder as Parquet and read back: the plan is cut at a reliable copy, which
+    survives lost executors and is fast to scan again."""
     spark = df.sparkSession
-    if how == "checkpoint":
-        ensure_checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
     path = scratch_path(spark, "round")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    WRITTEN.append(path)
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind tables from ``cut_lineage`` that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_scratch", None):
+            delete_path(df.sparkSession, df._scratch)
+
+
+def release(spark: SparkSession, paths: list[str], read_by: DataFrame | None = None) -> None:
+    """Delete tables that ``cut_lineage`` has written, all but those that ``read_by`` reads."""
+    used = read_by.inputFiles() if read_by is not None and paths else []
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]  # a unique name
+        if not any(f"/{name}/" in f for f in used):
+            delete_path(spark, path)
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str, partitions: int | None = None) -> DataFrame:

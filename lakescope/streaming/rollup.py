@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescope.session import scratch_path
+from lakescope.session import path_exists, scratch_path
 
 
 def utc_instant(c) -> F.Column:
@@ -66,6 +66,8 @@ def run_rollup(spark: SparkSession, source_dir: str, schema: T.StructType, ts_co
     q = (reader.parquet(source_dir).writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
+    if not path_exists(spark, out):  # no file has come yet
+        rollup_rows(spark.createDataFrame([], schema), ts_col, keys, window, measure, measure_type).write.parquet(f"{out}/batch_id=-1")
     return read_rollup(spark, out, keys, measure is not None, wall_clock=isinstance(schema[ts_col].dataType, T.TimestampNTZType))
 
 

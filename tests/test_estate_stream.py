@@ -28,6 +28,65 @@ def test_refresh_one_database(spark):
     assert rows(spark.read.parquet(path), "database_name", "v") == [("HR", 2), ("Sales", 10)]
 
 
+def test_refresh_to_no_rows(spark, tmp_path):
+    old = spark.createDataFrame([("Sales", 1), ("HR", 2)], "database_name string, v int")
+    ES.write_partitioned(old, f"{tmp_path}/t")
+    ES.refresh_partition(old.filter("v = 2"), f"{tmp_path}/t", "Sales")
+    assert rows(spark.read.parquet(f"{tmp_path}/t"), "database_name", "v") == [("HR", 2)]
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """Refresh, empty, a writer that dies before its commit, two writers of one version, old versions, vacuum."""
+    import pytest
+
+    from lakescope.operators import versions as V
+    path, schema = f"{tmp_path}/t", "database_name string, v int"
+    frame = lambda *r: spark.createDataFrame(list(r), schema)
+    now = lambda *a: rows(V.read(spark, path, *a), "database_name", "v")
+    with pytest.raises(ValueError):
+        V.read(spark, path)
+    assert V.refresh(frame(("a", 1), ("a", 2), ("b", 3), ("a/é", 4)), path, ["a", "b", "a/é"]) == 1
+    V.refresh(frame(("a", 9), ("b", 99)), path, ["a"])
+    assert now() == [("a", 9), ("a/é", 4), ("b", 3)] and now(1) == [("a", 1), ("a", 2), ("a/é", 4), ("b", 3)]
+    commit = V._commit
+    with monkeypatch.context() as m:
+        m.setattr(V, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            V.refresh(frame(("b", 100)), path, ["b"])
+    assert now() == [("a", 9), ("a/é", 4), ("b", 3)]
+    V.refresh(frame(), path, ["a"])
+    assert now() == [("a/é", 4), ("b", 3)]
+    with pytest.raises(RuntimeError):  # the version is taken
+        commit(spark, path, {"version": 3})
+    assert V.vacuum(spark, path) == 2 and now() == [("a/é", 4), ("b", 3)]
+    V.refresh(frame(), path, ["b", "a/é"])
+    assert now() == [] and V.read(spark, path).columns == ["database_name", "v"]
+
+
+def test_isolated_jobs(spark, tmp_path):
+    """A job that fails while it runs, and one that fails before, are recorded; the others' rows are there."""
+    spark.range(3).selectExpr("cast(id as string) AS v").write.text(f"{tmp_path}/text")
+    jobs = {"good": lambda: spark.range(5), "corrupt": lambda: spark.read.schema("v string").parquet(f"{tmp_path}/text"),
+            "missing": lambda: spark.read.parquet(f"{tmp_path}/none"), "late": lambda: spark.range(3).selectExpr("raise_error('late') AS x")}
+    good, failed = ES.isolated(spark, jobs, workers=2)
+    assert {k: v.count() for k, v in good.items()} == {"good": 5}
+    errors = {r.name: r.error for r in failed.collect()}
+    assert set(errors) == {"corrupt", "missing", "late"} and "late" in errors["late"]
+
+
+def test_stream_rollup_of_an_empty_log(spark, tmp_path):
+    """No file: an empty result; files that come later are taken up by the next run."""
+    import shutil
+    os.makedirs(f"{tmp_path}/in")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    run = lambda: run_rollup(spark, f"{tmp_path}/in", ev.schema, "ts", ["event_type"], measure="value", out_dir=f"{tmp_path}/out")
+    empty = run()
+    assert empty.count() == 0 and "measure_sum" in empty.columns
+    shutil.copy(f"{SF_SMALL}/events.parquet", f"{tmp_path}/in/events.parquet")
+    assert run().agg(F.sum("executions")).first()[0] == ev.count()
+    assert run().agg(F.sum("executions")).first()[0] == ev.count()
+
+
 def test_stream_rollup_matches_batch(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     out = run_rollup(spark, SF_SMALL, ev.schema, "ts", ["event_type"], window="1 day",

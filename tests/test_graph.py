@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lakescope.operators import graph as G
 from tests.conftest import rows
 
@@ -127,3 +129,80 @@ def test_core_objects_without_a_limit(spark, capsys):
     want = sorted(((f"n{i:04}", i % 7) for i in range(500)), key=lambda x: (-x[1], x[0]))
     assert [tuple(r) for r in out.orderBy("rank").collect()] == [(*x, k + 1) for k, x in enumerate(want)]
     assert [tuple(r) for r in G.core_objects(scores, 5).orderBy("rank").collect()] == [(*x, k + 1) for k, x in enumerate(want[:5])]
+
+
+def _random_graph(rng, n, m):
+    return list({(f"n{rng.randrange(n):03d}", f"n{rng.randrange(n):03d}") for _ in range(m)})
+
+
+def _brute_sizes(pairs):
+    out = {}
+    for node in {d for _, d in pairs}:
+        seen, todo = set(), [node]
+        while todo:
+            x = todo.pop()
+            for s, d in pairs:
+                if d == x and s not in seen:
+                    seen.add(s)
+                    todo.append(s)
+        out[node] = (len(seen), len(seen) - len({s for s, d in pairs if d == node}))
+    return out
+
+
+def test_impact_sizes_of_random_graphs(spark):
+    """Acyclic and cyclic graphs, self edges, repeated edges; also with few numbers at a time."""
+    rng = random.Random(5)
+    dag = [(max(p), min(p)) for p in _random_graph(rng, 150, 260) if p[0] != p[1]]
+    for pairs, block in ((dag, None), (dag, 64), (_random_graph(rng, 120, 170), None), (_random_graph(rng, 90, 110), 64)):
+        got = {r.node: (r.impact, r.indirect_impact) for r in G.impact_sizes(_edges(spark, pairs + pairs[:3]), block).collect()}
+        assert got == _brute_sizes(pairs)
+
+
+def test_impact_sizes_count_hubs_and_nothing(spark):
+    assert G.impact_sizes(_edges(spark, []).limit(0)).count() == 0
+    pairs = [(f"leaf{i}", f"mid{i % 7}") for i in range(3000)] + [(f"mid{i}", "top") for i in range(7)]
+    got = {r.node: r.impact for r in G.impact_sizes(_edges(spark, pairs)).collect()}
+    assert got["top"] == 3007 and got["mid0"] == 429
+
+
+def _brute_scc(pairs):
+    nodes = {x for p in pairs for x in p}
+    reach = {}
+    for n in nodes:
+        seen, todo = {n}, [n]
+        while todo:
+            x = todo.pop()
+            for s, d in pairs:
+                if s == x and d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        reach[n] = seen
+    out = []
+    for n in nodes:
+        comp = {m for m in reach[n] if n in reach[m]}
+        out.append((n, min(comp), len(comp)))
+    return sorted(out)
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(8)
+    ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    chain = [("n001", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "n001"), ("n002", "d1"), ("d1", "d2")]
+    for n, m in ((60, 75), (40, 90)):
+        pairs = _random_graph(rng, n, m) + ring + chain + [("s", "s")]
+        assert rows(G.strongly_connected(_edges(spark, pairs)), "node", "scc_id", "scc_size") == _brute_scc(pairs)
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    """A ring and a path of 10,000 nodes each: rounds grow with the logarithm of the length."""
+    n, written = 10_000, []
+    plain = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: written.append(1) or plain(df))
+    node = lambda c: F.format_string("n%05d", c)
+    ids = spark.range(n)
+    ring = ids.select(node(F.col("id")).alias("src"), node((F.col("id") + 1) % n).alias("dst"))
+    path = ids.select(F.concat(F.lit("p"), node(F.col("id"))).alias("src"), F.concat(F.lit("p"), node(F.col("id") + 1)).alias("dst"))
+    scc = G.strongly_connected(ring.unionByName(path))
+    got = scc.groupBy("scc_size").agg(F.count(F.lit(1)).alias("n"), F.min("scc_id").alias("least")).collect()
+    assert {(r.scc_size, r.n) for r in got} == {(n, n), (1, n + 1)} and {r.least for r in got if r.scc_size == n} == {"n00000"}
+    assert len(written) < 40

@@ -96,6 +96,19 @@ def test_table_mentions(spark):
     assert got == [("Clients", 5, 1), ("Regions", 13, 1)]
 
 
+def test_mentions_of_names_of_any_characters(spark):
+    """Names with blanks, hyphens, points, brackets and quotes; word boundaries; names without a word."""
+    import re
+    names = ["order details", "order-lines", "details", "x", "a.b.c", "[odd] name", "it's", "\\e end", "--", "élan vital", "c++", "order"]
+    texts = ["select * from [order details] d", "order  details", "reorder details", "order-lines2 order-lines", "a.b.cd a.b.c", "the [odd] name", "odd name",
+             "it's x", "x_y", "go \\e end", "a -- b", "élan vitale", "élan vital", "c++11 c++ d", "order", "", "details,order details"]
+    t = spark.createDataFrame([("d", f"t{i}", x) for i, x in enumerate(texts)] + [("other", "t0", "order details")], "database_name string, text_id string, text string")
+    n = spark.createDataFrame([("d", x) for x in names], "database_name string, name string")
+    word = r"[^\W]"
+    expected = sorted(("d", f"t{i}", x) for i, text in enumerate(texts) for x in names if re.search(rf"(?<!{word}){re.escape(x)}(?!{word})", text))
+    assert rows(E.mentions(t, n)) == expected and len(expected) > 14
+
+
 def test_stamp_and_qualify(spark):
     """B1 / B2: stamped names; names with fewer than two dots get the database prefix."""
     df = spark.createDataFrame([("dbo.Customers", ["App.dbo.LineItems", "dbo.Invoices"])],
@@ -121,8 +134,8 @@ def test_long_bodies_keep_the_scan_order(spark):
                                  "database_name string, from_schema string, from_name string, from_type string, text string, step int")
     known = spark.createDataFrame([("d", "dbo", f"t{i}", "Table") for i in range(3)], "database_name string, schema_name string, object_name string, object_type string")
     edges = X.object_dependencies(X.name_aliases(known), defs).collect()
-    assert {(e.to_name, e.detected_via) for e in edges} == {(f"t{i}", "SQL: FROM/JOIN (dynamic)") for i in range(3)}
-    assert X.extract_refs(defs).count() == 3001
+    assert {(e.to_name, e.detected_via) for e in edges} == {(f"t{i}", "SQL: FROM/JOIN") for i in range(3)}  # the whole text, literals included, is scanned first
+    assert X.extract_refs(defs).count() == 6001
 
 
 def test_tokens_of_a_long_run_are_few(spark):

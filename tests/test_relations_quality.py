@@ -184,6 +184,36 @@ def test_orphans_are_exact_across_types(spark):
     assert orphans(spark, [D("5.10"), D("0.00")], "decimal(10,2)", [D("5.1000"), D("0")], "decimal(38,4)") == (0, 0)
     assert orphans(spark, [1.5, 2.0], "double", [2], "bigint") == (1, 0)
     assert orphans(spark, ["a", "b"], "string", ["a"], "string") == (1, 0)
+    # beyond what a common decimal or a double holds
+    assert orphans(spark, [D(5), D(6)], "decimal(38,0)", [D("5.0")], "decimal(20,10)") == (1, 0)
+    assert orphans(spark, [9007199254740993, 9007199254740992], "bigint", [9007199254740992.0], "double") == (1, 0)
+    assert orphans(spark, [D("0.10000000000000001"), D("0.1")], "decimal(20,17)", [0.1], "double") == (1, 0)
+    assert orphans(spark, [-0.0, 0.0, None], "double", [0.0], "double") == (0, 1)
+
+
+def test_value_keys(spark):
+    """One key for one number, whatever its type; keys of different numbers differ."""
+    from decimal import Decimal as D
+    from pyspark.sql import types as T
+
+    def key(value, kind):
+        df = spark.createDataFrame([(value,)], f"x {kind}")
+        return df.select(R.value_key(F.col("x"), df.schema["x"].dataType)).first()[0]
+
+    assert {key(5, "int"), key(5, "bigint"), key(D("5"), "decimal(38,0)"), key(D("5.000"), "decimal(20,10)"), key(5.0, "double"), key(5.0, "float")} == {"5"}
+    assert key(D("0"), "decimal(20,10)") == key(-0.0, "double") == key(0, "tinyint") == "0"
+    assert key(D("-0.00000012"), "decimal(20,10)") == key(-1.2e-7, "double") == "-0.00000012"
+    assert key(D("1234567.875"), "decimal(38,18)") == key(1234567.875, "double") == "1234567.875"
+    assert key(12345678.5, "double") == "12345678.5" and key(0.5, "float") == key(D("0.50"), "decimal(3,2)") == "0.5"
+    assert key(-9223372036854775807, "bigint") == "-9223372036854775807"
+    for n in (2**53, 2**62 + 2**11, 2**63, 2**64 + 2**13, 10**22, 2**100 + 2**50, 2**126):
+        exact = int(float(n))
+        assert key(float(n), "double") == str(exact) and key(-float(n), "double") == f"-{exact}"
+        if exact < 10**38:
+            assert key(D(exact), "decimal(38,0)") == str(exact)
+    assert key(float("nan"), "double") == "NaN" and key(1e300, "double") == "1.0E300" and key(None, "double") is None
+    assert key(b"ab", "binary") == "6162" and key("x", "string") == "x"
+    assert isinstance(T.DecimalType(38, 37), T.DecimalType) and key(D("1.5"), "decimal(38,37)") == "1.5"
 
 
 def test_orphans_of_tables_with_one_name(spark):
