@@ -15,17 +15,20 @@ below a at confidence 1 - d. The sum runs in log space, so a large n does not un
 
 Toxic words are learned, not listed: on the first half of the labels, words found in ``TOXIC_DOCUMENTS`` toxic
 documents or more get the logarithm of their rates in toxic and other documents as weight, less two standard errors,
-and those of ``TOXIC_WEIGHT`` or more count. A document's ``toxic_weight`` is the sum over its distinct words; its rule takes the
+and those of ``TOXIC_WEIGHT`` or more count, the ``TOXIC_WORDS`` of greatest weight at most. They are learned from a bounded
+part of the labels, ``FIT_LABELS`` on average, taken by a hash of the id; cutoffs and bounds use all labels. A document's ``toxic_weight`` is the sum over its distinct words; its rule takes the
 weight a word, and its cutoff is certified like any other. Without toxic labels no word has a weight.
 
-Scale: everything about a document is computed in its row, from its whole text; the learned words alone, not the
-vocabulary, are gathered and travel to each task; the labelled rows' ratios
-(numbers only) are joined to the labels and counted by (stratum, rule, cutoff), with partial sums before the
-shuffle. Only those counts, a row for each combination, reach the last aggregate.
+Scale: everything about a document is computed in its row, from its whole text, and no text is shuffled: the
+labels that teach words are broadcast (their number has a bound), and so are the words learned (likewise). The
+labelled rows' ratios (numbers only) are joined to the labels and counted by (stratum, rule, cutoff), with partial
+sums before the shuffle. Only those counts, a row for each combination, reach the last aggregate. The confidence
+is held within each stratum; with s strata, about s times delta of them may exceed alpha.
 
 Defined cases: null and blank texts have no words and fail the base rule; a null language is a stratum of
 its own; a stratum without labels gets no cutoffs; labels that are null or of unknown documents do not
-count; a document labelled twice counts twice. An empty labels table leaves the base rule alone.
+count; a document labelled more than once counts once, by its worst label (``one_label``); other columns of the
+labels are not read. An empty labels table leaves the base rule alone.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A word is learned as toxic from so many toxic documents at least, and with such a weight: the logarithm of how
 #: much more often it is found in toxic documents than in others, less two standard errors.
 TOXIC_DOCUMENTS, TOXIC_WEIGHT = 3, 1.0
+#: Labels (rows of 16 bytes) from which words are learned, on average, and words learned, at most.
+FIT_LABELS, TOXIC_WORDS = 500_000, 20_000
 
 #: Candidate cutoffs of each rule; a document is above one if its ratio exceeds it.
 GRID = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5, 0.7)
@@ -91,11 +96,18 @@ def spoken(text: Column) -> Column:
     return F.split(F.lower(text_or_empty(text)), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, toxic): one row for each labelled document, the worst label where they differ."""
+    return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
 def toxic_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row (toxic_words, toxic_weights): the words learned as toxic, in order, and their weights, from the
     labelled documents on which cutoffs are chosen. ``docs``: doc_id, text."""
-    known = labels.filter("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("long").alias("toxic")).filter(in_fit(F.col("doc_id")))
-    held = docs.select("doc_id", "text").join(known, "doc_id")
+    known = frozen(one_label(labels).filter("toxic is not null").select("doc_id", (F.col("toxic") == 1).cast("long").alias("toxic")).filter(in_fit(F.col("doc_id"))))
+    share = min(1.0, FIT_LABELS / max(1, known.count()))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    held = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     n = held.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.count(F.lit(1)).alias("n_all"))
     each = held.select("toxic", F.explode(F.array_distinct(spoken(F.col("text")))).alias("word")).filter("word != ''").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("k")).filter(F.col("t") >= TOXIC_DOCUMENTS)
@@ -103,6 +115,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weight = F.log(rate(F.col("t"), F.col("n_toxic")) / rate(F.col("k") - F.col("t"), F.col("n_all") - F.col("n_toxic")))
     error = F.sqrt(1 / (F.col("t") + F.lit(0.5)) + 1 / (F.col("k") - F.col("t") + F.lit(0.5)))
     learned = each.crossJoin(F.broadcast(n)).withColumn("weight", F.round(weight - 2 * error, 2)).filter(F.col("weight") >= TOXIC_WEIGHT)
+    learned = learned.select("word", "weight").orderBy(F.desc("weight"), "word").limit(TOXIC_WORDS)
     one = learned.agg(F.sort_array(F.collect_list(F.struct("word", "weight"))).alias("x"))
     return frozen(one.select(F.col("x.word").alias("toxic_words"), F.col("x.weight").alias("toxic_weights")))
 
@@ -173,7 +186,7 @@ def chains(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     junk = (F.col("quality") == 0) | (F.col("toxic") == 1)
     ratios = F.array(*[F.struct(F.lit(r).alias("rule"), ratio(r).alias("ratio")) for r in RULES])
     held = frozen(counted.filter(~base_failed()).join(
-        labels.select("doc_id", clean.alias("clean"), junk.alias("junk")).filter("clean or junk"), "doc_id").select(
+        one_label(labels).select("doc_id", clean.alias("clean"), junk.alias("junk")).filter("clean or junk"), "doc_id").select(
         "stratum", "clean", "junk", in_fit(F.col("doc_id")).alias("fit"), ratios.alias("ratios")))
     each = held.filter("fit").select("stratum", "clean", "junk", F.explode("ratios").alias("r")).select(
         "stratum", "clean", "junk", "r.rule", F.explode(F.transform(
@@ -240,14 +253,12 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the verdict keeps, with their columns.
 
-    The counts of labelled documents are taken first, for the cutoffs; all rows are then judged in one
-    pass in which texts are not shuffled.
+    The documents are written once with their counts; the cutoffs are found from the counts alone, and the
+    verdict is a filter on what was written. No text is shuffled.
     """
-    plain = docs.select("doc_id", "lang", "text")
-    known = labels.select("doc_id").distinct()
     toxic = toxic_words(docs, labels)
-    counted = frozen(with_counts(plain.join(known, "doc_id", "left_semi"), toxic=toxic).drop("text").withColumn("stratum", stratum(F.col("lang"))))
-    cuts = few(frozen(cutoffs_by_stratum(thresholds(counted, labels, alpha, delta))))
     # the row as one struct, so that no column's name can clash with one used here
-    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"), stratum(F.col("lang")).alias("stratum"))
-    return with_counts(d, toxic=toxic).join(cuts, "stratum", "left").filter(verdict()).select("doc.*")
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id"), F.col("text"), stratum(F.col("lang")).alias("stratum"))
+    counted = frozen(with_counts(d, toxic=toxic).drop("text"))
+    cuts = few(frozen(cutoffs_by_stratum(thresholds(counted.drop("doc"), labels, alpha, delta))))
+    return counted.join(cuts, "stratum", "left").filter(verdict()).select("doc.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakescope.llm import bpe, chat, licenses, line_dedup, lm, mixing, near_dup, ngram_join, quality, ranking, spelling, token_files, topk
+from lakescope.llm.oracles import ORACLE  # noqa: F401
 from lakescope.llm.shared import read
 
 
@@ -90,4 +91,3 @@ QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_minhash_near_dup, op3_token_files, op4_quality_rules, op5_exact_top_k, op6_bpe_round_trip, op7_line_dedup, op8_chat_format, op9_context_mixing, op10_license_scan,
     op11_ranked_search, op12_ngram_join, op13_spelling_variants,
 )}
-ORACLE: dict[str, str] = {}

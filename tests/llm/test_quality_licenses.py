@@ -75,6 +75,25 @@ def test_toxic_words_are_learned(spark):
     assert {r.doc_id for r in Q.kept_documents(docs, labels).collect()} == set(range(300))
 
 
+def test_labels_that_repeat_or_disagree(spark):
+    """A document counts once, by its worst label; extra columns of the labels are not read."""
+    rows = [(1, 1, 0), (1, 1, 0), (2, 1, 0), (2, 0, 0), (3, 1, None), (3, None, 1), (None, 0, 1)]
+    labels = spark.createDataFrame(rows, LABELS).selectExpr("*", "'x' AS text", "'x' AS lang", "1 AS clean", "2 AS n_words")
+    assert sorted(tuple(r) for r in Q.one_label(labels).collect()) == [(1, 1, 0), (2, 0, 0), (3, 1, 1)]
+    docs = [(i, f"plain words number {i} follow one another here without any odd marks at all", "en", "a", 1) for i in range(40)]
+    out = Q.judged(documents(spark, docs, extra=False), labels)
+    assert out.count() == 40 and out.filter("kept").count() == 40
+
+
+def test_words_are_learned_from_a_bounded_part_of_the_labels(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FIT_LABELS", 100)
+    monkeypatch.setattr(Q, "TOXIC_WORDS", 1)
+    rows = [(i, f"plain words number {i} follow one another here in the usual calm way", "de", "a", 1) for i in range(300)]
+    rows += [(1000 + i, f"vollpfosten blödmann number {i} follow one another here in the usual way", "de", "a", 1) for i in range(200)]
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] >= 1000)) for r in rows], LABELS)
+    assert len(Q.toxic_words(documents(spark, rows, extra=False), labels).first().toxic_words) == 1
+
+
 def test_kept_documents_keep_columns(spark):
     docs = documents(spark)
     out = Q.kept_documents(docs, spark.createDataFrame([], LABELS))
