@@ -211,7 +211,7 @@ def _floating_key(col: F.Column) -> F.Column:
     at = F.length(ahead) + F.greatest(F.lit(0), point)
     split = _signed(col < 0, F.regexp_replace(F.substring(every, F.lit(1), at), "^0+(?=[0-9])", ""), F.concat(F.lit("."), F.substring(every, at + 1, F.length(every))))
     return F.when(F.isnan(col) | (x == F.lit(float("inf"))) | (x >= F.lit(1e38)), col.cast("string")).when(
-        x == F.floor(x), F.concat(F.when(col < 0, "-").otherwise(""), whole)).otherwise(split)
+        x % F.lit(1.0) == 0, F.concat(F.when(col < 0, "-").otherwise(""), whole)).otherwise(split)
 
 
 def orphan_check(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
