@@ -35,6 +35,10 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
+#: Texts of up to so many bytes are grouped as they are; longer ones by a digest.
+KEY_BYTES = 64
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -289,11 +293,25 @@ def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
                 f"CAST(NULL AS STRING) AS max_value FROM {{{view}}}")
     mn = value_text_spark_sql("min(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
     mx = value_text_spark_sql("max(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
+    if isinstance(f.dataType, T.StringType):
+        return _text_branch_sql(view, head, f)
     return (f"{head}, coalesce(sum(n), 0) AS total_count, coalesce(sum(CASE WHEN v IS NULL THEN n END), 0) "
             f"AS null_count, count(v) AS distinct_count, {mn} AS min_value, {mx} AS max_value "
             f"FROM (SELECT {_q(f.name)} AS v, count(1) AS n FROM {{{view}}} GROUP BY {_q(f.name)})")
 
 
+def _text_branch_sql(view: str, head: str, f: T.StructField) -> str:
+    """A text column: values of up to ``KEY_BYTES`` bytes are grouped as they are, longer ones by their SHA-256, so no long
+    text is shuffled; rows, nulls, least and greatest value are partial aggregates, a row for each task."""
+    v = _q(f.name)
+    # the first byte tells values from digests
+    key = f"CASE WHEN octet_length({v}) <= {KEY_BYTES} THEN concat('=', {v}) ELSE concat('#', sha2({v}, 256)) END"
+    return (f"{head}, a.total_count, a.null_count, d.distinct_count, {value_text_spark_sql('a.mn', f.dataType)} AS min_value, "
+            f"{value_text_spark_sql('a.mx', f.dataType)} AS max_value "
+            f"FROM (SELECT count(1) AS total_count, count_if({v} IS NULL) AS null_count, min({v}) AS mn, max({v}) AS mx FROM {{{view}}}) a "
+            f"CROSS JOIN (SELECT count(k) AS distinct_count FROM (SELECT {key} AS k FROM {{{view}}} GROUP BY 1)) d")
+
+
 def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False) -> DataFrame:
     """Exact estate profile as one Spark SQL statement: a UNION ALL of per-column ``GROUP BY`` branches
     (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator.

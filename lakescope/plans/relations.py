@@ -108,13 +108,13 @@ def diagram_edges(spark, sf_dir):
 def _catalog_sql():
     prof = "\nUNION ALL\n".join(profile_sql(t) for t in TPCH_TABLES)
     return f"""
-    prof AS ({prof}),
-    cat AS (
+    prof AS MATERIALIZED ({prof}),
+    cat AS MATERIALIZED (
       SELECT table_name, substr(column_name, 3) AS column_name, ordinal, data_type,
              (null_count = 0 AND distinct_count = total_count AND total_count > 0
               AND data_type IN ('tinyint','smallint','int','bigint','string')) AS key_like
       FROM prof),
-    pk AS (
+    pk AS MATERIALIZED (
       SELECT table_name, arg_min(column_name, ordinal) AS pk_column, arg_min(data_type, ordinal) AS pk_type
       FROM cat WHERE key_like GROUP BY table_name),
     declared(from_table, from_column, to_table, to_column) AS (

@@ -106,3 +106,18 @@ def test_wide_profile_in_one_statement(spark):
     one = rows(P.profile_tables_sql(tabs))
     alone = sorted(r for name, df in tabs.items() for r in rows(P.profile_tables_sql({name: df})))
     assert sorted(one) == alone and len(one) == 22
+
+
+def test_long_and_short_texts_are_counted_exactly(spark):
+    """Texts around the width from which digests stand for values; digests and values that look like them; null, empty and non-ASCII text."""
+    import hashlib
+    w = P.KEY_BYTES
+    values = ["", None, "a", "a", "é" * (w // 2), "é" * (w // 2) + "x", "b" * w, "b" * (w + 1), "b" * (w + 1), "c" * 5000, "c" * 5000, "c" * 4999 + "d"]
+    values += [hashlib.sha256(b"b" * (w + 1)).hexdigest(), "=a", "#a"]
+    df = spark.createDataFrame([(v,) for v in values], "x string").repartition(3)
+    r = P.profile_tables_sql({"t": df}).first()
+    known = [v for v in values if v is not None]
+    assert (r.total_count, r.null_count, r.distinct_count) == (len(values), 1, len(set(known)))
+    assert (r.min_value, r.max_value) == (min(known, key=str.encode), max(known, key=str.encode))
+    empty = P.profile_tables_sql({"t": df.limit(0)}).first()
+    assert (empty.total_count, empty.distinct_count, empty.min_value) == (0, 0, None)
