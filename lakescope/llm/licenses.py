@@ -19,17 +19,19 @@ order are bounded by the templates given, not by the corpus; Spark broadcasts th
 allows. A notice that a third of all documents hold meets as many templates as any other.
 
 Defined cases: null text is empty: no words, no places, null first and last word, no labels, score 0;
-repeated rows are judged each; blocks are lines and, for notices wrapped over lines, the whole text; either of
-over ``BLOCK_WORDS`` words gives blocks of that many, each starting half a block after the one before. Only
-``id_col`` and ``text_col`` are read.
+repeated rows are judged each; blocks are windows over the words of the whole text, so that wrapped notices count, and
+each template has windows of its own: one and a half times its words, each starting half its words after the one before
+(a run of a template's length lies in one of them). Words scattered wider than that don't match. Only ``id_col``
+and ``text_col`` are read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakescope.llm.shared import frozen, let
@@ -52,8 +54,6 @@ TEMPLATES = {
            "Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0"],
 }
 THRESHOLD = 0.9
-#: Words of a block at most, and twice the longest template's if that is more.
-BLOCK_WORDS = 128
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,13 +77,18 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
 
+def windows(length: int) -> tuple[int, int]:
+    """Words of a block for a template of so many words, and words from one block's start to the next."""
+    return length + length // 2, max(1, length // 2)
+
+
 def _template_rows(templates: dict[str, list[str]], threshold: float) -> list[tuple]:
     rows = []
     for label, texts in templates.items():
         for text in texts:
             tokens = sorted(set(template_words(text)))
             if tokens:
-                rows.append((len(rows), label, tokens, len(tokens), needed(len(tokens), threshold)))
+                rows.append((len(rows), label, tokens, len(tokens), needed(len(tokens), threshold), len(template_words(text))))
     return rows
 
 
@@ -110,16 +115,23 @@ def _all(conditions) -> Column:
     return out
 
 
-def _blocks(words: Column, lowered: Column, vocabulary: Column, least: int, size: int) -> Column:
-    """Blocks with at least ``least`` template words: array of (no, tokens). The blocks of each line, and those
-    of the whole text, where a notice may run over several lines."""
-    half = size // 2
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - size) / half).cast("int"))),
-                                lambda k: F.array_intersect(F.slice(w, k * half + 1, size), vocabulary))
-    of_line = lambda line: let(license_words(line), cut)
-    lines = F.flatten(F.transform(F.split(lowered, "\n"), of_line))
-    sets = F.when(lowered.contains("\n"), F.concat(lines, cut(words))).otherwise(cut(words))
-    return F.filter(F.transform(sets, lambda s, k: F.struct(k.alias("no"), s.alias("tokens"))), lambda b: F.size(b["tokens"]) >= least)
+def _blocks(words: Column, held: Column, vocabulary: Column, rows: list[tuple]) -> Column:
+    """Blocks that hold enough template words for some template of their length: array of (no, length, tokens).
+
+    Windows of a length are made only where the text's words together match a template of that length."""
+    none = F.array().cast("array<struct<no:int,length:int,tokens:array<string>>>")
+
+    def of_length(length):
+        of, (size, step) = [r for r in rows if r[5] == length], windows(length)
+        least = min(r[4] for r in of)
+        could = reduce(lambda x, y: x | y, [F.size(F.array_intersect(held, _strings(r[2]))) >= r[4] for r in of])
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(words) - size) / step).cast("int")))
+        block = lambda k: F.struct(k.alias("no"), F.lit(length).alias("length"),
+                                   F.array_intersect(F.slice(words, k * step + 1, size), vocabulary).alias("tokens"))
+        return F.when(could, F.filter(F.transform(starts, block), lambda x: F.size(x["tokens"]) >= least)).otherwise(none)
+
+    parts = [of_length(length) for length in sorted({r[5] for r in rows})]
+    return F.concat(*parts) if parts else none
 
 
 def compact(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str, str], threshold: float,
@@ -128,18 +140,11 @@ def compact(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str,
     words in it), blocks (those that could match)."""
     rows = _template_rows(templates, threshold)
     vocabulary = _strings(sorted({w for r in rows for w in r[2]}))
-    least = min((r[4] for r in rows), default=1)
-    size = max([BLOCK_WORDS, *(2 * len(template_words(t)) for texts in templates.values() for t in texts)])
 
     def of(words: Column, lowered: Column) -> Column:
         def with_held(held):
-            could = [F.size(F.array_intersect(held, _strings(r[2]))) >= r[4] for r in rows]
-            any_could = F.lit(False)
-            for c in could:
-                any_could = any_could | c
-            none = F.array().cast("array<struct<no:int,tokens:array<string>>>")
             return F.struct(F.size(words).cast("long").alias("n_words"), _places(words, lowered, phrases).alias("places"), held.alias("held"),
-                            F.when((F.size(held) >= least) & any_could, _blocks(words, lowered, vocabulary, least, size)).otherwise(none).alias("blocks"))
+                            _blocks(words, held, vocabulary, rows).alias("blocks"))
         return let(F.array_intersect(words, vocabulary), with_held)
 
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -148,36 +153,45 @@ def compact(docs: DataFrame, templates: dict[str, list[str]], phrases: dict[str,
     return frozen(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "one.*"))
 
 
+def _template_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """The templates as a table: template, label, tokens, size, need, length."""
+    one = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), _strings(tokens).alias("tokens"), F.lit(size).alias("size"),
+                    F.lit(need).alias("need"), F.lit(length).alias("length")) for i, label, tokens, size, need, length in rows]
+    if not one:
+        return spark.range(0).selectExpr("0 AS template", "'' AS label", "array('') AS tokens", "0 AS size", "0 AS need", "0 AS length")
+    return spark.range(1).select(F.inline(F.array(*one)))
+
+
 def matches(found: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
-    """The join: (row, no, template, label, overlap, containment) of every block that matches a template."""
+    """The join: (row, length, no, template, label, overlap, containment) of every block that matches a template."""
     spark = found.sparkSession
-    t = spark.createDataFrame(_template_rows(templates, threshold), "template int, label string, tokens array<string>, size int, need int")
+    t = _template_table(spark, _template_rows(templates, threshold))
     counts = found.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("documents"))
-    words = t.select("template", "size", "need", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    words = t.select("template", "size", "need", "length", F.explode("tokens").alias("token")).join(counts, "token", "left")
     # the order runs over the templates' words only; (documents, token) is the order itself
     place = F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), "token")
     i = F.row_number().over(Window.partitionBy("template").orderBy(place))
-    prefix = words.withColumn("i", i).filter(F.col("i") <= F.col("size") - F.col("need") + 1).select("template", "size", "need", "token", "i")
-    blocks = found.select("row", F.explode("blocks").alias("b")).select("row", "b.no", "b.tokens")
+    prefix = words.withColumn("i", i).filter(F.col("i") <= F.col("size") - F.col("need") + 1).select("template", "size", "need", "length", "token", "i")
+    blocks = found.select("row", F.explode("blocks").alias("b")).select("row", "b.length", "b.no", "b.tokens")
     in_order = counts.withColumn("place", F.struct("documents", "token"))
-    each = blocks.select("row", "no", F.size("tokens").alias("b"), F.explode("tokens").alias("token")).join(in_order, "token")
-    each = each.withColumn("j", F.row_number().over(Window.partitionBy("row", "no").orderBy("place")))
-    met = each.join(prefix, "token").groupBy("row", "no", "template", "size", "need", "b").agg(F.min(F.struct("i", "j")).alias("first"))
+    each = blocks.select("row", "length", "no", F.size("tokens").alias("b"), F.explode("tokens").alias("token")).join(in_order, "token")
+    each = each.withColumn("j", F.row_number().over(Window.partitionBy("row", "length", "no").orderBy("place")))
+    met = each.join(prefix, ["token", "length"]).groupBy("row", "length", "no", "template", "size", "need", "b").agg(F.min(F.struct("i", "j")).alias("first"))
     may = met.filter(1 + F.least(F.col("size") - F.col("first.i"), F.col("b") - F.col("first.j")) >= F.col("need"))
-    both = may.select("row", "no", "template").join(blocks, ["row", "no"]).join(t.withColumnRenamed("tokens", "own"), "template")
+    both = may.select("row", "length", "no", "template").join(blocks, ["row", "length", "no"]).join(t.drop("length").withColumnRenamed("tokens", "own"), "template")
     overlap = F.size(F.array_intersect("tokens", "own"))
     return both.withColumn("overlap", overlap).filter("overlap >= need").select(
-        "row", "no", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment"))
+        "row", "length", "no", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None,
          threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks
-    (blocks that match a template; a line's and the whole text's both count). ``score`` is the largest containment of a match, 0 without one."""
+    (blocks that match a template). ``score`` is the largest containment of a match, 0 without one."""
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     found = compact(docs, templates, phrases, threshold, id_col, text_col)
     by_row = matches(found, templates, threshold).groupBy("row").agg(
-        F.collect_set("label").alias("more"), F.max("containment").alias("score"), F.countDistinct("no").alias("n_blocks"))
+        F.collect_set("label").alias("more"), F.max("containment").alias("score"), F.countDistinct("length", "no").alias("n_blocks"))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     base = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["start"])

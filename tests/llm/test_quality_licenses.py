@@ -112,16 +112,14 @@ def license_brute(text, templates, threshold):
     w = LICENSE_WORD.findall(low)
     places = [(k, label) for p, label in L.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
     labels, score = {x for _, x in places}, 0.0
-    for line in low.split("\n"):
-        lw = LICENSE_WORD.findall(line)
-        for k in range(0, max(1, math.ceil((len(lw) - L.BLOCK_WORDS) / (L.BLOCK_WORDS // 2)) + 1)):
-            block = set(lw[k * L.BLOCK_WORDS // 2 :][: L.BLOCK_WORDS])
-            for label, texts in templates.items():
-                for t in texts:
-                    own = set(L.template_words(t))
-                    if len(own & block) >= L.needed(len(own), threshold):
-                        labels.add(label)
-                        score = max(score, len(own & block) / len(own))
+    for label, texts in templates.items():
+        for t in texts:
+            own, n = set(L.template_words(t)), len(L.template_words(t))
+            for k in range(0, max(1, len(w)), n // 2):
+                block = set(w[k:][: n + n // 2])
+                if len(own & block) >= L.needed(len(own), threshold):
+                    labels.add(label)
+                    score = max(score, len(own & block) / len(own))
     starts = [k for k, _ in places]
     return (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score)
 
@@ -152,6 +150,15 @@ def test_wrapped_notices(spark):
     assert {r.doc_id: r.labels for r in out} == {0: "mit", 1: "gpl", 2: "mit", 3: ""}
 
 
+def test_scattered_words_are_no_notice(spark):
+    """Words of a short notice that stand apart give no label; the notice itself does, wherever it starts."""
+    rows = ["the license plate of a student at mit was under review when he was released on monday",
+            "words by the cc office under rule 4 say 0 licensed shops remain"]
+    rows += [f"{'pad ' * k}Released under the MIT License{' pad' * (9 - k)}" for k in range(10)] + [f"{'pad ' * k}(licensed under\n# CC-BY 4.0)" for k in range(10)]
+    out = L.scan(documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(rows)], extra=False)).collect()
+    assert {r.doc_id: r.labels for r in out} == {0: "", 1: ""} | {k: "mit" for k in range(2, 12)} | {k: "cc" for k in range(12, 22)}
+
+
 def test_long_templates(spark):
     long = [f"t{i}" for i in range(150)]
     text = "\n".join(["x " * 100, *(" ".join(long[k : k + 10]) for k in range(0, 150, 10)), "y " * 100])
