@@ -7,11 +7,12 @@ most. Each chunk is therefore indexed four times, each time without one symbol:
 share a key, always. Sets at the similarity threshold of 0.75 are farther apart than that with a
 probability of about 1 in 100,000; every link found is confirmed on the full sets.
 
-No bucket is expanded into pairs. First each bucket's members meet its leader alone (the member that
+First each bucket's members meet its leader alone (the member that
 shares most keys over all, as the origin of near copies does), and components of the confirmed links form.
 Then buckets that still hold several components are joined with themselves under conditions checked inside
-the join, so that only pairs leave it that lie in different components, whose sizes and signatures allow
-a link, and for which the key is the first they share. In large buckets a pair must also have enough
+the join, so that only pairs leave it that lie in different components, whose sizes, parity bitmaps (each
+differing shingle changes one bit at most) and signatures allow a link, and for which the key is the first
+they share. What the join compares still grows with the square of such a bucket's components. In large buckets a pair must also have enough
 shingles that occur in more than one set there: shingles of one's own can't be common.
 
 Scale: texts are read once for sketches (compact rows), and once more for the members of candidate pairs;
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakescope.llm.ngram_join import PARITY, parity
 from lakescope.llm.shared import frozen, let
 from lakescope.operators.components import star_components
 
@@ -85,27 +87,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ha, hb, sig): size of the set, its 128-bit name, its signature (null if empty)."""
+    """(doc_id, n, ha, hb, sig, par): size of the set, its 128-bit name, its signature and parity bitmap."""
     def run(batches):
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 s = shingles(t.as_py())
-                rows.append((len(s), *_name(s), signature(s)))
+                rows.append((len(s), *_name(s), signature(s), parity(s)))
             if rows:
-                n, ha, hb, sig = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), _lists(sig)],
-                                                 names=["doc_id", "n", "ha", "hb", "sig"])
+                n, ha, hb, sig, par = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()), _lists(sig), _lists(par)],
+                                                 names=["doc_id", "n", "ha", "hb", "sig", "par"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return frozen(d.mapInArrow(run, "doc_id long, n long, ha long, hb long, sig array<long>"))
+    return frozen(d.mapInArrow(run, "doc_id long, n long, ha long, hb long, sig array<long>, par array<long>"))
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """(node, doc_id, n, ha, hb, sig): one row for each distinct set that a document with an id has."""
+    """(node, doc_id, n, ha, hb, sig, par): one row for each distinct set that a document with an id has."""
     one = sketched.filter("n > 0 and doc_id is not null").groupBy("ha", "hb").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    return frozen(one.withColumn("node", F.monotonically_increasing_id()))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first(F.struct("sig", "par")).alias("s"))
+    return frozen(one.select("ha", "hb", "doc_id", "n", "s.sig", "s.par").withColumn("node", F.monotonically_increasing_id()))
 
 
 def index_keys(sig: Column) -> Column:
@@ -219,11 +221,13 @@ def links(docs: DataFrame, known: DataFrame, similarity: int = SIMILARITY, **col
     open_ = frozen(marked.join(mixed, "key"))
     large = open_.filter(F.col("members") >= LARGE).select("node").distinct()
     shared = shared_counts(set_rows(docs, known, large, **cols))
-    u = open_.join(known.select("node", "n", "sig"), "node").join(shared, "node", "left")
-    a, b = (u.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("slot", "members", "node", "part", "n", "sig", "shared")]) for k in "ab")
+    u = open_.join(known.select("node", "n", "sig", "par"), "node").join(shared, "node", "left")
+    a, b = (u.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("slot", "members", "node", "part", "n", "sig", "par", "shared")]) for k in "ab")
     c = F.col
     enough = lambda k: c(f"shared_{k}") * (100 + similarity) >= _needs(c("n_a"), c("n_b"), similarity)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(c("par_a"), k).bitwiseXOR(F.get(c("par_b"), k))) for k in range(PARITY)])
     may = ((c("node_a") < c("node_b")) & (c("part_a") != c("part_b")) & _sizes_allow(c("n_a"), c("n_b"), similarity)
+           & (apart * (100 + similarity) <= (c("n_a") + c("n_b")) * (100 - similarity))
            & ((c("members_a") < LARGE) | (enough("a") & enough("b")))
            & near_at(c("sig_a"), c("sig_b"), c("slot_a")))
     pairs = a.join(b, (a["key"] == b["key"]) & may).select(c("node_a").alias("a"), c("node_b").alias("b"))
