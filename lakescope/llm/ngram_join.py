@@ -252,8 +252,9 @@ def leader_pairs(met: DataFrame, known: DataFrame, similarity: int) -> DataFrame
 def matrix(members: DataFrame) -> DataFrame:
     """(group, least, most, bits): sizes and the union of the classes of each group. ``members``: group, n, bits."""
     sizes = members.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.size("bits")).alias("width"))
-    words = members.select("group", F.posexplode("bits").alias("at", "w")).filter("w <> 0").join(sizes, "group")
-    words = words.groupBy("group", (F.col("at") % F.col("width")).alias("at")).agg(F.bit_or("w").alias("w"))
+    # first at each class's own width, so that a large group is partial sums by word, and then at the group's
+    words = members.select("group", F.size("bits").alias("of"), F.posexplode("bits").alias("at", "w")).filter("w <> 0").groupBy("group", "of", "at").agg(F.bit_or("w").alias("w"))
+    words = words.join(sizes, "group").groupBy("group", (F.col("at") % F.col("width")).alias("at")).agg(F.bit_or("w").alias("w"))
     cells = words.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("cells"))  # MOST_BITS bits at most
     full = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0).cast("long")))
     return cells.join(sizes, "group").select("group", "least", "most", full.alias("bits"))
