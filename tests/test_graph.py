@@ -153,7 +153,7 @@ def test_impact_sizes_of_random_graphs(spark):
     """Acyclic and cyclic graphs, self edges, repeated edges; also with few numbers at a time."""
     rng = random.Random(5)
     dag = [(max(p), min(p)) for p in _random_graph(rng, 150, 260) if p[0] != p[1]]
-    for pairs, block in ((dag, None), (dag, 64), (_random_graph(rng, 120, 170), None), (_random_graph(rng, 90, 110), 64)):
+    for pairs, block in ((dag, 64), (_random_graph(rng, 90, 120), None)):
         got = {r.node: (r.impact, r.indirect_impact) for r in G.impact_sizes(_edges(spark, pairs + pairs[:3]), block).collect()}
         assert got == _brute_sizes(pairs)
 
@@ -188,9 +188,8 @@ def test_cycles_of_random_graphs(spark):
     rng = random.Random(8)
     ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
     chain = [("n001", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "n001"), ("n002", "d1"), ("d1", "d2")]
-    for n, m in ((60, 75), (40, 90)):
-        pairs = _random_graph(rng, n, m) + ring + chain + [("s", "s")]
-        assert rows(G.strongly_connected(_edges(spark, pairs)), "node", "scc_id", "scc_size") == _brute_scc(pairs)
+    pairs = _random_graph(rng, 40, 60) + ring + chain + [("s", "s")]
+    assert rows(G.strongly_connected(_edges(spark, pairs)), "node", "scc_id", "scc_size") == _brute_scc(pairs)
 
 
 def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
