@@ -179,3 +179,15 @@ def job_last_run(job_history: DataFrame) -> DataFrame:
     """Latest run per job from history rows with integer ``run_date`` (yyyyMMdd)."""
     d = F.to_date(F.col("run_date").cast("string"), "yyyyMMdd")
     return job_history.groupBy("database_name", "job_name").agg(F.max(d).alias("last_run_date"))
+
+
+# Schemas that hold a system's own objects.
+SYSTEM_SCHEMAS = ["sys", "information_schema", "pg_catalog", "pg_toast"]
+
+
+def user_objects(objects: DataFrame, flag: str = "is_shipped", schema_col: str = "schema_name") -> DataFrame:
+    """objects without those shipped with the system: flagged so (where the catalog has the flag), or in a system schema."""
+    own = ~F.coalesce(F.lower(schema_col).isin(SYSTEM_SCHEMAS), F.lit(False))
+    if flag in objects.columns:
+        own = own & ~F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
+    return objects.filter(own)

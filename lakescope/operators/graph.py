@@ -377,15 +377,16 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     e = cut_lineage(e0.filter("src <> dst"))
     found, chains = [], []
     while not e.isEmpty():
+        # in turns: a path would lose one node at each end by trimming alone
         smaller = _trimmed(e)
         if smaller is not None:
             e = smaller
-            continue
         contracted = _chains(e)
         if contracted is not None:
             e, members, rings = contracted
             chains.append(members)
             found.append(rings)
+        if smaller is not None or contracted is not None:
             continue
         some = cut_lineage(_coloured(e))
         found.append(some)

@@ -125,3 +125,25 @@ def test_index_trigger_type_job_assembly(spark):
     jh = spark.createDataFrame([("d", "J", 20240105), ("d", "J", 20240301)],
                                "database_name string, job_name string, run_date int")
     assert str(CO.job_last_run(jh).first().last_run_date) == "2024-03-01"
+
+
+def test_shipped_objects_are_left_out(spark):
+    """flagged objects and system schemas go; an unset flag or schema stays."""
+    from lakescope.operators import catalog_ops as CO
+    df = spark.createDataFrame([("dbo", "a", True), ("dbo", "b", False), ("dbo", "c", None), ("SYS", "d", False), (None, "e", None), ("pg_catalog", "f", None)],
+                               "schema_name string, object_name string, is_shipped boolean")
+    assert rows(CO.user_objects(df), "object_name") == [("b",), ("c",), ("e",)]
+    assert rows(CO.user_objects(df.drop("is_shipped")), "object_name") == [("a",), ("b",), ("c",), ("e",)]
+
+
+def test_edge_table(spark):
+    """D-2: foreign keys stand before object edges, names compare without case, external targets are nodes, unknown ends are told."""
+    from lakescope.operators import diagram as V
+    fks = spark.createDataFrame([("d", "dbo", "Orders", "dbo", "Clients"), ("d", "dbo", "Orders", "dbo", "Clients"), ("d", "dbo", "gone", "dbo", "lost")],
+                                "database_name string, from_schema string, from_table string, to_schema string, to_table string")
+    refs = spark.createDataFrame([("d", "DBO", "orders", "dbo", "CLIENTS", None), ("d", "dbo", "v", "dbo", "Orders", None), ("d", "dbo", "v", "s", "x", "Other"), ("d", "dbo", "v", "dbo", "lost", None)],
+                                 "database_name string, from_schema string, from_name string, to_schema string, to_name string, to_database string")
+    objects = spark.createDataFrame([("d", "dbo", n) for n in ("Orders", "Clients", "v")], "database_name string, schema_name string, object_name string")
+    assert rows(V.edge_table(fks, refs, objects), "src", "dst", "kind", "src_known", "dst_known") == [
+        ("dbo.Orders", "dbo.Clients", "foreign key", True, True), ("dbo.v", "Other.s.x", "object", True, True),
+        ("dbo.v", "dbo.Orders", "object", True, True), ("dbo.v", "dbo.lost", "object", True, False)]
