@@ -95,6 +95,20 @@ def lineage_layers(spark, sf_dir):
     return G.lineage(record_edges(spark, sf_dir), START_NODE)
 
 
+def trade_lineage_report(spark, sf_dir):
+    """L-2: lineage of every nation in the region trade graph, nodes placed upstream not placed again downstream."""
+    e = cut_lineage(region_trade_edges(spark, sf_dir))
+    return G.lineage(e, G.node_table(e), shared_visited=True)
+
+
+def impact_approx_error(spark, sf_dir):
+    """D-4 at scale: each node's approximate impact size is within five per cent of the exact one (three standard errors), or one off."""
+    e = cut_lineage(record_edges(spark, sf_dir))
+    both = G.impact_sizes(e).join(G.approx_impact(e), "node")
+    off = F.abs(F.col("impact") - F.col("approx_impact"))
+    return both.select("node", "impact", ((off <= 1) | (off <= F.col("impact") * 0.05)).alias("within"))
+
+
 def lineage_subgraph(spark, sf_dir):
     """L-3: edges among the nodes of the lineage of nation 0."""
     e = cut_lineage(record_edges(spark, sf_dir))
@@ -254,6 +268,19 @@ WHERE a.scc_id = b.scc_id AND a.scc_size > 1"""
 REGION_TRADE_EDGES_SQL = TRADE_EDGES_SQL.replace("  e AS (SELECT DISTINCT src, dst FROM edges)", """  e AS (
     SELECT DISTINCT src, dst FROM edges JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst
     WHERE b.n_regionkey IN (a.n_regionkey, a.n_regionkey + 1))""")
+TRADE_LINEAGE_SQL = f"""WITH RECURSIVE {REGION_TRADE_EDGES_SQL},
+  up(start, node, depth) AS (SELECT node, node, 0 FROM nodes
+    UNION SELECT u.start, e.dst, u.depth + 1 FROM up u JOIN e ON e.src = u.node WHERE u.depth < 25),
+  down(start, node, depth) AS (SELECT node, node, 0 FROM nodes
+    UNION SELECT d.start, e.src, d.depth + 1 FROM down d JOIN e ON e.dst = d.node WHERE d.depth < 25),
+  u AS (SELECT start, node, min(depth) AS depth FROM up WHERE node <> start GROUP BY ALL),
+  d AS (SELECT start, node, min(depth) AS depth FROM down WHERE node <> start GROUP BY ALL)
+SELECT node AS start, node, 'start' AS direction, CAST(0 AS INTEGER) AS layer FROM nodes
+UNION ALL SELECT start, node, 'upstream', CAST(-depth AS INTEGER) FROM u
+UNION ALL SELECT d.start, d.node, 'downstream', CAST(d.depth AS INTEGER) FROM d ANTI JOIN u ON u.start = d.start AND u.node = d.node"""
+
+IMPACT_WITHIN_SQL = _importance_sql(RECORD_EDGES_SQL, DAG_CLOSURE) + "\nSELECT node, impact, true AS within FROM scores WHERE impact > 0"
+
 REGION_TRADE_CYCLES_SQL = SCC_SQL.replace(TRADE_EDGES_SQL, REGION_TRADE_EDGES_SQL) + "\nSELECT node, scc_id, scc_size FROM scc"
 REGION_TRADE_IMPACT_SQL = _importance_sql(REGION_TRADE_EDGES_SQL, CYCLIC_CLOSURE) + "\nSELECT * FROM scores"
 
@@ -290,6 +317,8 @@ QUERIES = {
     "core_records": core_records,
     "lineage_layers": lineage_layers,
     "lineage_subgraph": lineage_subgraph,
+    "trade_lineage_report": trade_lineage_report,
+    "impact_approx_error": impact_approx_error,
     "trade_impact": trade_impact,
     "trade_cycles": trade_cycles,
     "region_trade_cycles": region_trade_cycles,
@@ -306,6 +335,8 @@ ORACLE = {
     "core_records": CORE_RECORDS_SQL,
     "lineage_layers": LINEAGE_LAYERS_SQL,
     "lineage_subgraph": LINEAGE_SUBGRAPH_SQL,
+    "trade_lineage_report": TRADE_LINEAGE_SQL,
+    "impact_approx_error": IMPACT_WITHIN_SQL,
     "trade_impact": TRADE_IMPACT_SQL,
     "trade_cycles": TRADE_CYCLES_SQL,
     "region_trade_cycles": REGION_TRADE_CYCLES_SQL,

@@ -34,6 +34,15 @@ def profile_approx(spark, sf_dir):
     return P.profile_columns(read_table(spark, sf_dir, "lineitem"), "lineitem", exact=False)
 
 
+def profile_approx_error(spark, sf_dir):
+    """P5: each approximate distinct count of lineitem is within 15 per cent of the exact one (three standard errors); rows and nulls are exact."""
+    df = read_table(spark, sf_dir, "lineitem")
+    a = P.profile_columns(df, "lineitem", exact=False).select("column_name", F.col("distinct_count").alias("a"), F.col("total_count").alias("at"), F.col("null_count").alias("an"))
+    e = P.profile_columns(df, "lineitem").join(a, "column_name")
+    near = F.abs(F.col("a") - F.col("distinct_count")) <= F.col("distinct_count") * 0.15
+    return e.select("column_name", "distinct_count", (near & (F.col("at") == F.col("total_count")) & (F.col("an") == F.col("null_count"))).alias("within"))
+
+
 def largest_tables(spark, sf_dir):
     """Ten largest tables with their ratio to the largest."""
     return P.largest_tables(P.row_counts(read_tables(spark, sf_dir)), 10)
@@ -92,6 +101,7 @@ QUERIES.update({
     "profile_estate": profile_estate,
     "profile_row_counts": profile_row_counts,
     "profile_approx": profile_approx,
+    "profile_approx_error": profile_approx_error,
     "largest_tables": largest_tables,
     "key_inference": key_inference,
     "null_bands": null_bands,
@@ -101,6 +111,7 @@ ORACLE = {f"profile_{t}": profile_sql(t) for t in PROFILED}
 ORACLE.update({
     "profile_estate": estate_profile_sql(),
     "profile_row_counts": ROW_COUNTS_SQL,
+    "profile_approx_error": f"SELECT column_name, distinct_count, true AS within FROM ({profile_sql('lineitem')})",
     "largest_tables": f"""
         WITH c AS ({ROW_COUNTS_SQL}), top AS (
           SELECT * FROM c ORDER BY row_count DESC, table_name LIMIT 10)
