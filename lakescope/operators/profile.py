@@ -85,13 +85,15 @@ def _exact_branch(df: DataFrame, table_name: str, field: T.StructField, ordinal:
 
 
 def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns: list[str] | None = None,
-                    method: str = "sql") -> DataFrame:
+                    method: str = "sql", wide: tuple[str, ...] = ()) -> DataFrame:
     """Profile every column (or the named ones) of ``df``.
 
     Output: table_name, column_name, ordinal, data_type, total_count, null_count, distinct_count,
     min_value, max_value, null_percentage. Numeric, string, date and timestamp columns get min/max;
     booleans get distinct but no min/max; binary and complex columns get the null count only.
 
+    ``wide``: text columns that hold long values; these are counted by digest and never shuffled.
+
     ``method='sql'`` (default): the branches plan written as one Spark SQL statement (fast to plan).
     ``method='branches'``: per-column ``groupBy(value)`` then a global aggregate per column.
     ``method='hybrid'``: the same branches feeding one shared reduce over typed value slots.
@@ -105,7 +107,7 @@ def profile_columns(df: DataFrame, table_name: str, exact: bool = True, columns:
         return _approx_profile(df, table_name, fields)
     if method == "sql":
         sub = df.select(*[F.col(_q(f.name)) for _, f in fields]) if columns is not None else df
-        out = profile_tables_sql({table_name: sub})
+        out = profile_tables_sql({table_name: sub}, wide=wide)
         if columns is not None:  # keep the ordinals of the full schema
             pos = {f.name: i for i, f in fields}
             out = out.withColumn("ordinal", F.element_at(F.create_map(*[x for k, v in pos.items()
@@ -283,7 +285,7 @@ def _sql_lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
+def _branch_sql(view: str, table_name: str, i: int, f: T.StructField, wide: tuple[str, ...] = ()) -> str:
     cls = profile_class(f.dataType)
     head = (f"SELECT {_sql_lit(table_name)} AS table_name, {_sql_lit(f.name)} AS column_name, CAST({i} AS INT) AS "
             f"ordinal, {_sql_lit(f.dataType.simpleString())} AS data_type")
@@ -293,7 +295,7 @@ def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
                 f"CAST(NULL AS STRING) AS max_value FROM {{{view}}}")
     mn = value_text_spark_sql("min(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
     mx = value_text_spark_sql("max(v)", f.dataType) if cls == "full" else "CAST(NULL AS STRING)"
-    if isinstance(f.dataType, T.StringType):
+    if isinstance(f.dataType, T.StringType) and f.name in wide:
         return _text_branch_sql(view, head, f)
     return (f"{head}, coalesce(sum(n), 0) AS total_count, coalesce(sum(CASE WHEN v IS NULL THEN n END), 0) "
             f"AS null_count, count(v) AS distinct_count, {mn} AS min_value, {mx} AS max_value "
@@ -301,7 +303,7 @@ def _branch_sql(view: str, table_name: str, i: int, f: T.StructField) -> str:
 
 
 def _text_branch_sql(view: str, head: str, f: T.StructField) -> str:
-    """A text column: values of up to ``KEY_BYTES`` bytes are grouped as they are, longer ones by their SHA-256, so no long
+    """A column of long texts, read twice: values of up to ``KEY_BYTES`` bytes are grouped as they are, longer ones by their SHA-256, so no long
     text is shuffled; rows, nulls, least and greatest value are partial aggregates, a row for each task."""
     v = _q(f.name)
     # the first byte tells values from digests
@@ -312,7 +314,7 @@ def _text_branch_sql(view: str, head: str, f: T.StructField) -> str:
             f"CROSS JOIN (SELECT count(k) AS distinct_count FROM (SELECT {key} AS k FROM {{{view}}} GROUP BY 1)) d")
 
 
-def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False) -> DataFrame:
+def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = False, wide: tuple[str, ...] = ()) -> DataFrame:
     """Exact estate profile as one Spark SQL statement: a UNION ALL of per-column ``GROUP BY`` branches
     (the same plan as ``method='branches'``), parsed and analysed once instead of once per operator.
     """
@@ -323,7 +325,7 @@ def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = Fals
         for i, f in enumerate(df.schema.fields, start=1):
             if key_types_only and f.dataType.simpleString() not in KEY_TYPES:
                 continue
-            branches.append((f"t{k}", _branch_sql(f"t{k}", name, i, f)))
+            branches.append((f"t{k}", _branch_sql(f"t{k}", name, i, f, wide)))
 
     def run(chunk):
         used = sorted({v for v, _ in chunk})
@@ -339,14 +341,15 @@ def profile_tables_sql(tables: dict[str, DataFrame], key_types_only: bool = Fals
 
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = True, key_types_only: bool = False,
-                   method: str = "sql") -> DataFrame:
-    """Estate profile: every column of every table, one plan (``key_types_only``: integer and text columns).
+                   method: str = "sql", wide: tuple[str, ...] = ()) -> DataFrame:
+    """Estate profile: every column of every table, one plan (``key_types_only``: integer and text columns;
+    ``wide``: names of the columns that hold long texts).
 
     The default exact plan is built as one SQL statement (``profile_tables_sql``); other methods build
     it operator by operator.
     """
     if exact and method == "sql":
-        return profile_tables_sql(tables, key_types_only)
+        return profile_tables_sql(tables, key_types_only, wide)
     parts = []
     for name, df in tables.items():
         cols = None

@@ -12,7 +12,7 @@ from lakescope.operators import estate as ES
 from lakescope.operators import profile as P
 from lakescope.operators import search as H
 from lakescope.operators import versions as V
-from lakescope.plans.profiling import estate_profile_sql
+from lakescope.plans.profiling import WIDE, estate_profile_sql
 from lakescope.plans.relations import tpch_frames
 from lakescope.session import scratch_path
 from lakescope.sources import catalog as C
@@ -51,7 +51,7 @@ def ddl_text(spark, sf_dir):
 
 def dashboard_counts(spark, sf_dir):
     """Estate totals: tables, columns, rows, key-like and constant columns."""
-    prof = P.infer_keys(P.profile_tables(read_tables(spark, sf_dir)))
+    prof = P.infer_keys(P.profile_tables(read_tables(spark, sf_dir), wide=WIDE))
     per_table = prof.groupBy("table_name").agg(
         F.max("total_count").alias("rows"), F.count(F.lit(1)).alias("cols"),
         F.count_if((F.col("distinct_count") == 1) & (F.col("null_count") == 0)).alias("constant"),
@@ -97,7 +97,7 @@ def estate_merge(spark, sf_dir):
     """Every table profiled by a job of its own; one that can't be read is recorded, the others go on."""
     broken = scratch_path(spark, "broken")
     read_table(spark, sf_dir, "region").select("r_name").write.text(broken)
-    jobs = {t: (lambda df=df, t=t: P.profile_tables({t: df})) for t, df in read_tables(spark, sf_dir).items()}
+    jobs = {t: (lambda df=df, t=t: P.profile_tables({t: df}, wide=WIDE)) for t, df in read_tables(spark, sf_dir).items()}
     jobs["broken"] = lambda: P.profile_tables({"broken": spark.read.schema("r_name string").parquet(broken)})
     good, failed = ES.isolated(spark, jobs)
     rows = [df.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"), F.max("total_count").alias("n_rows")) for df in good.values()]

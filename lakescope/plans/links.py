@@ -17,7 +17,7 @@ from lakescope.operators import profile as P
 from lakescope.operators import refs as E
 from lakescope.operators import relations as R
 from lakescope.operators import search as H
-from lakescope.plans.profiling import estate_profile_sql
+from lakescope.plans.profiling import WIDE, estate_profile_sql
 from lakescope.plans.relations import IMPLICIT_SQL, tpch_frames
 from lakescope.session import cut_lineage
 from lakescope.sources.tables import read_table, read_tables
@@ -122,7 +122,7 @@ def link_orphans(spark, sf_dir):
 
 def profile_order(spark, sf_dir):
     """Columns of all tables, the table with most rows first."""
-    prof = cut_lineage(P.profile_tables(read_tables(spark, sf_dir)).select("table_name", "column_name", "total_count"))
+    prof = cut_lineage(P.profile_tables(read_tables(spark, sf_dir), wide=WIDE).select("table_name", "column_name", "total_count"))
     return P.ordered_profiles(prof)
 
 

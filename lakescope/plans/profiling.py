@@ -9,19 +9,22 @@ from lakescope.operators import profile as P
 from lakescope.plans.schemas import TABLE_COLUMNS
 from lakescope.sources.tables import TEST_TABLES, read_table, read_tables
 
+#: Columns of the snapshot that hold long texts.
+WIDE = ("text", "html")
+
 PROFILED = ["lineitem", "orders", "events", "customer", "part", "documents"]
 
 
 def _profile_query(table):
     def run(spark, sf_dir):
-        return P.profile_columns(read_table(spark, sf_dir, table), table)
+        return P.profile_columns(read_table(spark, sf_dir, table), table, wide=WIDE)
     run.__doc__ = f"Exact all-column profile of {table}: rows, nulls, distinct, min, max, null percentage."
     return run
 
 
 def profile_estate(spark, sf_dir):
     """Exact profile of every column of all 14 tables in one plan."""
-    return P.profile_tables(read_tables(spark, sf_dir))
+    return P.profile_tables(read_tables(spark, sf_dir), wide=WIDE)
 
 
 def profile_row_counts(spark, sf_dir):
@@ -50,14 +53,14 @@ def largest_tables(spark, sf_dir):
 
 def key_inference(spark, sf_dir):
     """Key-like columns (no nulls, distinct = rows) over every column of every table."""
-    prof = P.profile_tables(read_tables(spark, sf_dir))
+    prof = P.profile_tables(read_tables(spark, sf_dir), wide=WIDE)
     return P.infer_keys(prof).select("table_name", "column_name", "total_count", "distinct_count", "null_count",
                                      "is_key_candidate")
 
 
 def null_bands(spark, sf_dir):
     """Null percentage band of each column of every table."""
-    prof = P.profile_tables(read_tables(spark, sf_dir))
+    prof = P.profile_tables(read_tables(spark, sf_dir), wide=WIDE)
     return prof.select("table_name", "column_name", "null_percentage",
                        P.null_band(F.col("null_percentage")).alias("null_band"))
 
