@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakescope.functions.names import full_name
 from lakescope.functions.types import type_display
+from lakescope.session import ranked
 
 TABLE_KEY = ["database_name", "schema_name", "table_name"]
 
@@ -191,3 +192,9 @@ def user_objects(objects: DataFrame, flag: str = "is_shipped", schema_col: str =
     if flag in objects.columns:
         own = own & ~F.coalesce(F.col(flag).cast("boolean"), F.lit(False))
     return objects.filter(own)
+
+
+def ordered_objects(objects: DataFrame) -> DataFrame:
+    """O1: objects in the order of database, schema, type and name, with their place (from 1)."""
+    order = [F.col(c) for c in ("database_name", "schema_name", "object_type", "object_name")]
+    return ranked(objects, order, "_rank0").withColumn("rank", F.col("_rank0") + 1).drop("_rank0")
