@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["profiling", "relations", "graphs", "texts", "usage_access", "estate", "links", "objects"]
+FAMILIES = ["profiling", "relations", "graphs", "texts", "usage_access", "estate", "links", "objects", "counters"]
 
 
 def _load():
