@@ -99,6 +99,25 @@ def test_session_catalog_reader(spark):
     assert got == [("Id", "bigint", 1), ("Name", "string", 2)]
 
 
+def test_view_texts_and_dependencies_of_the_session_catalog(spark, tmp_path):
+    """Texts of several lines, and edges between the views and tables of two namespaces."""
+    from lakescope.sources.spark_catalog import read_session_catalog, view_dependencies
+    try:
+        for db in ("cat_a", "cat_b"):
+            spark.sql(f"CREATE DATABASE {db} LOCATION '{tmp_path}/{db}'")
+        spark.sql("CREATE TABLE cat_a.people (id int, name string) USING parquet")
+        spark.sql("CREATE VIEW cat_a.named AS SELECT id,\n 'View Original Text' AS note\nFROM cat_a.people")
+        spark.sql("CREATE VIEW cat_b.both AS SELECT * FROM cat_a.named JOIN cat_a.people USING (id)")
+        cat = read_session_catalog(spark, ["cat_a", "cat_b"])
+        assert rows(cat["views"], "schema_name", "view_name", "definition") == [
+            ("cat_a", "named", "SELECT id,\n 'View Original Text' AS note\nFROM cat_a.people"), ("cat_b", "both", "SELECT * FROM cat_a.named JOIN cat_a.people USING (id)")]
+        got = rows(view_dependencies(spark, ["cat_a", "cat_b"]), "from_schema", "from_name", "to_schema", "to_name", "to_type")
+        assert got == [("cat_a", "named", "cat_a", "people", "Table"), ("cat_b", "both", "cat_a", "named", "View"), ("cat_b", "both", "cat_a", "people", "Table")]
+    finally:
+        for db in ("cat_a", "cat_b"):
+            spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 def test_index_trigger_type_job_assembly(spark):
     ic = spark.createDataFrame([
         ("d", "s", "T", "IX_a", "NONCLUSTERED", False, False, "B", 2, False),
