@@ -120,7 +120,8 @@ def test_oracle_matches_on_small_data(spark):
     qs, oracle = E.queries(), E.oracle_sql()
     fast = ["profile_lineitem", "implicit_fk", "fk_orphans", "quality_issues", "record_impact", "trade_cycles",
             "membership_components", "text_refs", "usage_scores", "redundant_paths", "impact_bands", "ddl_text",
-            "stream_rollup"]
+            "stream_rollup", "link_refs", "ref_edges", "cross_database", "link_orphans", "partition_refresh", "estate_merge", "term_usage",
+            "object_list", "view_counts", "job_list", "path_inventory", "missing_facts", "table_reads", "execution_counts"]
     for name in fast:
         s = rows_of(qs[name](spark, SF_SMALL).toPandas(), 9)
         o = rows_of(con.execute(oracle[name]).fetchdf(), 9)
