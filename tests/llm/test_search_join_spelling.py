@@ -272,3 +272,18 @@ def test_passes_cover_every_block_once():
         got = S.passes(blocks, most)
         assert all(sum(b - a for _, a, b in p) <= most for p in got)
         assert sorted((k, x) for p in got for k, a, b in p for x in range(a, b)) == sorted((k, x) for k, n in blocks.items() for x in range(n))
+
+
+def test_queries_equal_their_sql(spark):
+    """The registered queries of operators 5, 11 and 12 on whole tables against DuckDB."""
+    import duckdb
+
+    from lakescope.llm import queries as Q
+    from tools.oracle_check import rows_of
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name, sql in Q.ORACLE.items():
+        assert rows_of(Q.QUERIES[name](spark, sf).toPandas(), 9) == rows_of(con.execute(sql).fetchdf(), 9), name
