@@ -88,9 +88,9 @@ def scheme(band: int, similarity: int, upto: int) -> tuple[int, int]:
     k = (small + small * 100 // similarity) * (100 - similarity) // (100 + similarity)
     if not k:
         return 0, 0
-    segments = k + 2
-    while segments - k - 1 < 4 * segments * math.exp(-low[band] / segments):  # so that few sets have segments - k empty ones
-        segments += 1
+    # so that few sets have segments - k empty ones; where no number does it, such sets use their empty segments too
+    few = (m for m in range(k + 2, 2 * k + 3) if m - k - 1 >= 4 * m * math.exp(-low[band] / m))
+    segments = next(few, k + 2)
     return k, segments
 
 
