@@ -10,9 +10,10 @@ not from a table of (node, dependent) pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescope.operators.components import star_components
@@ -30,6 +31,11 @@ def node_table(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ends.distinct()
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst), written once. Sorted, as a source's edges then take less room here and in shuffles."""
+    return cut_lineage(edges.select("src", "dst").distinct().sortWithinPartitions("src", "dst"))
+
+
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
     """Edges as (frm, to) in the walking direction: 'dependents' walks dst -> src, 'dependencies' src -> dst.
     Duplicate edges are harmless: every BFS step is deduplicated."""
@@ -110,17 +116,19 @@ def approx_impact(edges: DataFrame, lg_k: int = 12, max_rounds: int | None = Non
     return sk.select("node", F.col("est").alias("approx_impact"))
 
 
-def heights(edges: DataFrame) -> tuple[list[DataFrame], bool]:
+def heights(edges: DataFrame, targets: DataFrame | None = None) -> tuple[list[DataFrame], bool]:
     """Layers of (src, dst): layer k holds the edges whose source has k steps or more of dependents behind it.
 
-    ``edges`` is materialised, without self edges. A node's height is the last layer, counted from 1, that has
-    it as ``dst``. The flag tells that a cycle keeps the last layer from shrinking.
+    ``edges`` is materialised, without self edges; ``targets`` are its distinct ``dst`` as ``node``, if known. A node's
+    height is the last layer, counted from 1, that has it as ``dst``. The flag tells that a cycle keeps the last
+    layer from shrinking.
     """
     layers, n = [edges], edges.count()
     while n:
         last = layers[-1]
-        up = cut_lineage(last.join(last.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        m = up.count()
+        ends = last.select(F.col("dst").alias("src")).distinct() if targets is None else targets.select(F.col("node").alias("src"))
+        up = cut_lineage(last.join(ends, "src", "left_semi").select("src", "dst"))
+        m, targets = up.count(), None
         if m == n:
             return layers, True
         layers.append(up)
@@ -151,16 +159,22 @@ def impact_sizes(edges: DataFrame, block_nodes: int | None = None) -> DataFrame:
     Words of a node are spread over rows, so hubs are partial sums like any other. ``block_nodes`` numbers
     are propagated at a time; a block's words are deleted when they are counted.
     """
-    block_nodes = block_nodes or BLOCK_NODES
-    e = cut_lineage(edges.select("src", "dst").distinct())
+    return _impact_sizes(_pairs(edges), block_nodes or BLOCK_NODES).drop("direct")
+
+
+def _impact_sizes(e: DataFrame, block_nodes: int) -> DataFrame:
+    """``impact_sizes`` of edges from ``_pairs``, and ``direct``, the number of direct dependents."""
     plain = e.filter("src <> dst")
-    layers, cyclic = heights(plain)
+    direct = cut_lineage(e.groupBy(F.col("dst").alias("node")).agg(
+        F.count(F.lit(1)).alias("direct"), F.count_if(F.col("src") != F.col("dst")).alias("others"), F.count_if(F.col("src") == F.col("dst")).alias("self")))
+    first = direct.filter("others > 0").select("node")
+    layers, cyclic = heights(plain, first)
     dag, on = plain, None
     if cyclic:
         dag, on = condensed(plain, layers[-1])
         layers, _ = heights(dag)
     if on is None:
-        beside = dag.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        beside = direct.filter("others > 0").select("node", F.col("others").alias("n"))
     else:
         sizes = on.select(F.col("comp").alias("src"), "size").distinct()
         beside = dag.join(sizes, "src", "left").groupBy(F.col("dst").alias("node")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("n"))
@@ -168,16 +182,13 @@ def impact_sizes(edges: DataFrame, block_nodes: int | None = None) -> DataFrame:
     if len(layers) > 2:
         high = cut_lineage(targets[1])  # nodes whose dependents have dependents
         beside = beside.join(high, "node", "left_anti").unionByName(_counted_bits(dag, on, layers, targets, block_nodes))
-    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("self"))
-    direct = e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
-    out = direct.join(loops, "node", "left")
     if on is None:
-        out = out.join(beside, "node", "left").withColumn("own", F.coalesce("self", F.lit(0)))
+        out = direct.join(beside, "node", "left").withColumn("own", F.col("self"))
     else:
-        out = out.join(on, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(beside.withColumnRenamed("node", "comp"), "comp", "left")
-        out = out.withColumn("own", F.coalesce("size", "self", F.lit(0)))
+        out = direct.join(on, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(beside.withColumnRenamed("node", "comp"), "comp", "left")
+        out = out.withColumn("own", F.coalesce("size", "self"))
     impact = F.coalesce("n", F.lit(0)) + F.col("own")
-    return out.select("node", impact.cast("long").alias("impact"), (impact - F.col("direct")).cast("long").alias("indirect_impact"))
+    return out.select("node", impact.cast("long").alias("impact"), (impact - F.col("direct")).cast("long").alias("indirect_impact"), "direct")
 
 
 def _counted_bits(dag: DataFrame, on: DataFrame | None, layers: list[DataFrame], targets: list[DataFrame], block_nodes: int) -> DataFrame:
@@ -191,15 +202,17 @@ def _counted_bits(dag: DataFrame, on: DataFrame | None, layers: list[DataFrame],
     own = numbered.groupBy("comp", F.shiftright("rank", 6).alias("block")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(rank % 64 as int))")).alias("word"))
     own = cut_lineage(own.withColumnRenamed("comp", "src"))
+    words = (own.agg(F.max("block")).first()[0] or 0) + 1
+    step = max(1, block_nodes // 64)
     # the edges that end at each height; at height 1 only where the node itself has dependencies above it
     into = []
     for k in range(1, len(layers)):
-        ends = targets[k - 1].join(targets[k], "node", "left_anti") if k < len(layers) - 1 else targets[k - 1]
-        if k == 1:
-            ends = ends.join(layers[1].select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-        into.append(cut_lineage(dag.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")))
-    words = (own.agg(F.max("block")).first()[0] or 0) + 1
-    step = max(1, block_nodes // 64)
+        # sources of the second layer are targets of the first
+        ends = layers[1].select(F.col("src").alias("node")).distinct() if k == 1 else targets[k - 1]
+        if k < len(layers) - 1:
+            ends = ends.join(targets[k], "node", "left_anti")
+        ends = dag.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        into.append(ends if k == 1 and words <= step else cut_lineage(ends))  # read once: not written
     counts = []
     for low in range(0, words, step):
         mine = own if words <= step else own.filter((F.col("block") >= low) & (F.col("block") < low + step))
@@ -221,16 +234,26 @@ def importance(edges: DataFrame, impact: DataFrame | None = None, nodes: DataFra
     ``impact`` is from ``impact_sizes`` (the default) or ``reachable``. Also the part of the impact that is
     indirect (U3): transitive minus direct dependents.
     """
-    imp = impact_sizes(edges) if impact is None else impact
-    if "affected" in imp.columns:
-        imp = imp.groupBy("node").agg(F.count(F.lit(1)).alias("impact"), F.count_if(F.col("depth") > 1).alias("indirect_impact"))
+    e = _pairs(edges)
+    one = lambda n, into, out, impact, indirect: (
+        F.col(n).alias("node"), F.lit(into).alias("into"), F.lit(out).alias("out"), F.lit(impact).alias("impact"), F.lit(indirect).alias("indirect"))
     # both ends of an edge, and the nodes given, counted in one grouping
-    one = lambda n, into, out: F.struct(F.col(n).alias("node"), F.lit(into).alias("into"), F.lit(out).alias("out"))
-    ends = edges.select("src", "dst").distinct().select(F.inline(F.array(one("dst", 1, 0), one("src", 0, 1))))
+    ends = e.select(*one("src", 0, 1, 0, 0))
+    if impact is None:
+        known = F.col("node").isNotNull()
+        ends = ends.unionByName(_impact_sizes(e, BLOCK_NODES).select(
+            *one("node", F.col("direct"), 0, F.when(known, F.col("impact")).otherwise(0), F.when(known, F.col("indirect_impact")).otherwise(0))))
+    else:
+        ends = ends.unionByName(e.select(*one("dst", 1, 0, 0, 0)))
     if nodes is not None:
-        ends = ends.unionByName(nodes.select("node", F.lit(0).alias("into"), F.lit(0).alias("out")))
-    out = ends.groupBy("node").agg(F.sum("into").alias("referenced_by"), F.sum("out").alias("depends_on"))
-    out = out.join(imp.select("node", "impact", "indirect_impact"), "node", "left").fillna(0, ["impact", "indirect_impact"])
+        ends = ends.unionByName(nodes.select(*one("node", 0, 0, 0, 0)))
+    out = ends.groupBy("node").agg(F.sum("into").alias("referenced_by"), F.sum("out").alias("depends_on"),
+                                   F.sum("impact").alias("impact"), F.sum("indirect").alias("indirect_impact"))
+    if impact is not None:
+        if "affected" in impact.columns:
+            impact = impact.groupBy("node").agg(F.count(F.lit(1)).alias("impact"), F.count_if(F.col("depth") > 1).alias("indirect_impact"))
+        out = out.drop("impact", "indirect_impact").join(
+            impact.select("node", "impact", "indirect_impact"), "node", "left").fillna(0, ["impact", "indirect_impact"])
     return out.select(
         "node", F.col("referenced_by").cast("long"), F.col("depends_on").cast("long"), F.col("impact").cast("long"),
         F.col("indirect_impact").cast("long"),
