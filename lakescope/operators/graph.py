@@ -91,29 +91,37 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None, max_depth: int |
     return out.select(F.col("root").alias("node"), F.col("node").alias("affected"), "depth")
 
 
-def approx_impact(edges: DataFrame, lg_k: int = 12, max_rounds: int | None = None) -> DataFrame:
+def approx_impact(edges: DataFrame, lg_k: int = 12, max_rounds: int | None = None, named: Callable[[Column], Column] | None = None) -> DataFrame:
     """D-4 at scale: approximate impact size per node without materialising the closure.
 
     Every node keeps a HyperLogLog sketch of the nodes that depend on it; sketches flow backwards along
     the edges (a dependent's impact is part of its target's impact) and are unioned until no node's
-    estimate changes (estimates only grow, so the loop ends; a path is never longer than the node
-    count, which also bounds the rounds). Memory per node is bounded by ``lg_k``; a cycle converges
-    because union is idempotent. Output: node, approx_impact.
+    estimate changes (estimates only grow, so the loop ends; a path is never longer than the number of nodes
+    whose dependents have dependents, which also bounds the rounds). All other nodes have their sketch from
+    the start: it is sent on once and not written again. Memory per node is bounded by ``lg_k``; a cycle
+    converges because union is idempotent. ``named`` gives what a sketch holds of a node (the node itself).
+    Output: node, approx_impact.
     """
-    e = cut_lineage(edges.select("src", "dst").distinct())
-    sk = e.groupBy(F.col("dst").alias("node")).agg(F.hll_sketch_agg("src", lg_k).alias("sk"))
-    sk = cut_lineage(sk.withColumn("est", F.hll_sketch_estimate("sk")))
-    bound = max_rounds if max_rounds is not None else node_table(e).count()
-    for _ in range(bound):
-        contrib = e.join(sk.select(F.col("node").alias("src"), "sk"), "src").select(F.col("dst").alias("node"), "sk")
-        new = sk.select("node", "sk").unionByName(contrib).groupBy("node").agg(F.hll_union_agg("sk").alias("sk"))
+    e = _pairs(edges)
+    of = named(F.col("src")) if named else F.col("src")
+    sk = cut_lineage(e.groupBy(F.col("dst").alias("node")).agg(F.hll_sketch_agg(of, lg_k).alias("sk")).withColumn("est", F.hll_sketch_estimate("sk")))
+    passing = cut_lineage(e.join(sk.select(F.col("node").alias("src")), "src", "left_semi"))  # edges whose source has dependents
+    moving = cut_lineage(passing.select(F.col("dst").alias("node")).filter("node IS NOT NULL").distinct())
+    now = cut_lineage(sk.join(moving, "node", "left_semi"))
+    still = sk.join(moving, "node", "left_anti")
+    senders, along = sk, passing
+    for k in range(max_rounds if max_rounds is not None else moving.count() + 1):
+        contrib = along.join(senders.select(F.col("node").alias("src"), "sk"), "src").select(F.col("dst").alias("node"), "sk").filter("node IS NOT NULL")
+        new = now.select("node", "sk").unionByName(contrib).groupBy("node").agg(F.hll_union_agg("sk").alias("sk"))
         new = cut_lineage(new.withColumn("est", F.hll_sketch_estimate("sk")))
-        changed = new.join(sk.select("node", F.col("est").alias("old")), "node", "left").filter(
+        changed = new.join(now.select("node", F.col("est").alias("old")), "node", "left").filter(
             F.col("old").isNull() | (F.col("est") != F.col("old")))
-        sk = new
+        if k == 0:  # from here on only sketches that move are sent
+            along = cut_lineage(passing.join(moving.withColumnRenamed("node", "src"), "src", "left_semi"))
+        now = senders = new
         if changed.isEmpty():
             break
-    return sk.select("node", F.col("est").alias("approx_impact"))
+    return still.unionByName(now).select("node", F.col("est").alias("approx_impact"))
 
 
 def heights(edges: DataFrame, targets: DataFrame | None = None) -> tuple[list[DataFrame], bool]:

@@ -119,7 +119,7 @@ def record_impact(spark, sf_dir):
 
 def record_impact_approx(spark, sf_dir):
     """D-4 at scale: approximate impact size of every record node (HLL sketches, no closure table)."""
-    return G.approx_impact(cut_lineage(record_edges(spark, sf_dir)))
+    return G.approx_impact(numbered_record_edges(spark, sf_dir), named=_name).withColumn("node", _name(F.col("node")))
 
 
 def core_records(spark, sf_dir):
@@ -140,10 +140,10 @@ def trade_lineage_report(spark, sf_dir):
 
 def impact_approx_error(spark, sf_dir):
     """D-4 at scale: each node's approximate impact size is within five per cent of the exact one (three standard errors), or one off."""
-    e = cut_lineage(record_edges(spark, sf_dir))
-    both = G.impact_sizes(e).join(G.approx_impact(e), "node")
+    e = numbered_record_edges(spark, sf_dir)
+    both = G.impact_sizes(e).join(G.approx_impact(e, named=_name), "node")
     off = F.abs(F.col("impact") - F.col("approx_impact"))
-    return both.select("node", "impact", ((off <= 1) | (off <= F.col("impact") * 0.05)).alias("within"))
+    return both.select(_name(F.col("node")).alias("node"), "impact", ((off <= 1) | (off <= F.col("impact") * 0.05)).alias("within"))
 
 
 def lineage_subgraph(spark, sf_dir):

@@ -34,6 +34,7 @@ def test_numbers_stand_for_the_same_edges_and_nodes(spark, snapshot):
 def test_record_queries_give_what_the_named_graph_gives(spark, snapshot):
     e, nodes = G.cut_lineage(P.record_edges(spark, snapshot)), P.record_nodes(spark, snapshot)
     assert rows(P.record_impact(spark, snapshot)) == rows(G.importance(e, nodes=nodes))
+    assert rows(P.record_impact_approx(spark, snapshot)) == rows(G.approx_impact(e))
 
 
 def test_a_key_too_large_for_a_number_is_an_error(spark):
@@ -69,3 +70,9 @@ def test_importance_writes_all_edges_once(spark, written):
     got = {r.node: (r.referenced_by, r.impact) for r in G.importance(_layered(spark)).collect()}
     assert got["top"] == (7, LEAVES + 7) and got["own5"] == (1, 1) and got["leaf5"] == (0, 0)
     assert sum("dst" in c and n >= LEAVES for c, n in written) == 1
+
+
+def test_sketches_that_do_not_change_are_written_once(spark, written):
+    got = {r.node: r.approx_impact for r in G.approx_impact(_layered(spark)).collect()}
+    assert got["own5"] == 1 and abs(got["top"] - LEAVES - 7) < 0.05 * LEAVES
+    assert sum("sk" in c and n >= LEAVES for c, n in written) == 1
