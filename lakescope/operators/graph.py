@@ -404,8 +404,8 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     a chain's nodes belong to the component of its ends if both ends lie in one, and else to none. A node with
     only a self edge is a component of size 1 (no cycle).
     """
-    e0 = cut_lineage(edges.select("src", "dst").distinct())
-    e = cut_lineage(e0.filter("src <> dst"))
+    e0 = _pairs(edges)
+    e = e0.filter("src <> dst")
     found, chains = [], []
     while not e.isEmpty():
         # in turns: a path would lose one node at each end by trimming alone

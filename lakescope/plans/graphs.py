@@ -183,8 +183,9 @@ def region_trade_impact(spark, sf_dir):
 
 def record_cycles(spark, sf_dir):
     """K-1 on the record graph: every node with its strongly connected component (acyclic: all singletons)."""
-    e = cut_lineage(record_edges(spark, sf_dir))
-    return G.strongly_connected(e, record_nodes(spark, sf_dir))
+    # the graph has no cycle between tables, so that no component's least name is chosen by number
+    scc = G.strongly_connected(numbered_record_edges(spark, sf_dir), numbered_record_nodes(spark, sf_dir))
+    return scc.select(_name(F.col("node")).alias("node"), _name(F.col("scc_id")).alias("scc_id"), "scc_size")
 
 
 def trade_cycle_edges(spark, sf_dir):

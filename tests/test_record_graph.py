@@ -34,6 +34,7 @@ def test_numbers_stand_for_the_same_edges_and_nodes(spark, snapshot):
 def test_record_queries_give_what_the_named_graph_gives(spark, snapshot):
     e, nodes = G.cut_lineage(P.record_edges(spark, snapshot)), P.record_nodes(spark, snapshot)
     assert rows(P.record_impact(spark, snapshot)) == rows(G.importance(e, nodes=nodes))
+    assert rows(P.record_cycles(spark, snapshot)) == rows(G.strongly_connected(e, nodes))
     assert rows(P.record_impact_approx(spark, snapshot)) == rows(G.approx_impact(e))
 
 
@@ -76,3 +77,8 @@ def test_sketches_that_do_not_change_are_written_once(spark, written):
     got = {r.node: r.approx_impact for r in G.approx_impact(_layered(spark)).collect()}
     assert got["own5"] == 1 and abs(got["top"] - LEAVES - 7) < 0.05 * LEAVES
     assert sum("sk" in c and n >= LEAVES for c, n in written) == 1
+
+
+def test_cycle_search_writes_all_edges_once(spark, written):
+    assert G.cycles(G.strongly_connected(_layered(spark))).count() == 0
+    assert sum(n >= LEAVES for _, n in written) == 1
