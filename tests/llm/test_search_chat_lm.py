@@ -3,6 +3,7 @@ import inspect
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -183,6 +184,69 @@ def test_probabilities_add_up():
         assert total == pytest.approx(1)
 
 
+def brute_mix(symbols, counts, syms, hashes):
+    """Natural-log probability of one document's bits, bit by bit."""
+    m = [int(x) for x in lm._M]
+    weights = {}
+
+    def slot(context, node):
+        x = (context + (node + 1) * m[0]) * m[2] % 2**64
+        x ^= x >> 29
+        return (x * m[1] % 2**64) >> (64 - lm.SLOT_BITS)
+
+    total, h = 0.0, [int(x) for x in hashes]
+    for start in range(0, len(syms), lm.BLOCK):
+        steps = {}
+        for i in range(start, min(start + lm.BLOCK, len(syms))):
+            one = h[i - 1] if i else 0
+            two = one * m[1] + (h[i - 2] * m[2] if i > 1 else 0)
+            for e in range(symbols.first[syms[i]], symbols.first[syms[i] + 1]):
+                node, bit = int(symbols.node[e]), int(symbols.bit[e])
+                seen = [counts[0, node], counts[1, slot(one, node)], counts[2, slot(two, node)]]
+                x = [math.log((c[1] + 0.4) / (c[0] + 0.4)) for c in seen] + [0.3]
+                gate = tuple(sum(int(c.sum()) >= least for least in lm.SEEN) for c in seen[1:])
+                z = sum(a * b for a, b in zip(x, weights.setdefault(gate, list(lm.START_WEIGHTS)), strict=True))
+                p = 1 / (1 + math.exp(-min(12, max(-12, z))))
+                total += math.log(p if bit else 1 - p)
+                step = steps.setdefault(gate, [0.0] * 4)
+                for k in range(4):
+                    step[k] += (bit - p) * lm.RATE * x[k]
+        for gate, step in steps.items():
+            weights[gate] = [w + min(0.2, max(-0.2, d)) for w, d in zip(weights[gate], step, strict=True)]
+    return total
+
+
+def test_mixing_equals_bit_by_bit():
+    rng, words = np.random.default_rng(3), [b"w%d" % i for i in range(40)]
+    symbols = lm.Symbols([(w, 400 - 9 * i) for i, w in enumerate(words[:20])], 7, 9000, 40)
+    counts = rng.integers(0, 40, (3, 1 << lm.SLOT_BITS, 2)) * rng.integers(0, 2, (3, 1 << lm.SLOT_BITS, 1))
+    docs = [lm._tokens(symbols, [words[i] for i in rng.integers(0, 40, n)]) for n in (3, 0, 400, 128, 1, 127, 260)]
+    assert lm.Mixer(symbols, counts).score(docs) == pytest.approx([brute_mix(symbols, counts, *d) for d in docs], rel=1e-5)
+
+
+def test_common_words_need_no_python_each():
+    words = [b"w%d" % i for i in range(20_000)]
+    symbols = lm.Symbols([(w, 30_000 - i) for i, w in enumerate(words)], 9, sum(range(10_001, 30_001)), len(words))
+
+    def seconds(f):
+        f()
+        took = []
+        for _ in range(7):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    # a Python step with numpy scalars for each distinct word, as there was, takes some 50 times the count's time
+    text = words + [b"x", b"y", b"x"]
+    assert seconds(lambda: lm.by_counts(symbols, text, lm._ranks(symbols, text))) < 8 * seconds(lambda: Counter(text))
+    known, base, score, rest = lm.by_counts(symbols, text, lm._ranks(symbols, text))
+    outside = [30_000 - i for i in range(lm.HEAD_WORDS, len(words))]
+    assert (known, rest) == (len(outside), [(b"x", 2), (b"y", 1)])
+    assert base == pytest.approx(sum(math.log10((c + 1) / symbols.base) for c in outside))
+    assert score == pytest.approx(sum(math.log10((c + 1) / symbols.other) for c in outside))
+
+
 def test_scores_do_not_depend_on_neighbours(spark):
     rows = awkward_docs()
     one = {r.doc_id: r.score for r in lm.scores(documents(spark, rows, extra=False).coalesce(1)).collect()}
