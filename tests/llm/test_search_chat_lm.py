@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,99 @@ def test_mixing_equals_bit_by_bit():
     assert lm.Mixer(symbols, counts).score(docs) == pytest.approx([brute_mix(symbols, counts, *d) for d in docs], rel=1e-5)
 
 
+def brute_scores(rows, head, common):
+    """Scores by document id, from counts of all words and of all bits in all contexts."""
+    split = lambda t: (t or "").encode().lower().split()
+    learn = [split(t) for i, t, *_ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    c = Counter(itertools.chain.from_iterable(learn))
+    top = sorted(((w, n) for w, n in c.items() if len(w) <= lm.WORD_BYTES), key=lambda x: (-x[1], x[0]))[:common]
+    symbols = lm.Symbols(top, len(learn), sum(c.values()), len(c))
+    m, counts = [int(x) for x in lm._M], np.zeros((3, 1 << lm.SLOT_BITS, 2), np.int64)
+    for w in learn:
+        syms, h = lm._tokens(symbols, w)
+        h = [int(x) for x in h]
+        for i, sym in enumerate(syms):
+            one = h[i - 1] if i else 0
+            two = one * m[1] + (h[i - 2] * m[2] if i > 1 else 0)
+            for e in range(symbols.first[sym], symbols.first[sym + 1]):
+                node, bit = int(symbols.node[e]), int(symbols.bit[e])
+                counts[0, node, bit] += 1
+                for k, context in ((1, one), (2, two)):
+                    x = (context + (node + 1) * m[0]) * m[2] % 2**64
+                    counts[k, ((x ^ x >> 29) * m[1] % 2**64) >> (64 - lm.SLOT_BITS), bit] += 1
+    outside = Counter()
+    code = lambda w: zlib.crc32(w) >> (32 - symbols.code_bits)
+    for w in set(c) - {w for w, _ in top[:head]}:
+        outside[code(w)] += c[w] + 1
+    out = []
+    for i, t, *_ in rows:
+        w = split(t)
+        syms, h = lm._tokens(symbols, w)
+        share = sum(math.log10((c[x] + 1) / (outside[code(x)] + 1)) for x in w if x not in [y for y, _ in top[:head]])
+        out.append((i, round(brute_mix(symbols, counts, syms, h) / math.log(10) + share, 2)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("head", "common"), [(50_000, 50_000), (5, 12)])
+def test_scores_equal_bit_by_bit(spark, monkeypatch, head, common):
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "COMMON_WORDS", common)
+    monkeypatch.setattr(lm, "PIECE_BYTES", 5_000)
+    rows = [r for r in awkward_docs() if r[0] != 23]
+    got = sorted(((r.doc_id, r.score) for r in lm.scores(documents(spark, rows)).collect()), key=repr)
+    want = brute_scores(rows, head, common)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=0.02)
+
+
+@pytest.mark.parametrize("head", [None, 5])
+def test_rarer_words_are_predicted_by_the_words_before(spark, monkeypatch, head):
+    if head is not None:
+        monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    rng = random.Random(8)
+    n = 4_000  # few are among the 510 most frequent ones
+    follow = {w: rng.sample(range(n), 2) for w in range(n)}
+    rows = []
+    for i in range(500):
+        w, text = rng.randrange(n), []
+        for _ in range(80):
+            text.append(f"w{w}")
+            w = rng.choice(follow[w])
+        rows.append((i, " ".join(text), "en", "a", 1))
+    out = [r for r in lm.scores(documents(spark, rows, extra=False)).collect() if r.held_out]
+    assert sum(r.score for r in out) > 0.6 * sum(r.base_score for r in out)
+
+
+def test_shares_of_each_code_and_all_symbols_add_up(monkeypatch):
+    monkeypatch.setattr(lm, "HEAD_WORDS", 3)
+    c = {b"w%d" % i: 90 - i for i in range(60)}
+    symbols = lm.Symbols(list(c.items())[:10], 4, sum(c.values()), len(c))
+    by_code = np.zeros(1 << lm.CODE_BITS, np.int64)
+    for w, n in c.items():
+        by_code[zlib.crc32(w) >> (32 - lm.CODE_BITS)] += n + 1
+    shares, total = symbols.shares(by_code), np.zeros(1 << symbols.code_bits)
+    assert symbols.code_bits == 6
+    for w in list(c)[3:]:
+        total[zlib.crc32(w) >> 26] += 10 ** (math.log10((c[w] + 1) / symbols.other) + shares[zlib.crc32(w) >> 26])
+    unseen = 10 ** (math.log10(1 / symbols.other) + shares)
+    assert total + unseen == pytest.approx(np.ones(len(total)))
+    mixer = lm.Mixer(symbols, np.random.default_rng(1).integers(0, 20, (3, 1 << lm.SLOT_BITS, 2)))
+    every = [lm.END, *range(2, symbols.codes + len(total))]
+    assert sum(math.exp(mixer.score([(np.array([s]), np.zeros(0, np.uint64))])[0]) for s in every) == pytest.approx(1)
+
+
+def test_words_in_pieces():
+    rng = random.Random(1)
+    chars = [*map(chr, range(128)), *" " * 40, "\x85", "\xa0", "İ", "É", "ß", "\u2003", "\u3000", "\U0001F600"]
+    texts = [None, "", " ", "\n\n", "x" * 7000] + ["".join(rng.choices(chars, k=rng.randrange(80))) for _ in range(600)]
+    for size in (1, 300, 1 << 22):
+        got = []
+        for distinct, words, ends in lm.pieces(pa.array(texts), size):
+            distinct = distinct.to_pylist()
+            got += [[distinct[i] for i in x] for x in np.split(words, ends[:-1])]
+        assert got == [(t or "").encode().lower().split() for t in texts]
+
+
 def test_common_words_need_no_python_each():
     words = [b"w%d" % i for i in range(20_000)]
     symbols = lm.Symbols([(w, 30_000 - i) for i, w in enumerate(words)], 9, sum(range(10_001, 30_001)), len(words))
