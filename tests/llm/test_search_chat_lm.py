@@ -262,7 +262,8 @@ def brute_scores(rows, head, common):
 def test_scores_equal_bit_by_bit(spark, monkeypatch, head, common):
     monkeypatch.setattr(lm, "HEAD_WORDS", head)
     monkeypatch.setattr(lm, "COMMON_WORDS", common)
-    monkeypatch.setattr(lm, "PIECE_BYTES", 5_000)
+    for name, value in (("PIECE_BYTES", 5_000), ("COUNTED", 40), ("TABLE_TOKENS", 100)):
+        monkeypatch.setattr(lm, name, value)
     rows = [r for r in awkward_docs() if r[0] != 23]
     got = sorted(((r.doc_id, r.score) for r in lm.scores(documents(spark, rows)).collect()), key=repr)
     want = brute_scores(rows, head, common)
@@ -270,6 +271,17 @@ def test_scores_equal_bit_by_bit(spark, monkeypatch, head, common):
     assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=0.02)
 
 
+def test_mixing_by_groups_of_documents(monkeypatch):
+    rng, words = np.random.default_rng(4), [b"w%d" % i for i in range(60)]
+    symbols = lm.Symbols([(w, 400 - 9 * i) for i, w in enumerate(words[:20])], 7, 9000, 60)
+    mixer = lm.Mixer(symbols, rng.integers(0, 90, (3, 1 << lm.SLOT_BITS, 2)))
+    docs = [lm._tokens(symbols, [words[i] for i in rng.integers(0, 60, n)]) for n in (*rng.integers(0, 600, 20), 128, 127, 0)]
+    want = [float(mixer.score([d])[0]) for d in docs]
+    for size in (1, 3, 64):
+        monkeypatch.setattr(lm, "MIXED", size)
+        assert mixer.score(docs) == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("head", [None, 5])
 def test_rarer_words_are_predicted_by_the_words_before(spark, monkeypatch, head):
     if head is not None:
